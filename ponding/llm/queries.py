@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from ponding.llm.decontaminate import op2_suffix_decontamination
 from ponding.llm.feistel_shards import op9_feistel_shards
 from ponding.llm.packing import op10_best_fit_packing
 
-QUERIES = {f.__name__: f for f in (op9_feistel_shards, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_suffix_decontamination, op9_feistel_shards, op10_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
