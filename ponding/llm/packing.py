@@ -25,7 +25,7 @@ from ponding.llm.common import materialize
 from ponding.llm.words import SPACE, Powers, Rolling, byte_values, ranges, slices, word_spans
 
 #: Texts whose pre-tokens are looked up together, and bytes that numpy handles at a time.
-BATCH_BYTES, STEP_BYTES = 24_000_000, 2_000_000
+BATCH_BYTES, STEP_BYTES = 8_000_000, 1_000_000
 
 
 def default_vocabulary() -> str:
