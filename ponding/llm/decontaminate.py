@@ -252,5 +252,7 @@ def op2_suffix_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The documents without any word hit, with all their columns."""
-    plain = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return match(plain, benchmark, width, longest=False).where(F.size("hit_lengths") == 0).select("row.*")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    plain = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*others).alias("row"))
+    clean = match(plain, benchmark, width, longest=False).where(F.size("hit_lengths") == 0)
+    return clean.select(*[(F.col("text") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

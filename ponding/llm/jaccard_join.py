@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ponding.llm.common import documents, materialize, table, total_bytes
+from ponding.llm.common import documents, materialize, table, text_tag, total_bytes
 from ponding.llm.sketch import Sketch, build, width_for
 from ponding.llm.words import SPACE, Powers, Rolling, U, byte_values, mix, ranges, separators, slices, words_of
 
@@ -296,17 +296,17 @@ def classes(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def join(df: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (its set) and component_id (the smallest doc_id linked, itself included)."""
+    """One row per document: doc_id, tag (of its text), n_shingles, class_id (its set), group (the component's key) and
+    component_id (the smallest doc_id linked, itself included). class_id and group are null without shingles."""
     docs = documents(df, id_col, text_col)
-    own = materialize(classes(docs, n), "classes")
+    own = materialize(classes(docs.select("*", text_tag()), n), "classes")
     comps = links_and_components(candidate_sets(docs, n, percent), percent)
     ids = own.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("smallest"))
     named = ids.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    # Only classes with links need the second grouping; the others are their own component.
     ids_of = named.groupBy("comp").agg(F.min("smallest").alias("component_id"))
-    named = named.join(ids_of, "comp").select(F.col("cid").alias("k"), "component_id")
+    named = named.join(ids_of, "comp").select(F.col("cid").alias("k"), F.col("comp").alias("group"), "component_id")
     out = own.join(named, own.cid == named.k, "left")
-    return out.select("doc_id", "n_shingles", F.col("cid").alias("class_id"), F.coalesce(F.when(F.col("cid").isNull(), F.col("doc_id")), F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "tag", "n_shingles", F.col("cid").alias("class_id"), "group", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -314,8 +314,14 @@ def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component stays, with its columns: that of the smallest doc_id (ties: of its equal rows, one)."""
-    joined = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = joined.select(F.col("doc_id").alias("k")).distinct()
-    kept = docs.join(keep, docs.doc_id.cast("long").eqNullSafe(keep.k), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each component stays, with its columns: that of the smallest doc_id (null last). Rows without shingles stay."""
+    joined = materialize(join(docs), "groups")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("best")
+    keep = joined.where(F.col("group").isNotNull()).groupBy("group").agg(best).select(F.col("best.doc_id").alias("k_id"), F.col("best.tag").alias("k_tag"))
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), text_tag())
+    wordless = ~F.coalesce(F.col("row.text").cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    kept = tagged.join(keep, tagged.id.eqNullSafe(keep.k_id) & (tagged.tag == keep.k_tag), "left_semi").where(~wordless)
+    # Repeated rows share the key; the extra pass over them is spared where there are none.
+    if joined.groupBy("doc_id", "tag").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["id", "tag"])
+    return kept.unionByName(tagged.where(wordless)).select("row.*")

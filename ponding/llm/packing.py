@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from ponding.llm.common import materialize
 from ponding.llm.words import SPACE, Powers, Rolling, byte_values, ranges, slices, word_spans
 
-#: Texts whose pre-tokens are looked up together, and bytes that numpy handles at a time.
-BATCH_BYTES, STEP_BYTES = 8_000_000, 1_000_000
+#: Bytes whose pre-tokens are looked up together, bytes that numpy handles at a time, pre-tokens for one call.
+BATCH_BYTES, STEP_BYTES, CALL_WORDS = 8_000_000, 1_000_000, 10_000
 
 
 def default_vocabulary() -> str:
@@ -82,8 +82,12 @@ class WordIds:
             at = to
         starts, ends, hashes = (np.concatenate([*x, np.zeros(0, t)]).astype(t) for x, t in ((starts, np.int64), (ends, np.int64), (hashes, np.uint64)))
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        plain = b" ".join([joined[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]).decode("latin-1").translate(self.letters)
-        flat = np.array(self.bare.encode_batch_fast([plain], add_special_tokens=False)[0].ids, np.uint32)
+        flat = [np.zeros(0, np.uint32)]
+        for k in range(0, len(first), CALL_WORDS):
+            own = first[k : k + CALL_WORDS]
+            plain = b" ".join([joined[i:j] for i, j in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]).decode("latin-1").translate(self.letters)
+            flat.append(np.array(self.bare.encode_batch_fast([plain], add_special_tokens=False)[0].ids, np.uint32))
+        flat = np.concatenate(flat)
         bounds = np.concatenate([[0], np.flatnonzero(self.ends[flat]) + 1])
         if len(bounds) != len(first) + 1:
             raise ValueError("the vocabulary has pre-tokens that do not end in an end-of-word token")

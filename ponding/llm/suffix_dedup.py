@@ -233,7 +233,7 @@ def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
 
 def cut_documents(docs: DataFrame, width: int = 50) -> DataFrame:
     """The documents with repeated bytes cut from their texts and n_chars set anew; a character that loses some of its bytes goes whole."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
     plain = plain.select("*", text_tag())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
