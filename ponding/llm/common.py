@@ -46,6 +46,12 @@ def text_tag(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag")
 
 
+def with_tags(docs: DataFrame) -> DataFrame:
+    """Adds tag: 0 where doc_ids tell all rows apart (checked by counting them), else :func:`text_tag`."""
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return docs.select("*", text_tag() if repeated else F.lit(0).cast("long").alias("tag"))
+
+
 def total_bytes(df: DataFrame, text_col: str = "text") -> int:
     """UTF-8 bytes of all texts; one scan, one number to the driver."""
     return int(df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0)

@@ -1,7 +1,7 @@
 """A count-min sketch of 64-bit keys, built per partition, merged by blocks of counters in a shuffle.
 
 Estimates never fall below the true count: fine counters stop at 3 (enough to tell 1 from
-more), coarse ones, sums of 16 fine ones, at 65,535. The width follows the input up to a
+more), coarse ones, sums of 64 fine ones, at 65,535. The width follows the input up to a
 bound, so what is broadcast is at most ``most`` counters a row; past it the sketch passes
 more keys on, and the exact stages behind it still see all they need.
 """
@@ -17,15 +17,15 @@ from pyspark.sql import functions as F
 
 from ponding.llm.words import U, mix
 
-DEPTH, BLOCK, COARSE = 2, 1 << 16, 16
+DEPTH, BLOCK, COARSE = 2, 1 << 16, 64
 MOST = 1 << 27
 FLUSH = 1_500_000
 CODEC = "zstd"
 
 
-def width_for(keys: float, most: int = MOST) -> int:
-    """Counters in a row: one and a half for each key expected."""
-    return int(min(most, max(BLOCK, -(-int(1.5 * keys) // BLOCK) * BLOCK)))
+def width_for(keys: float, per_key: float = 1.5, most: int = MOST) -> int:
+    """Counters in a row: ``per_key`` for each key expected."""
+    return int(min(most, max(BLOCK, -(-int(per_key * keys) // BLOCK) * BLOCK)))
 
 
 def places(keys: np.ndarray, width: int, row: int) -> np.ndarray:

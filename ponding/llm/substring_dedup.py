@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ponding.llm.anchors import runs
-from ponding.llm.common import documents, table, text_tag
+from ponding.llm.common import documents, table, with_tags
 from ponding.llm.window_exchange import KEEP, Grain, Shard, deal, judge, window_spans, with_runs
 from ponding.llm.words import covered, slices, word_spans
 
@@ -52,8 +52,7 @@ def repeated_runs(docs: DataFrame, width: int = 35) -> DataFrame:
 
 def cut_repeats(df: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (its remaining words, joined by one space)."""
-    docs = documents(df, id_col, text_col)
-    docs = docs.select("*", text_tag())
+    docs = with_tags(documents(df, id_col, text_col))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in (x for b in batches for x in slices(b, 4_000_000)):

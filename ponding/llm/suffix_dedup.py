@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ponding.llm.anchors import runs
-from ponding.llm.common import documents, table, text_tag
+from ponding.llm.common import documents, table, with_tags
 from ponding.llm.window_exchange import NULL_ID, VALUES, Grain, Shard, deal, judge, read_shard, window_spans, with_runs
 from ponding.llm.words import Powers, Rolling, U, covered, ranges, slices
 
@@ -108,13 +108,15 @@ class Enhanced:
         size = s.count + width  # one byte on the left, then the windows
         begin = np.cumsum(size) - size
         # Anchors that only one segment has, and that once, have nothing to share.
-        order = np.argsort(s.key, kind="stable")
-        cut = np.flatnonzero(np.r_[True, s.key[order][1:] != s.key[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+        rolling = Rolling(VALUES[s.load], Powers())
+        key = rolling.spans(begin + 1 + s.off, begin + 1 + s.off + GRAM)
+        order = np.argsort(key, kind="stable")
+        cut = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(order) else np.zeros(0, np.int64)
         total = np.add.reduceat(s.refs, cut) if len(cut) else cut
         live = np.zeros(len(order), bool)
         live[order] = np.repeat(total > 1, np.diff(np.r_[cut, len(order)]))
         self.live = np.flatnonzero(live)
-        content = Rolling(VALUES[s.load], Powers()).spans(begin[self.live] + 1, begin[self.live] + size[self.live])
+        content = rolling.spans(begin[self.live] + 1, begin[self.live] + size[self.live])
         _, rep, self.which = np.unique(content, return_index=True, return_inverse=True)
         rep = self.live[rep]
         self.count = s.count[rep]
@@ -204,7 +206,7 @@ def maximal_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text
             rows = [(n, [{"doc_id": None if d == NULL_ID else d, "start": p} for d, p in zip(doc.tolist(), at.tolist())]) for n, doc, at in Enhanced(read_shard(blobs, False), width).maximal()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64())])))], names=["bytes", "occurrences"])
 
-    return deal(docs.select("*", text_tag()), Grain(False, width, GRAM)).groupBy("bucket").applyInArrow(shard, schema)
+    return deal(with_tags(docs), Grain(False, width, GRAM)).groupBy("bucket").applyInArrow(shard, schema)
 
 
 def cut_batch(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -219,8 +221,7 @@ def cut_batch(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, width
 
 
 def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = documents(table(spark, sf_dir, "documents"))
-    docs = docs.select("*", text_tag())
+    docs = with_tags(documents(table(spark, sf_dir, "documents")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in (x for b in batches for x in slices(b, 4_000_000)):
@@ -234,7 +235,7 @@ def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
 def cut_documents(docs: DataFrame, width: int = 50) -> DataFrame:
     """The documents with repeated bytes cut from their texts and n_chars set anew; a character that loses some of its bytes goes whole."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
-    plain = plain.select("*", text_tag())
+    plain = with_tags(plain)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in (x for b in batches for x in slices(b, 4_000_000)):

@@ -110,7 +110,7 @@ class Chunk:
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rep)]):
             r, f = rep[i:j], flat[rcut[i] : rcut[j]]
-            yield int(bucket[i]), squeeze(key[r], off[r].astype(np.uint16), count[r].astype(np.uint16), left[r], np.minimum(sizes[i:j], 2).astype(np.uint8), doc[r], refs[i:j].astype(np.uint32), tag[f], start[f], load[lcut[i] : lcut[j]])
+            yield int(bucket[i]), squeeze(key[r] if self.grain.words else key[:0], off[r].astype(np.uint16), count[r].astype(np.uint16), left[r], np.minimum(sizes[i:j], 2).astype(np.uint8), doc[r], refs[i:j].astype(np.uint32), tag[f], start[f], load[lcut[i] : lcut[j]])
 
     def _known(self, which: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, bytes]]:
         if not len(which):
@@ -127,7 +127,10 @@ class Chunk:
 
 @dataclass
 class Shard:
-    """Distinct segments of one shard from all chunks; refs: the rows (tag, start) that await a verdict."""
+    """Distinct segments of one shard from all chunks; refs: the rows (tag, start) that await a verdict.
+
+    key: the anchors' hashes, of word segments only; byte segments have the anchor's bytes.
+    """
 
     key: np.ndarray
     off: np.ndarray
@@ -175,7 +178,7 @@ def deal(docs: DataFrame, grain: Grain) -> DataFrame:
         for *_, s in found(batch, powers):
             yield s.key
 
-    shared = build(docs.select("text"), keys, width_for(expected))
+    shared = build(docs.select("text"), keys, width_for(expected, 2.5))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch: Sketch = shared.value
