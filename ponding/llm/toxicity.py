@@ -124,10 +124,11 @@ def learn(rows: list[tuple[str, int]], terms: tuple[tuple[str, ...], ...] = IDEN
         changed[one[~np.isin(one, other)] // BUCKETS] = True
     keep = changed[doc], changed[twin_doc]
     own_doc, own_bucket, twin_doc, twin_bucket = doc[keep[0]], bucket[keep[0]], twin_doc[keep[1]], twin_bucket[keep[1]]
-    used, compact = np.unique(bucket, return_inverse=True)
+    used = np.unique(np.concatenate([bucket, twin_bucket]))
+    compact = np.searchsorted(used, bucket)
     if not len(used):
         return Model(np.zeros(BUCKETS), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))))
-    own_bucket, twin_bucket = np.searchsorted(used, own_bucket), np.minimum(np.searchsorted(used, twin_bucket), len(used) - 1)
+    own_bucket, twin_bucket = np.searchsorted(used, own_bucket), np.searchsorted(used, twin_bucket)
     w, bias = np.zeros(len(used)), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, steps + 1):
