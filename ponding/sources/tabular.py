@@ -24,7 +24,7 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     """file, runoff_continuity_pct, routing_continuity_pct, node, hours, max_cms, volume_ml from text reports."""
     t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     errors = F.regexp_extract_all("value", F.lit("Continuity Error \\(%\\)[ .]*(-?[0-9.]+)"), F.lit(1))
-    table = F.regexp_extract("value", "(?s)Node Flooding Summary(.*?)(?:\\n\\s*\\*{5,}\\s*\\n\\s*[A-Z]|$)", 1)
+    table = F.regexp_extract("value", "(?s)Node Flooding Summary\\s*\\*+(.*?)(?:\\*{5,}|$)", 1)
     rows = F.regexp_extract_all(table, F.lit("(?m)^\\s*([A-Za-z]\\S*\\s+[0-9.]+\\s+[0-9.]+\\s+\\d+\\s+[0-9:]+\\s+[0-9.]+)"), F.lit(1))
     f = t.select("file", F.get(errors, F.lit(0)).cast("double").alias("runoff_continuity_pct"), F.get(errors, F.lit(1)).cast("double").alias("routing_continuity_pct"), F.explode_outer(rows).alias("r"))
     w = F.split(F.trim("r"), "\\s+")
