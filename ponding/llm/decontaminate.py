@@ -247,7 +247,8 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op2_suffix_decontamination(spark, sf_dir: str) -> DataFrame:
     found = match(documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), width=10)
-    return found.mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, matches array<struct<item_id: long, word: long, words: long>>")
+    digested = found.mapInArrow(digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, matches array<struct<item_id: long, word: long, words: long>>")
+    return digested.drop("matches")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:

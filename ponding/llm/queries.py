@@ -6,6 +6,7 @@ from ponding.llm.decontaminate import op2_suffix_decontamination
 from ponding.llm.feistel_shards import op9_feistel_shards
 from ponding.llm.jaccard_join import op5_ngram_jaccard_join
 from ponding.llm.license_scan import op3_license_scan
+from ponding.llm.oracles import ORACLE_SQL  # noqa: F401
 from ponding.llm.packing import op10_best_fit_packing
 from ponding.llm.quality_net import op8_byte_network
 from ponding.llm.quality_rules import op7_robust_outliers
@@ -14,5 +15,3 @@ from ponding.llm.suffix_dedup import op4_suffix_array_dedup
 from ponding.llm.toxicity import op6_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_decontamination, op3_license_scan, op4_suffix_array_dedup, op5_ngram_jaccard_join, op6_toxicity, op7_robust_outliers, op8_byte_network, op9_feistel_shards, op10_best_fit_packing)}
-
-ORACLE_SQL: dict[str, str] = {}
