@@ -110,12 +110,28 @@ def _distinct_classes(values: np.ndarray, first: np.ndarray, seen: set[int]) ->
     return np.array(keep, np.int64)
 
 
-SETS = "cid long, n int, once int, sigs binary, shingles binary"
-SET_NAMES = ["cid", "n", "once", "sigs", "shingles"]
+SETS = "cid long, n int, once int, sigs binary, parity binary, shingles binary"
+SET_NAMES = ["cid", "n", "once", "sigs", "parity", "shingles"]
+PARITY_BITS = 1024
+
+
+def parity(values: np.ndarray) -> bytes:
+    """Whether an odd number of shingles falls on each of the bits. Two sets differ in at least as many shingles as their parities in bits."""
+    counts = np.bincount((mix(values ^ U(0x3C6EF372)) % U(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which rows of parities differ."""
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+
+
+def bits(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(v.as_py() for v in column), np.uint64).reshape(-1, PARITY_BITS // 64)
 
 
 def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=SET_NAMES)
 
 
@@ -148,11 +164,12 @@ def candidate_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for k in new.tolist():
                 i, j = int(first[k]), int(first[k + 1])
                 if int(once[j] - once[i]) <= (j - i) - -(-(j - i) * percent // 100):
-                    rows.append((int(ids[k]), j - i, 0, b"", values[i:j].tobytes()))
+                    rows.append((int(ids[k]), j - i, 0, b"", b"", values[i:j].tobytes()))
             yield _set_batch(rows)
 
     # Tasks keep one of each class; so does the shuffle, for copies in different tasks.
     sets = materialize(docs.select("text").mapInArrow(first_pass, SETS).dropDuplicates(["cid"]), "sets")
+    coarse.destroy()
     left = int(sets.agg(F.sum("n")).first()[0] or 0)
 
     def set_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -170,10 +187,12 @@ def candidate_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 rank = np.where(sketch.estimate(v) == 1, 0, np.where(sketch.estimate_large(v) >= FREQUENT, 2, 1))
                 once = int((rank == 0).sum())
                 if once <= len(v) - -(-len(v) * percent // 100):
-                    rows.append((cid, len(v), once, signatures(v, rank, percent).tobytes(), blob.as_py()))
+                    rows.append((cid, len(v), once, signatures(v, rank, percent).tobytes(), parity(v), blob.as_py()))
             yield _set_batch(rows)
 
-    return materialize(sets.mapInArrow(second_pass, SETS), "candidates")
+    out = materialize(sets.mapInArrow(second_pass, SETS), "candidates")
+    fine.destroy()
+    return out
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,6 +211,19 @@ def possible(a: str, b: str, percent: int):
     return 100 * shared >= percent * (F.col(f"n{a}") + F.col(f"n{b}") - shared)
 
 
+def near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose parities leave a link possible: linked sets differ in few shingles. Loses no link."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = b.column("na").to_numpy().astype(np.int64) + b.column("nb").to_numpy()
+            ok = (100 + percent) * apart(bits(b.column("pa")), bits(b.column("pb"))) <= (100 - percent) * total if b.num_rows else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    side = lambda k: sets.select(F.col("cid").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(test, "a long, b long")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
 
@@ -227,12 +259,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def cross_pairs(percent: int):
-    """Of one signature's classes the pairs in different components that sizes don't rule out, block by block."""
+    """Of one signature's classes the pairs in different components that neither sizes nor parities rule out, block by block."""
 
     def pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches).sort_by("n")
         cid, n, once, comp = (t.column(c).to_numpy() for c in ("cid", "n", "once", "comp"))
-        n, once = n.astype(np.int64), once.astype(np.int64)
+        n, once, odd = n.astype(np.int64), once.astype(np.int64), bits(t.column("parity"))
         for i in range(0, len(cid), 256):
             # Partners are at least as large, and not larger than size allows.
             top = int(np.searchsorted(n, n[min(i + 256, len(n)) - 1] * 100 // percent, "right"))
@@ -240,33 +272,45 @@ def cross_pairs(percent: int):
             shared = np.minimum((n - once)[a], (n - once)[b])
             ok = (b > a) & (comp[a] != comp[b]) & (100 * shared >= percent * (n[a] + n[b] - shared))
             x, y = np.nonzero(ok)
-            p, q = cid[a[x, 0]], cid[b[0, y]]
+            x, y = a[x, 0], b[0, y]
+            close = np.concatenate([(100 + percent) * apart(odd[x[k : k + 50_000]], odd[y[k : k + 50_000]]) <= (100 - percent) * (n[x[k : k + 50_000]] + n[y[k : k + 50_000]]) for k in range(0, len(x), 50_000)] or [np.zeros(0, bool)])
+            p, q = cid[x[close]], cid[y[close]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     return pairs
 
 
-STARS = 3
+#: Stars go on until few pairs are left to compare one by one, or for this many rounds.
+STARS = 2
 
 
 def links_and_components(sets: DataFrame, percent: int) -> DataFrame:
-    """(cid, comp) for every class with a link."""
+    """(cid, comp) for every class with a link.
+
+    A star's hub is the class with the fewest shingles of its own: the text that the others
+    of a group of near copies were made from, where it is among them.
+    """
     index = sets.select("sigs", "cid", "n", "once").mapInArrow(_index, "sig long, cid long, n int, once int")
-    rest = index.groupBy("sig", "cid").agg(F.first("n").alias("n"), F.first("once").alias("once"))
+    rest = index.groupBy("sig", "cid").agg(F.first("n").alias("n"), F.first("once").alias("once")).withColumn("comp", F.col("cid"))
     links = labels = None
     for _ in range(STARS):
-        hubs = rest.groupBy("sig").agg(F.min(F.struct("cid", "n", "once")).alias("hub"), F.max("cid").alias("last")).where(F.col("hub.cid") != F.col("last"))
+        hubs = rest.groupBy("sig").agg(F.min(F.struct("once", "cid", "n", "comp")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
         rest = materialize(rest.join(hubs.select("sig", "hub"), "sig").where(F.col("cid") != F.col("hub.cid")), "index")
         if not rest.limit(1).count():
             break
-        star = rest.select(F.col("cid").alias("b"), F.col("hub.cid").alias("a"), F.col("n").alias("nb"), F.col("once").alias("onceb"), F.col("hub.n").alias("na"), F.col("hub.once").alias("oncea"))
+        star = rest.where(F.col("comp") != F.col("hub.comp"))
+        star = star.select(F.col("cid").alias("b"), F.col("hub.cid").alias("a"), F.col("n").alias("nb"), F.col("once").alias("onceb"), F.col("hub.n").alias("na"), F.col("hub.once").alias("oncea"))
         pairs = star.where(possible("a", "b", percent)).select("a", "b").distinct()
-        new = verify(pairs, sets, percent)
+        new = verify(near(pairs, sets, percent), sets, percent)
         links = materialize(new if links is None else links.union(new), "links")
         labels = components(links)
-        rest = _unsettled(rest.drop("hub"), labels)
+        rest = materialize(_unsettled(rest.drop("hub"), labels), "rest")
+        size = rest.groupBy("sig").count().agg(F.sum("count"), F.sum(F.col("count") * F.col("count"))).first()
+        if not size[0] or size[1] <= 8 * size[0]:
+            break
     if links is None:
         return sets.select("cid", F.col("cid").alias("comp")).limit(0)
+    rest = rest.join(sets.select("cid", "parity"), "cid")
     pairs = rest.groupBy("sig").applyInArrow(cross_pairs(percent), "a long, b long").distinct()
     more = materialize(verify(pairs, sets, percent), "links")
     return components(links.union(more)) if more.limit(1).count() else labels
@@ -310,7 +354,7 @@ def join(df: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_i
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+    return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def _merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 class Sketch:
-    def __init__(self, width: int, fine: list[bytes], coarse: list[bytes]):
+    def __init__(self, width: int, fine: list[bytearray], coarse: list[bytearray]):
         self.width, self.fine, self.coarse = width, fine, coarse
 
     def _rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -114,8 +114,10 @@ def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterable[np.ndarray
 
     merged = df.mapInArrow(partial, "part int, counts binary").groupBy("part").applyInArrow(_merge, "part int, fine binary, coarse binary")
     per_row = width // BLOCK
-    fine = [[bytes(BLOCK // 4)] * per_row for _ in range(DEPTH)]
-    coarse = [[bytes(2 * BLOCK // COARSE)] * per_row for _ in range(DEPTH)]
-    for part, a, b in merged.collect():  # bounded by ``most``, whatever the input
-        fine[part // per_row][part % per_row], coarse[part // per_row][part % per_row] = bytes(a), bytes(b)
-    return df.sparkSession.sparkContext.broadcast(Sketch(width, [b"".join(x) for x in fine], [b"".join(x) for x in coarse]))
+    fine, coarse = ([bytearray(n) for _ in range(DEPTH)] for n in (width // 4, 2 * width // COARSE))
+    # Bounded by ``most``, whatever the input; one partition of blocks at a time passes through.
+    for part, a, b in merged.toLocalIterator():
+        row, k = divmod(part, per_row)
+        fine[row][k * len(a) : (k + 1) * len(a)] = a
+        coarse[row][k * len(b) : (k + 1) * len(b)] = b
+    return df.sparkSession.sparkContext.broadcast(Sketch(width, fine, coarse))

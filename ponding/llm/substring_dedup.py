@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ponding.llm.anchors import runs
 from ponding.llm.common import documents, table, with_tags
-from ponding.llm.window_exchange import KEEP, Grain, Shard, deal, judge, window_spans, with_runs
+from ponding.llm.window_exchange import KEEP, Grain, Shard, deal, judge, unpacked, window_spans, with_runs
 from ponding.llm.words import covered, slices, word_spans
 
 GRAM = 8
@@ -55,7 +55,7 @@ def cut_repeats(df: DataFrame, width: int = 35, id_col: str = "doc_id", text_col
     docs = with_tags(documents(df, id_col, text_col))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in (x for b in batches for x in slices(b, 4_000_000)):
+        for part, data, offsets in (x for b in unpacked(batches) for x in slices(b, 4_000_000)):
             starts, ends = word_spans(data, offsets, KEEP)
             first = np.searchsorted(starts, offsets)
             raw, rows = data.tobytes(), []

@@ -29,7 +29,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ponding.llm.anchors import runs
 from ponding.llm.common import documents, table, with_tags
-from ponding.llm.window_exchange import NULL_ID, VALUES, Grain, Shard, deal, judge, read_shard, window_spans, with_runs
+from ponding.llm.window_exchange import NULL_ID, VALUES, Grain, Shard, deal, judge, read_shard, unpacked, window_spans, with_runs
 from ponding.llm.words import Powers, Rolling, U, covered, ranges, slices
 
 GRAM = 16
@@ -224,7 +224,7 @@ def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     docs = with_tags(documents(table(spark, sf_dir, "documents")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in (x for b in batches for x in slices(b, 4_000_000)):
+        for part, data, offsets in (x for b in unpacked(batches) for x in slices(b, 4_000_000)):
             rows = [(n, r, s, hashlib.sha256(kept).hexdigest()) for n, r, s, kept in cut_batch(part, data, offsets, 50)]
             columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -238,7 +238,7 @@ def cut_documents(docs: DataFrame, width: int = 50) -> DataFrame:
     plain = with_tags(plain)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in (x for b in batches for x in slices(b, 4_000_000)):
+        for part, data, offsets in (x for b in unpacked(batches) for x in slices(b, 4_000_000)):
             kept = [k.decode(errors="ignore") for *_, k in cut_batch(part, data, offsets, width)]
             texts = pa.array([k if ok else None for k, ok in zip(kept, part.column("text").is_valid().to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([texts, part.column("row")], names=["kept", "row"])

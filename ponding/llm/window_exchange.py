@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ponding.llm.anchors import Segments, segments, split_single
 from ponding.llm.common import total_bytes
@@ -216,9 +217,34 @@ def judge(dealt: DataFrame, words: bool, verdict: Callable[[Shard], tuple[np.nda
     return dealt.groupBy("bucket").applyInArrow(shard, RUNS_DDL)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for the way through a shuffle."""
+    codec = pa.Codec("zstd", compression_level=1)
+    for b in batches:
+        at = b.schema.names.index("text")
+        raw = [t.as_py() for t in b.column(at).cast(pa.binary())]
+        blobs = [None if t is None else len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in raw]
+        yield b.set_column(at, "text", pa.array(blobs, pa.binary()))
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """What :func:`with_runs` returns, with the texts' bytes."""
+    codec = pa.Codec("zstd")
+    for b in (whole.slice(i, rows) for whole in batches for i in range(0, whole.num_rows, rows)):
+        at = b.schema.names.index("text")
+        blobs = [t.as_py() for t in b.column(at)]
+        raw = [None if t is None else codec.decompress(memoryview(t)[8:], int.from_bytes(t[:8], "little"), asbytes=True) for t in blobs]
+        yield b.set_column(at, "text", pa.array(raw, pa.large_binary()))
+
+
 def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """The documents with ``runs``, a list of (start, n), null where there are none. Rows are told apart by doc_id and text."""
+    """The documents with ``runs``, a list of (start, n), null where there are none; read their texts by :func:`unpacked`.
+
+    Rows are told apart by doc_id and text. Spark may split the join where a key has many rows.
+    """
     by = runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs")).withColumnsRenamed({"doc_id": "r_id", "tag": "r_tag"})
+    packed = StructType([StructField("text", BinaryType()) if f.name == "text" else f for f in docs.schema])
+    docs = docs.mapInArrow(_packed, packed)
     return docs.join(by, docs.doc_id.eqNullSafe(by.r_id) & (docs.tag == by.r_tag), "left").drop("r_id", "r_tag")
 
 

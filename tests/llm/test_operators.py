@@ -5,11 +5,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ponding.llm import decontaminate, feistel_shards, jaccard_join, license_scan, packing, quality_net, quality_rules, substring_dedup, suffix_dedup, toxicity
 from ponding.llm.common import documents
+from ponding.llm.window_exchange import unpacked
+from ponding.llm.words import slices
 from tests.llm import brute
 
 CLASHING = "doc_id long, text string, n_words string, tag int, runs string, items string, start int, row string, blob string, kept string, cid string, y int"
@@ -63,15 +66,13 @@ def suffix_rows(spark, rows):
     from ponding.llm.common import with_tags
 
     docs = with_tags(documents(table(spark, rows)))
-    runs = suffix_dedup.with_runs(docs, suffix_dedup.removable_runs(docs))
-    out = []
-    for r in runs.collect():
-        data = (r.text or "").encode()
-        gone = bytearray(len(data))
-        for s in r.runs or []:
-            gone[s.start : s.start + s.n + 49] = b"\1" * (s.n + 49)
-        out.append((r.doc_id, len(data), sum(gone), (b"\0" + bytes(gone)).count(b"\0\1"), hashlib.sha256(bytes(x for x, g in zip(data, gone) if not g)).hexdigest()))
-    return out
+
+    def cut(batches):
+        for part, data, offsets in (x for b in unpacked(batches) for x in slices(b, 3000)):
+            got = [(n, r, s, hashlib.sha256(k).hexdigest()) for n, r, s, k in suffix_dedup.cut_batch(part, data, offsets, 50)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c) for c in zip(*got))], names=["doc_id", "n", "r", "s", "h"])
+
+    return suffix_dedup.with_runs(docs, suffix_dedup.removable_runs(docs)).mapInArrow(cut, "doc_id long, n long, r long, s long, h string").collect()
 
 
 def test_suffix(spark, rows):
