@@ -258,11 +258,40 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+#: How many of a class's smallest signatures go along with it, so that a pair found under several is sent once.
+FIRST_SIGS = 128
+
+
+def first_signatures(column: pa.ChunkedArray) -> np.ndarray:
+    """One row per class: its smallest signatures, filled up with the largest number."""
+    raw = [v.as_py() for v in column]
+    size = np.array([len(v) // 8 for v in raw])
+    out = np.full((len(raw), FIRST_SIGS), U(2**64 - 1))
+    out[np.arange(FIRST_SIGS) < size[:, None]] = np.frombuffer(b"".join(raw), U)
+    return out
+
+
+def first_here(key: U, low: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs (x, y), sorted by x, share none of their first signatures below ``key``.
+
+    A pair is never left out under the smallest signature that it shares.
+    """
+    keep = np.ones(len(x), bool)
+    cuts = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True]) if len(x) else np.zeros(1, np.int64)
+    for i, j in zip(cuts.tolist(), cuts[1:].tolist()):
+        own = low[x[i]]
+        own = own[own < key]
+        for k in range(i, j, 10_000) if len(own) else ():
+            keep[k : min(k + 10_000, j)] = ~np.isin(low[y[k : min(k + 10_000, j)]], own).any(1)
+    return keep
+
+
 def cross_pairs(percent: int):
     """Of one signature's classes the pairs in different components that neither sizes nor parities rule out, block by block."""
 
     def pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches).sort_by("n")
+        sig, low = U(key[0].as_py() % 2**64), first_signatures(t.column("low"))
         cid, n, once, comp = (t.column(c).to_numpy() for c in ("cid", "n", "once", "comp"))
         n, once, odd = n.astype(np.int64), once.astype(np.int64), bits(t.column("parity"))
         for i in range(0, len(cid), 256):
@@ -274,7 +303,9 @@ def cross_pairs(percent: int):
             x, y = np.nonzero(ok)
             x, y = a[x, 0], b[0, y]
             close = np.concatenate([(100 + percent) * apart(odd[x[k : k + 50_000]], odd[y[k : k + 50_000]]) <= (100 - percent) * (n[x[k : k + 50_000]] + n[y[k : k + 50_000]]) for k in range(0, len(x), 50_000)] or [np.zeros(0, bool)])
-            p, q = cid[x[close]], cid[y[close]]
+            x, y = x[close], y[close]
+            new = first_here(sig, low, x, y)
+            p, q = cid[x[new]], cid[y[new]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     return pairs
@@ -310,7 +341,7 @@ def links_and_components(sets: DataFrame, percent: int) -> DataFrame:
             break
     if links is None:
         return sets.select("cid", F.col("cid").alias("comp")).limit(0)
-    rest = rest.join(sets.select("cid", "parity"), "cid")
+    rest = rest.join(sets.select("cid", "parity", F.substring("sigs", 1, 8 * FIRST_SIGS).alias("low")), "cid")
     pairs = rest.groupBy("sig").applyInArrow(cross_pairs(percent), "a long, b long").distinct()
     more = materialize(verify(pairs, sets, percent), "links")
     return components(links.union(more)) if more.limit(1).count() else labels

@@ -132,6 +132,17 @@ def test_jaccard_of_many_near_copies(spark):
     same(got, brute.jaccard_components(rows))
 
 
+def test_pairs_are_sent_under_their_smallest_shared_signature():
+    rng = np.random.default_rng(6)
+    sigs = [np.unique(rng.integers(0, 60, rng.integers(1, 40), dtype=np.uint64)) for _ in range(30)]
+    low = jaccard_join.first_signatures(pa.chunked_array([[s.tobytes() for s in sigs]]))
+    for key in range(60):
+        own = [k for k, s in enumerate(sigs) if key in s]
+        x, y = np.array([(a, b) for a in own for b in own if a < b], np.int64).reshape(-1, 2).T
+        got = jaccard_join.first_here(np.uint64(key), low, x, y)
+        assert got.tolist() == [int(np.intersect1d(sigs[a], sigs[b])[0]) == key for a, b in zip(x, y)]
+
+
 def test_one_of_each(spark, rows):
     kept = jaccard_join.one_of_each(table(spark, rows))
     assert kept.columns == [c.split()[0] for c in CLASHING.split(", ")]
