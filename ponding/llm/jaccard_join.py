@@ -22,6 +22,7 @@ fall into one class. An empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -243,18 +244,20 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(cid, comp): the smallest id reachable. Labels spread along links and along labels until nothing changes."""
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(cid, comp): the smallest id reachable. Labels spread along links and along labels until nothing changes.
+
+    After only some ``rounds`` equal labels still mean that ids are linked, but not the other way round.
+    """
     both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("cid")).agg(F.least(F.col("cid"), F.min("b")).alias("comp")), "labels")
-    while True:
+    for left in itertools.count(1) if rounds is None else range(rounds, 0, -1):
         near = both.join(labels.select(F.col("cid").alias("b"), "comp"), "b").groupBy(F.col("a").alias("cid")).agg(F.min("comp").alias("near"))
         up = labels.select(F.col("cid").alias("comp"), F.col("comp").alias("up"))
         new = labels.join(up, "comp", "left").join(near, "cid").select("cid", F.least("comp", F.coalesce("up", "comp"), "near").alias("comp"), F.col("comp").alias("old"))
         new = materialize(new, "labels")
-        changed = new.where(F.col("comp") != F.col("old")).limit(1).count()
         labels = new.select("cid", "comp")
-        if not changed:
+        if left == 1 and rounds or not rounds and not new.where(F.col("comp") != F.col("old")).limit(1).count():
             return labels
 
 
@@ -311,8 +314,9 @@ def cross_pairs(percent: int):
     return pairs
 
 
-#: Stars go on until few pairs are left to compare one by one, or for this many rounds.
-STARS = 2
+#: Stars go on until few pairs are left to compare one by one, or for this many rounds. A star's
+#: labels spread in one round; labels that lag behind only leave more pairs to compare.
+STARS, SPREAD = 2, 1
 
 
 def links_and_components(sets: DataFrame, percent: int) -> DataFrame:
@@ -334,17 +338,24 @@ def links_and_components(sets: DataFrame, percent: int) -> DataFrame:
         pairs = star.where(possible("a", "b", percent)).select("a", "b").distinct()
         new = verify(near(pairs, sets, percent), sets, percent)
         links = materialize(new if links is None else links.union(new), "links")
-        labels = components(links)
+        labels = components(links, SPREAD)
         rest = materialize(_unsettled(rest.drop("hub"), labels), "rest")
         size = rest.groupBy("sig").count().agg(F.sum("count"), F.sum(F.col("count") * F.col("count"))).first()
         if not size[0] or size[1] <= 8 * size[0]:
             break
     if links is None:
         return sets.select("cid", F.col("cid").alias("comp")).limit(0)
-    rest = rest.join(sets.select("cid", "parity", F.substring("sigs", 1, 8 * FIRST_SIGS).alias("low")), "cid")
+    rest = _distinct_groups(rest).join(sets.select("cid", "parity", F.substring("sigs", 1, 8 * FIRST_SIGS).alias("low")), "cid")
     pairs = rest.groupBy("sig").applyInArrow(cross_pairs(percent), "a long, b long").distinct()
-    more = materialize(verify(pairs, sets, percent), "links")
-    return components(links.union(more)) if more.limit(1).count() else labels
+    return components(links.union(verify(pairs, sets, percent)))
+
+
+def _distinct_groups(rest: DataFrame) -> DataFrame:
+    """Of signatures with the same classes only the smallest (as unsigned numbers, like :func:`first_here`)."""
+    members = [F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")]
+    groups = rest.groupBy("sig").agg(*members).where("size > 1")
+    keep = groups.groupBy("size", "x", "y").agg(F.min(F.struct((F.col("sig") < 0).alias("high"), "sig")).alias("s")).select(F.col("s.sig").alias("sig"))
+    return rest.join(keep, "sig", "left_semi")
 
 
 def _unsettled(rest: DataFrame, labels: DataFrame) -> DataFrame:
