@@ -9,7 +9,7 @@ on their left cannot be extended there: these are the maximal repeats (up to the
 segment; a longer one shows as several that follow each other).
 
 For the cut, every byte goes that lies in a ``width``-byte string which also starts in a
-document with a smaller doc_id, read off the intervals' smallest documents.
+document with a smaller doc_id: what the maximal repeats cover outside their smallest documents.
 
 Nulls: a null text is empty. A null doc_id counts as larger than any other, and null ids
 do not come before each other. Rows that repeat a doc_id are one document's: they do not
@@ -32,7 +32,7 @@ from ponding.llm.common import documents, table, with_tags
 from ponding.llm.window_exchange import NULL_ID, VALUES, Grain, Shard, deal, judge, read_shard, unpacked, window_spans, with_runs
 from ponding.llm.words import Powers, Rolling, U, covered, ranges, slices
 
-GRAM = 16
+GRAM, SCATTER = 16, 2_000_000
 
 
 def big_endian(text: np.ndarray) -> np.ndarray:
@@ -131,24 +131,45 @@ class Enhanced:
         self.order, self.lcp = suffix_array(big_endian(self.text), self.pos, end, depth)
         self.smallest = np.full(len(rep), NULL_ID)
         np.minimum.at(self.smallest, self.which, s.doc[self.live])
-        # The byte left of each suffix: inside a segment the one before; at its start that of
-        # its members, or -1 where they differ or a document begins.
-        before = np.where(s.left[self.live] > 0, s.load[begin[self.live]].astype(np.int64), -1)
-        low, high = np.full(len(rep), 999), np.full(len(rep), -1)
-        np.minimum.at(low, self.which, before)
-        np.maximum.at(high, self.which, before)
-        self.leftmost = np.where(low == high, low, -1)
+        self.weight = np.bincount(self.which, s.refs[self.live], len(rep)).astype(np.int64)
+
+    def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Common bytes, first and last place in the order of every left-diverse interval, by one stack scan of the shard.
+
+        The byte left of a segment lies in another shard, so a segment's first suffix counts as
+        diverse. A suffix that several members of one segment have is an interval of its own.
+        """
+        entry, pos = self.owner[self.order], self.pos[self.order]
+        begins = pos == self.begin[entry]
+        left = self.text[np.maximum(pos - 1, 0)]
+        low = self.lcp < self.width
+        sub = np.flatnonzero(~low | np.r_[~low[1:], False])
+        common, a, b = np.array(intervals(np.where(low, 0, self.lcp)[sub], self.width), np.int64).reshape(-1, 3).T
+        turns = np.cumsum(np.r_[False, left[sub][1:] != left[sub][:-1]])
+        starts = np.r_[0, np.cumsum(begins[sub])]
+        diverse = (turns[a] != turns[b]) | (starts[b + 1] > starts[a])
+        rest = self.count[entry] + self.width - 1 - (pos - self.begin[entry])
+        leaf = np.flatnonzero(begins & (self.weight[entry] > 1) & (rest > np.maximum(self.lcp, np.r_[self.lcp[1:], 0])))
+        return np.r_[common[diverse], rest[leaf]], np.r_[sub[a[diverse]], leaf], np.r_[sub[b[diverse]], leaf]
 
     def removed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs of windows that also start in a smaller document: the root intervals' smallest documents decide."""
+        """Runs of windows that also start in a smaller document: what the repeats cover in all but their smallest documents."""
         s = self.s
         none = np.zeros(0, np.int64)
         if not len(self.order):
             return none, none, none, none
-        roots = np.flatnonzero(self.lcp < self.width)
-        least = np.minimum.reduceat(self.smallest[self.owner[self.order]], roots)
-        window = np.empty(len(self.order), np.int64)
-        window[self.order] = np.repeat(least, np.diff(np.r_[roots, len(self.order)]))
+        common, a, b = self.repeats()
+        entry = self.owner[self.order]
+        place = self.first[entry] + self.pos[self.order] - self.begin[entry]
+        least = np.minimum.reduceat(np.r_[self.smallest[entry], NULL_ID], np.c_[a, b + 1].ravel())[::2] if len(a) else none
+        # The smallest document in which each window of the distinct segments starts.
+        window = np.full(len(self.order), NULL_ID)
+        total = np.cumsum((b - a + 1) * (common - self.width + 1))
+        cuts = np.unique(np.r_[0, np.searchsorted(total, np.arange(SCATTER, total[-1] if len(a) else 0, SCATTER)), len(a)])
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            size = b[i:j] - a[i:j] + 1
+            n = np.repeat(common[i:j] - self.width + 1, size)
+            np.minimum.at(window, ranges(place[ranges(a[i:j], size)], n), np.repeat(np.repeat(least[i:j], size), n))
         count = s.count[self.live]
         begin = np.cumsum(count) - count
         own = np.repeat(np.arange(len(self.live)), count)
@@ -161,33 +182,20 @@ class Enhanced:
     def maximal(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Each maximal repeat: its bytes, and the documents and places of all its occurrences in the shard."""
         s = self.s
-        roots = np.flatnonzero(self.lcp < self.width)
+        if not len(self.order):
+            return
         entry = self.owner[self.order]
-        left = np.where(self.pos[self.order] == self.begin[entry], self.leftmost[entry], self.text[np.maximum(self.pos[self.order] - 1, 0)].astype(np.int64))
         members = np.argsort(self.which, kind="stable")
         mcut = np.searchsorted(self.which[members], np.arange(len(self.count) + 1))
         rcut = np.cumsum(s.refs) - s.refs
-        for i, j in zip(roots.tolist(), [*roots[1:].tolist(), len(self.order)]):
-            own = left[i:j]
-            if own.min() == own.max() != -1:
-                continue  # no interval inside is left-diverse
-            spans = intervals(self.lcp[i:j], self.width) if j - i > 1 else []
-            if not spans:
-                seg = entry[i]
-                spans = [(int(self.begin[seg] + self.count[seg] + self.width - 1 - self.pos[self.order[i]]), 0, 0)]
-            for common, a, b in spans:
-                inner = left[i + a : i + b + 1]
-                if inner.min() == inner.max() != -1:
-                    continue
-                docs, starts = [], []
-                for e in range(i + a, i + b + 1):
-                    seg = members[mcut[entry[e]] : mcut[entry[e] + 1]]
-                    own_segs = self.live[seg]
-                    refs = s.refs[own_segs]
-                    docs.append(np.repeat(s.doc[own_segs], refs))
-                    starts.append(s.start[ranges(rcut[own_segs], refs)] + self.pos[self.order[e]] - self.begin[entry[e]])
-                if sum(map(len, docs)) > 1:
-                    yield common, np.concatenate(docs), np.concatenate(starts)
+        for common, a, b in zip(*(x.tolist() for x in self.repeats())):
+            docs, starts = [], []
+            for e in range(a, b + 1):
+                own_segs = self.live[members[mcut[entry[e]] : mcut[entry[e] + 1]]]
+                refs = s.refs[own_segs]
+                docs.append(np.repeat(s.doc[own_segs], refs))
+                starts.append(s.start[ranges(rcut[own_segs], refs)] + self.pos[self.order[e]] - self.begin[entry[e]])
+            yield common, np.concatenate(docs), np.concatenate(starts)
 
 
 def removable_runs(docs: DataFrame, width: int = 50) -> DataFrame:
@@ -196,17 +204,16 @@ def removable_runs(docs: DataFrame, width: int = 50) -> DataFrame:
 
 
 def maximal_repeats(df: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per maximal repeat: its bytes, and all its occurrences as (doc_id, start), one per copy that a chunk kept apart."""
+    """One row per maximal repeat: its bytes, and all its occurrences as (doc_id, start)."""
     docs = documents(df, id_col, text_col)
     schema = "bytes long, occurrences array<struct<doc_id: long, start: long>>"
 
     def shard(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [x.as_py() for b in batches for x in b.column("blob")]
-        if key[0].as_py() >= 0:
-            rows = [(n, [{"doc_id": None if d == NULL_ID else d, "start": p} for d, p in zip(doc.tolist(), at.tolist())]) for n, doc, at in Enhanced(read_shard(blobs, False), width).maximal()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64())])))], names=["bytes", "occurrences"])
+        rows = [(n, [{"doc_id": None if d == NULL_ID else d, "start": p} for d, p in zip(doc.tolist(), at.tolist())]) for n, doc, at in Enhanced(read_shard(blobs, False), width).maximal()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64())])))], names=["bytes", "occurrences"])
 
-    return deal(with_tags(docs), Grain(False, width, GRAM)).groupBy("bucket").applyInArrow(shard, schema)
+    return deal(with_tags(docs), Grain(False, width, GRAM), copies=True).groupBy("bucket").applyInArrow(shard, schema)
 
 
 def cut_batch(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[int, int, int, bytes]]:

@@ -55,10 +55,10 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Chunk:
-    """Segments gathered from slices until they are worth sending."""
+    """Segments gathered from slices until they are worth sending; with ``copies``, also those that equal one of a smaller document."""
 
-    def __init__(self, grain: Grain, buckets: int):
-        self.grain, self.buckets = grain, buckets
+    def __init__(self, grain: Grain, buckets: int, copies: bool = False):
+        self.grain, self.buckets, self.copies = grain, buckets, copies
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.loads: list[np.ndarray] = []
         self.bytes = 0
@@ -87,6 +87,8 @@ class Chunk:
         self.parts, self.loads, self.bytes = [], [], 0
         order = np.lexsort((start, tag, doc, content))
         cut = np.r_[True, content[order][1:] != content[order][:-1]]
+        if self.copies:
+            cut[1:] |= doc[order][1:] != doc[order][:-1]
         group = np.cumsum(cut) - 1
         heads = np.flatnonzero(cut)
         sizes = np.diff(np.r_[heads, len(order)])
@@ -162,8 +164,8 @@ def run_batch(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, n: np.ndarray
     return pa.RecordBatch.from_arrays([ids, *(pa.array(x.astype(np.int64)) for x in (tag, start, n))], schema=RUNS)
 
 
-def deal(docs: DataFrame, grain: Grain) -> DataFrame:
-    """docs: doc_id, text, tag. Rows (bucket, blob) for :func:`read_shard`, not yet shuffled."""
+def deal(docs: DataFrame, grain: Grain, copies: bool = False) -> DataFrame:
+    """docs: doc_id, text, tag. Rows (bucket, blob) for :func:`read_shard`, not yet shuffled; ``copies`` of bytes: see :class:`Chunk`."""
     n_bytes = total_bytes(docs)
     expected = n_bytes / grain.bytes_per_anchor()
     buckets = max(32, n_bytes // SHARD_BYTES)
@@ -183,7 +185,7 @@ def deal(docs: DataFrame, grain: Grain) -> DataFrame:
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch: Sketch = shared.value
-        powers, chunk = Powers(), Chunk(grain, buckets)
+        powers, chunk = Powers(), Chunk(grain, buckets, copies)
 
         def out() -> Iterator[pa.RecordBatch]:
             rows = list(chunk.flush())

@@ -90,6 +90,28 @@ def test_maximal_repeats_have_all_occurrences(spark):
         assert len({texts[o.doc_id][o.start : o.start + r.bytes] for o in r.occurrences}) == 1
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_maximal_repeats_of_one_chunk(spark, parts):
+    """Every occurrence of every repeated window counts, also where all copies lie in one partition."""
+    rng = random.Random(8)
+    prose = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    shared, tail = prose(300), prose(80)
+    texts = {1: prose(30) + shared + tail, 2: prose(20) + shared, 3: "x" + shared + tail, 4: shared[100:] + prose(9), 5: prose(200), 6: shared + "q", 7: shared + "q"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).repartition(parts)
+    got = suffix_dedup.maximal_repeats(docs).collect()
+    found = {}
+    for r in got:
+        assert len({texts[o.doc_id][o.start : o.start + r.bytes] for o in r.occurrences}) == 1
+        for o in r.occurrences:
+            for k in range(r.bytes - 49):
+                found.setdefault(texts[o.doc_id][o.start + k : o.start + k + 50], set()).add((o.doc_id, o.start + k))
+    windows = {}
+    for i, t in texts.items():
+        for k in range(len(t) - 49):
+            windows.setdefault(t[k : k + 50], set()).add((i, k))
+    assert found == {w: at for w, at in windows.items() if len(at) > 1}
+
+
 def test_cut_documents_keeps_columns(spark, rows):
     got = suffix_dedup.cut_documents(table(spark, rows))
     assert got.columns == [c.split()[0] for c in CLASHING.split(", ")]
