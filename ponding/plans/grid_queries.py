@@ -8,7 +8,8 @@ from ponding.functions import hydro
 from ponding.operators import grid
 from ponding.plans.registry import query
 
-N = 60
+#: The grid of the SQL, and the whole grid of the domain.
+N, WHOLE = 60, 240
 CELLS = f"cells AS (SELECT (range // {N})::INT AS row, (range % {N})::INT AS col, (range % {N}) / {N - 1}.0::DOUBLE AS x, (range // {N}) / {N - 1}.0::DOUBLE AS y FROM range({N * N}))"
 STORM = "(6 + 145 * exp(-((x - (0.15 + 0.70 * t / 180)) ** 2 + (y - (0.55 + 0.05 * sin(t / 40))) ** 2) / (2 * 0.22 * 0.22)) * exp(-(((t - 70.0) / 70) ** 2)))"
 IMPERV = "(0.78 - 0.30 * exp(-((x - 0.7) ** 2 + (y - 0.25) ** 2) / (2 * 0.08 * 0.08)))"
@@ -34,8 +35,8 @@ def depth_cube(spark, n: int = N):
 
 
 @query(f"WITH {CUBE} SELECT lead, row, col, round(storage, 4) AS storage, round(depth_cm, 3) AS depth_cm FROM cube")
-def storage_balance_cube(spark, sf_dir):
-    return depth_cube(spark).select("lead", "row", "col", F.round("storage", 4).alias("storage"), F.round("depth_cm", 3).alias("depth_cm"))
+def storage_balance_cube(spark, sf_dir, n=N):
+    return depth_cube(spark, n).select("lead", "row", "col", F.round("storage", 4).alias("storage"), F.round("depth_cm", 3).alias("depth_cm"))
 
 
 ALERTS = f"""{CUBE}, segs AS (SELECT *, 'reach ' || (row // 4) || '-' || (col // 4) AS name FROM cube),
@@ -43,9 +44,9 @@ e AS (SELECT name, row, col, max(depth_cm) AS peak, min(CASE WHEN depth_cm >= 10
 
 
 @query(f"""WITH {ALERTS} SELECT name, round(peak, 2) AS peak_cm, onset, peak_lead FROM e QUALIFY row_number() OVER (PARTITION BY name ORDER BY peak DESC, row, col) = 1 ORDER BY peak DESC, name LIMIT 10""")
-def alerts_top_ten(spark, sf_dir):
+def alerts_top_ten(spark, sf_dir, n=N):
     """The worst cell of each reach with onset and peak, the ten worst reaches."""
-    return alerts(depth_cube(spark).withColumn("name", F.concat(F.lit("reach "), F.floor(F.col("row") / 4).cast("string"), F.lit("-"), F.floor(F.col("col") / 4).cast("string"))), ["row", "col"], top=10)
+    return alerts(depth_cube(spark, n).withColumn("name", F.concat(F.lit("reach "), F.floor(F.col("row") / 4).cast("string"), F.lit("-"), F.floor(F.col("col") / 4).cast("string"))), ["row", "col"], top=10)
 
 
 def alerts(depths, edge: list[str], top: int = 10, flooded: float = hydro.FLOODED_CM):
@@ -63,30 +64,30 @@ b AS (SELECT c.lead, c.row, c.col, sum(d.v * w.w) AS v FROM a c, w, a d WHERE d.
 
 
 @query(f"WITH {GAUSS} SELECT lead, row, col, round(v, 3) AS depth_cm FROM b")
-def gaussian_depth(spark, sf_dir):
-    d = depth_cube(spark).select("lead", "row", "col", "depth_cm")
-    return grid.gaussian(d, N, SIGMA, "depth_cm", ["lead"]).select("lead", "row", "col", F.round("depth_cm", 3).alias("depth_cm"))
+def gaussian_depth(spark, sf_dir, n=N):
+    d = depth_cube(spark, n).select("lead", "row", "col", "depth_cm")
+    return grid.gaussian(d, n, SIGMA, "depth_cm", ["lead"]).select("lead", "row", "col", F.round("depth_cm", 3).alias("depth_cm"))
 
 
 #: A bumpy but reproducible elevation in whole centimetres, so that comparisons are exact.
 DEM = f"dem AS (SELECT row, col, row * {N} + col AS cell, ((row * 37 + col * 11) % 101 + 3 * (({N} - row) + abs(col - {N // 2})) * 10)::DOUBLE AS z FROM cells)"
 
 
-def dem(spark):
-    c = grid.cells(spark, N)
-    return c.select("row", "col", (F.col("row") * N + F.col("col")).cast("long").alias("cell"), ((F.col("row") * 37 + F.col("col") * 11) % 101 + 3 * ((N - F.col("row")) + F.abs(F.col("col") - N // 2)) * 10).cast("double").alias("z"))
+def dem(spark, n: int = N):
+    c = grid.cells(spark, n)
+    return c.select("row", "col", (F.col("row") * n + F.col("col")).cast("long").alias("cell"), ((F.col("row") * 37 + F.col("col") * 11) % 101 + 3 * ((n - F.col("row")) + F.abs(F.col("col") - n // 2)) * 10).cast("double").alias("z"))
 
 
 @query(f"""WITH {CELLS}, {DEM}, g AS (SELECT row, col, z, lag(z) OVER r AS u, lead(z) OVER r AS d, lag(z) OVER c AS l, lead(z) OVER c AS e FROM dem WINDOW r AS (PARTITION BY col ORDER BY row), c AS (PARTITION BY row ORDER BY col)),
 s AS (SELECT row, col, CASE WHEN u IS NULL THEN d - z WHEN d IS NULL THEN z - u ELSE (d - u) / 2 END / 1000 AS a, CASE WHEN l IS NULL THEN e - z WHEN e IS NULL THEN z - l ELSE (e - l) / 2 END / 1000 AS b FROM g)
 SELECT row, col, round(a, 5) AS dz_row, round(b, 5) AS dz_col, round(degrees(atan(sqrt(a * a + b * b))), 4) AS slope_deg FROM s""")
-def terrain_slope(spark, sf_dir):
-    return grid.slope(dem(spark), 1000.0).select("row", "col", F.round("dz_row", 5).alias("dz_row"), F.round("dz_col", 5).alias("dz_col"), F.round("slope_deg", 4).alias("slope_deg"))
+def terrain_slope(spark, sf_dir, n=N):
+    return grid.slope(dem(spark, n), 1000.0).select("row", "col", F.round("dz_row", 5).alias("dz_row"), F.round("dz_col", 5).alias("dz_col"), F.round("slope_deg", 4).alias("slope_deg"))
 
 
 @query(f"""WITH {CELLS}, {DEM}, m AS (SELECT row, col FROM dem WHERE z < 400) SELECT DISTINCT m.row + a AS row, m.col + b AS col FROM m, (VALUES (0,0),(-1,0),(1,0),(0,-1),(0,1)) o(a, b) WHERE m.row + a BETWEEN 0 AND {N - 1} AND m.col + b BETWEEN 0 AND {N - 1}""")
-def binary_dilation(spark, sf_dir):
-    return grid.dilate(dem(spark).where("z < 400").select("row", "col"), N)
+def binary_dilation(spark, sf_dir, n=N):
+    return grid.dilate(dem(spark, n).where("z < 400").select("row", "col"), n)
 
 
 FLOW = f"""{CELLS}, {DEM}, o(k, code, a, b) AS (VALUES (1,64,-1,0),(2,128,-1,1),(3,1,0,1),(4,2,1,1),(5,4,1,0),(6,8,1,-1),(7,16,0,-1),(8,32,-1,-1)),
@@ -95,53 +96,66 @@ flow AS (SELECT d.cell, coalesce(best.rec, d.cell) AS rec, best.code FROM dem d
 
 
 @query(f"WITH {FLOW} SELECT cell // {N} AS row, cell % {N} AS col, code, rec FROM flow")
-def flow_direction(spark, sf_dir):
-    d = grid.flow_direction(dem(spark))
-    r = grid.receivers(d, N)
-    return d.withColumn("cell", (F.col("row") * N + F.col("col")).cast("long")).join(r, "cell").select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "code", "rec")
+def flow_direction(spark, sf_dir, n=N):
+    d = grid.flow_direction(dem(spark, n))
+    r = grid.receivers(d, n)
+    return d.withColumn("cell", (F.col("row") * n + F.col("col")).cast("long")).join(r, "cell").select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "code", "rec")
 
 
 @query(f"""WITH RECURSIVE {FLOW}, walk AS (SELECT cell, cell AS pos FROM flow UNION ALL SELECT w.cell, f.rec FROM walk w JOIN flow f ON f.cell = w.pos WHERE f.rec <> f.cell)
 SELECT pos AS cell, count(*)::DOUBLE AS acc FROM walk GROUP BY pos""")
-def flow_accumulation(spark, sf_dir):
-    return grid.accumulate(grid.receivers(grid.flow_direction(dem(spark)), N))
+def flow_accumulation(spark, sf_dir, n=N):
+    return grid.accumulate(grid.receivers(grid.flow_direction(dem(spark, n)), n))
 
 
 @query(f"""WITH RECURSIVE {FLOW}, walk AS (SELECT f.cell, f.cell AS pos, 0 AS n FROM flow f UNION ALL SELECT w.cell, f.rec, n + 1 FROM walk w JOIN flow f ON f.cell = w.pos JOIN dem d ON d.cell = w.pos WHERE f.rec <> f.cell AND d.z >= 400),
 t AS (SELECT cell, arg_max(pos, n) AS target FROM walk GROUP BY cell) SELECT t.cell, t.target, greatest(d.z - e.z, 0) / 100 AS hand_m FROM t JOIN dem d ON d.cell = t.cell JOIN dem e ON e.cell = t.target""")
-def height_above_drainage(spark, sf_dir):
+def height_above_drainage(spark, sf_dir, n=N):
     """Each cell's first low cell downstream, and its height above it."""
-    d = dem(spark).select("cell", "z", "row", "col")
-    target = grid.jump(grid.receivers(grid.flow_direction(d), N), d.where("z < 400").select("cell"))
+    d = dem(spark, n).select("cell", "z", "row", "col")
+    target = grid.jump(grid.receivers(grid.flow_direction(d), n), d.where("z < 400").select("cell"))
     at = d.select(F.col("cell").alias("target"), F.col("z").alias("z_t"))
     return target.join(d, "cell").join(at, "target").select("cell", "target", (F.greatest(F.col("z") - F.col("z_t"), F.lit(0.0)) / 100).alias("hand_m"))
 
 
 @query(f"""WITH {CELLS}, {DEM}, f AS (SELECT *, cell % 53 AS zone, CASE WHEN cell % 7 <> 0 THEN z END AS v FROM dem)
 SELECT zone, count(*) AS cells, round(sum(coalesce(v, 0)), 2) AS sum_v, round(sum(coalesce(v, 0)) / count(*), 4) AS mean_v, round(avg((z < 400)::INT), 4) AS low_share, round(avg(row), 3) AS y, round(avg(col), 3) AS x FROM f GROUP BY zone""")
-def zonal_statistics(spark, sf_dir):
-    f = dem(spark).withColumn("zone", F.col("cell") % 53).withColumn("v", F.when(F.col("cell") % 7 != 0, F.col("z")))
+def zonal_statistics(spark, sf_dir, n=N):
+    f = dem(spark, n).withColumn("zone", F.col("cell") % 53).withColumn("v", F.when(F.col("cell") % 7 != 0, F.col("z")))
     share = f.groupBy("zone").agg(F.round(F.avg((F.col("z") < 400).cast("int")), 4).alias("low_share"), F.round(F.avg("row"), 3).alias("y"), F.round(F.avg("col"), 3).alias("x"))
     return grid.zonal(f, "zone", "v").join(share, "zone").select("zone", "cells", F.round("sum_v", 2).alias("sum_v"), F.round("mean_v", 4).alias("mean_v"), "low_share", "y", "x")
 
 
 @query(f"""WITH {CELLS}, {DEM} SELECT floor((row + 0.5) * 16 / {N})::INT AS row, floor((col + 0.5) * 16 / {N})::INT AS col, round(avg(z), 4) AS z FROM dem GROUP BY 1, 2""")
-def regrid_average(spark, sf_dir):
-    return grid.regrid(dem(spark), N, 16, "z").select("row", "col", F.round("z", 4).alias("z"))
+def regrid_average(spark, sf_dir, n=N):
+    return grid.regrid(dem(spark, n), n, 16, "z").select("row", "col", F.round("z", 4).alias("z"))
 
 
 @query(f"""WITH {CELLS}, l AS (SELECT row, col, x, y, [10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 100][1 + (row * 7 + col * 3) % 11] AS class FROM cells)
 SELECT class, count(*) AS cells, any_value(CASE class WHEN 10 THEN 70 WHEN 20 THEN 73 WHEN 30 THEN 74 WHEN 40 THEN 85 WHEN 50 THEN 79 WHEN 60 THEN 91 WHEN 70 THEN 74 WHEN 80 THEN 100 WHEN 90 THEN 85 WHEN 95 THEN 70 ELSE 74 END)::DOUBLE AS cn,
  round(avg(least(greatest(greatest(CASE class WHEN 10 THEN 0.05 WHEN 20 THEN 0.10 WHEN 30 THEN 0.15 WHEN 40 THEN 0.20 WHEN 50 THEN 0.85 WHEN 60 THEN 0.40 WHEN 100 THEN 0.05 ELSE 0 END, x * y), 0), 0.98)), 5) AS imperv FROM l GROUP BY class""")
-def land_cover_lookup(spark, sf_dir):
+def land_cover_lookup(spark, sf_dir, n=N):
     codes = F.array(*[F.lit(c) for c in hydro.CURVE_NUMBER])
-    c = grid.cells(spark, N).withColumn("class", F.element_at(codes, (1 + (F.col("row") * 7 + F.col("col") * 3) % 11).cast("int")))
+    c = grid.cells(spark, n).withColumn("class", F.element_at(codes, (1 + (F.col("row") * 7 + F.col("col") * 3) % 11).cast("int")))
     share = hydro.clip(F.greatest(hydro.lookup(hydro.IMPERVIOUS, F.col("class")), F.col("x") * F.col("y")), 0, 0.98)
     return c.groupBy("class").agg(F.count(F.lit(1)).alias("cells"), F.max(hydro.lookup(hydro.CURVE_NUMBER, F.col("class"))).alias("cn"), F.round(F.avg(share), 5).alias("imperv"))
 
 
 @query()
 def filled_depressions(spark, sf_dir):
-    """Pits raised to their spill level on a coarser grid (iterative; tests compare it with a priority queue)."""
-    coarse = dem(spark).where("row < 30 and col < 30")
-    return grid.fill_depressions(coarse, 30).select("row", "col", "z", "w")
+    """Pits raised to their spill level (iterative; tests compare it with a priority queue)."""
+    return grid.fill_depressions(dem(spark, WHOLE), WHOLE).select("row", "col", "z", "w")
+
+
+def whole(f):
+    """Registers the query on the whole grid, where SQL is too slow."""
+
+    def on_whole_grid(spark, sf_dir):
+        return f(spark, sf_dir, WHOLE)
+
+    on_whole_grid.__name__ = f"{f.__name__}_{WHOLE}"
+    query()(on_whole_grid)
+
+
+for _f in (storage_balance_cube, alerts_top_ten, gaussian_depth, terrain_slope, binary_dilation, flow_direction, flow_accumulation, height_above_drainage, zonal_statistics, regrid_average, land_cover_lookup):
+    whole(_f)

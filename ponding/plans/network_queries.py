@@ -65,7 +65,16 @@ def node_degrees(spark, sf_dir):
 @query(f"WITH {CONDUITS}, e AS (SELECT u AS node, depth AS own, width / 100 AS other FROM conduits WHERE u <> v AND eid % 3 = 0 UNION ALL SELECT v, width / 100, depth FROM conduits WHERE u <> v AND eid % 3 = 0), d AS (SELECT *, count(*) OVER (PARTITION BY node) AS degree FROM e) SELECT DISTINCT node FROM d WHERE own <= other AND degree <= 95")
 def outfalls(spark, sf_dir):
     """Nodes of small degree where an own invert lies no higher than the other end's."""
-    c = conduits(spark, sf_dir).where("u <> v and eid % 3 = 0")
+    return low_ends(conduits(spark, sf_dir).where("u <> v and eid % 3 = 0"))
+
+
+@query()
+def outfalls_whole(spark, sf_dir):
+    """The same over all conduits (tests compare it with a plain loop)."""
+    return low_ends(conduits(spark, sf_dir).where("u <> v"))
+
+
+def low_ends(c):
     ends = c.select(F.col("u").alias("node"), F.col("depth").alias("own"), (F.col("width") / 100).alias("other")).unionByName(c.select(F.col("v").alias("node"), (F.col("width") / 100).alias("own"), F.col("depth").alias("other")))
     few = ends.groupBy("node").count().where("count <= 95").select("node")
     return ends.where("own <= other").select("node").distinct().join(few, "node", "left_semi")
@@ -117,6 +126,12 @@ def components(spark, sf_dir):
     return network.components(conduits(spark, sf_dir).where("eid % 97 = 0 and u <> v"))
 
 
+@query()
+def components_whole(spark, sf_dir):
+    """The same over all conduits (tests compare it with a plain loop)."""
+    return network.components(conduits(spark, sf_dir).where("u <> v"))
+
+
 LINES = """v AS (SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, 77.60::DOUBLE + ((o_orderkey * 7919) % 1000) / 10000.0::DOUBLE AS lon, 12.90::DOUBLE + ((o_orderkey * 104729) % 1000) / 10000.0::DOUBLE AS lat FROM orders)"""
 
 
