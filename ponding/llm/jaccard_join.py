@@ -154,7 +154,7 @@ def candidate_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     coarse = build(docs.select("text"), keys, width_for(expected))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch: Sketch = coarse.value
+        sketch = Sketch(*coarse.value)
         for values, first, new in found(batches):
             # A set whose shingles mostly occur once has no partner, whatever the others are.
             own = values[_sampled(values)]
@@ -180,7 +180,7 @@ def candidate_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     fine = build(sets.select("shingles"), set_keys, width_for(left))
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch: Sketch = fine.value
+        sketch = Sketch(*fine.value)
         for b in batches:
             rows = []
             for cid, blob in zip(b.column("cid").to_pylist(), b.column("shingles"), strict=True):

@@ -3,10 +3,11 @@
 Bytes are embedded; learned filters slide over chunks of 16 bytes, 8 apart, that cover the
 whole document; each filter keeps its strongest response, and two dense layers combine
 these into one probability. It is trained here, on the driver, on at most ``limit``
-labelled rows, and scores every whole text in one narrow pass.
+labelled rows and ``most_bytes`` bytes, and scores every whole text in one narrow pass.
 
 Nulls: a null or empty text is one chunk of padding. Without labels every score is 0.5.
-A null doc_id is never held out nor learnt from. Repeated rows get equal scores.
+A null doc_id is never held out nor learnt from. Repeated rows get equal scores, long texts
+are read whole, other columns are not read, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ponding.llm.common import documents, table
-from ponding.llm.labelled import remainder, sample
+from ponding.llm.labelled import MOST_BYTES, remainder, sample
 from ponding.llm.words import ranges, slices
 
 WIDTH, STEP, EMBED, FILTERS, HIDDEN = 16, 8, 6, 24, 12
@@ -135,9 +136,9 @@ def score(docs: DataFrame, net: Net | None) -> DataFrame:
     return docs.mapInArrow(scored, "doc_id long, score double")
 
 
-def op8_byte_network(spark, sf_dir: str, limit: int = 4_000) -> DataFrame:
+def op8_byte_network(spark, sf_dir: str, limit: int = 4_000, most_bytes: int = MOST_BYTES // 2) -> DataFrame:
     docs = documents(table(spark, sf_dir, "documents"))
-    rows = sample(docs, table(spark, sf_dir, "labels"), "quality", 3, 1, limit).orderBy("doc_id", "text")
-    net = learn([(r.text, r.y) for r in rows.toLocalIterator()])
+    rows = sample(docs, table(spark, sf_dir, "labels"), "quality", 3, 1, limit, most_bytes)
+    net = learn([(r.text, r.y) for r in sorted(rows.toLocalIterator(), key=lambda r: r.doc_id)])
     out = score(docs, net)
     return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

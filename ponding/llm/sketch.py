@@ -98,7 +98,7 @@ class Sketch:
 
 
 def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterable[np.ndarray]], width: int):
-    """A broadcast :class:`Sketch` of all keys that ``keys_of`` finds in the rows."""
+    """A broadcast of the arguments of a :class:`Sketch` of all keys that ``keys_of`` finds in the rows."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, n = [], 0
@@ -120,4 +120,4 @@ def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterable[np.ndarray
         row, k = divmod(part, per_row)
         fine[row][k * len(a) : (k + 1) * len(a)] = a
         coarse[row][k * len(b) : (k + 1) * len(b)] = b
-    return df.sparkSession.sparkContext.broadcast(Sketch(width, fine, coarse))
+    return df.sparkSession.sparkContext.broadcast((width, fine, coarse))

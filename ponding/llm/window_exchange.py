@@ -184,7 +184,7 @@ def deal(docs: DataFrame, grain: Grain, copies: bool = False) -> DataFrame:
     shared = build(docs.select("text"), keys, width_for(expected, 2.5))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch: Sketch = shared.value
+        sketch = Sketch(*shared.value)
         powers, chunk = Powers(), Chunk(grain, buckets, copies)
 
         def out() -> Iterator[pa.RecordBatch]:

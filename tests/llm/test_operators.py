@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ponding.llm import decontaminate, feistel_shards, jaccard_join, license_scan, packing, quality_net, quality_rules, substring_dedup, suffix_dedup, toxicity
+from ponding.llm import decontaminate, feistel_shards, jaccard_join, license_scan, packing, quality_rules, substring_dedup, suffix_dedup
 from ponding.llm.common import documents
 from ponding.llm.window_exchange import unpacked
 from ponding.llm.words import slices
@@ -186,72 +186,6 @@ def test_outliers(spark):
     assert kept == {r[0] for r in clean}
 
 
-def test_toxicity_is_learnt_and_fair():
-    rng = random.Random(2)
-    filler = [f"word{k}" for k in range(200)]
-    rows = []
-    for i in range(1500):
-        words = rng.sample(filler, 30)
-        toxic = int(i % 5 == 0)
-        if toxic and rng.random() < 0.6:
-            words[3] = rng.choice(["vilestuff", "vilething"])
-        if rng.random() < (0.6 if toxic else 0.05):
-            words[5] = "muslim"  # named far more often in toxic texts
-        rows.append((" ".join(words), toxic))
-
-    def scores(model, texts):
-        raw = [t.encode() for t in texts]
-        d, b, *_ = toxicity.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), toxicity.Powers())
-        return model.score(d, b, len(raw))
-
-    neutral = " ".join(rng.sample(filler, 30))
-    texts = [neutral + " vilething", neutral, neutral + " muslim", neutral + " christian"]
-    fair, unfair = (scores(toxicity.learn(rows, fairness=f), texts) for f in (30.0, 0.0))
-    assert fair[0] > 0.5 and fair[1] < 0.3
-    assert abs(fair[2] - fair[3]) < 0.5 * abs(unfair[2] - unfair[3])
-    assert toxicity.learn([]).score(np.zeros(0, int), np.zeros(0, int), 2).max() < 1e-6
-
-
-def test_quality_network_learns():
-    rng = random.Random(3)
-    clean = lambda: " ".join(rng.choice(["lorem", "ipsum,", "dolor", "sit", "amet."]) for _ in range(rng.randint(20, 80)))
-    junk = lambda: "".join(rng.choice("#*$%&") for _ in range(rng.randint(60, 300)))
-    rows = [((clean() + junk(), 0) if i % 3 == 0 else (clean(), 1)) for i in range(240)]
-    net = quality_net.learn(rows, epochs=6)
-    raw = [t.encode() for t, _ in [(clean() + " " + junk() + clean(), 0), (clean(), 1), ("", 1)]]
-    s = quality_net.score_batch(net, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-    assert s[0] < 0.5 < s[1] and 0 <= s[2] <= 1
-
-
-def test_classifier_queries(spark, rows):
-    docs = documents(table(spark, rows))
-    assert quality_net.score(docs, None).where("score = 0.5").count() == len(rows)
-    got = toxicity.score(docs, toxicity.learn([]))
-    assert got.count() == len(rows) and got.where("score between 0 and 1").count() == len(rows)
-
-
-def test_gradients():
-    """Back-propagation agrees with finite differences."""
-    rng = np.random.default_rng(0)
-    net = {k: v.astype(np.float64) for k, v in quality_net.start(rng).items()}
-    data, offsets, y = rng.integers(1, 255, 300, dtype=np.uint8), np.array([0, 40, 41, 300]), np.array([1.0, 0.0, 1.0])
-
-    def loss():
-        p = np.clip(quality_net.score_batch(net, data, offsets), 1e-9, 1 - 1e-9)
-        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
-
-    g = quality_net.gradients(net, data, offsets, y)
-    for name in ("filters", "dense", "shift", "growth", "out"):
-        at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
-        old, eps = net[name][at], 1e-4
-        net[name][at] = old + eps
-        up = loss()
-        net[name][at] = old - eps
-        down = loss()
-        net[name][at] = old
-        assert abs((up - down) / (2 * eps) - g[name][at]) < 1e-3 * max(1, abs(g[name][at]))
-
-
 def test_permutation_round_trip():
     for n in (1, 2, 3, 10, 255, 256, 257, 5000):
         p = feistel_shards.permute(np.arange(n), n, 5)
@@ -341,4 +275,3 @@ def test_empty_tables(spark):
     assert feistel_shards.shard(docs, 3).count() == 0
     assert packing.pack(docs).count() == 0
     assert license_scan.scan(docs.select(F.col("source").alias("path"), "text")).count() == 0
-    assert toxicity.score(docs.select("doc_id", "text"), toxicity.learn([])).count() == 0
