@@ -14,15 +14,17 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n
 ALNUM = "regexp_extract_all(coalesce({text}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format(text=LOWER)
 FRAMES = " UNION ALL ".join(f"SELECT id, pos, n, {k} AS len, string_agg(word, ' ') OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) AS s FROM {{src}}" for k in range(1, 11))
 
-OP2 = f"""WITH d AS (SELECT doc_id AS id, {ALNUM} AS ws FROM documents), b AS (SELECT item_id AS id, {ALNUM} AS ws FROM benchmark),
-dp AS (SELECT id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d), bp AS (SELECT id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM b),
-bw AS (SELECT DISTINCT id AS item, len, s FROM ({FRAMES.format(src="bp")}) WHERE len = least(10, n) AND pos <= n - len + 1),
+OP2 = f"""WITH d AS (SELECT doc_id AS id, {ALNUM} AS ws FROM documents), b AS (SELECT item_id AS id, row_number() OVER () AS text_no, {ALNUM} AS ws FROM benchmark),
+dp AS (SELECT id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d), bp AS (SELECT id, text_no, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM b),
+bwp AS (SELECT id AS item, text_no, pos, len, s FROM ({FRAMES.format(src="bp").replace("SELECT id,", "SELECT id, text_no,").replace("PARTITION BY id", "PARTITION BY text_no")}) WHERE len = least(10, n) AND pos <= n - len + 1), bw AS (SELECT DISTINCT item, len, s FROM bwp),
 dw AS (SELECT id, pos, len, s FROM ({FRAMES.format(src="dp")}) WHERE pos <= n - len + 1),
 hit AS (SELECT dw.id, pos, dw.len, item FROM dw JOIN bw USING (len, s)),
 words AS (SELECT DISTINCT id, pos + i AS pos FROM hit, range(10) t(i) WHERE i < len),
-nh AS (SELECT id, count(*) AS n_hit FROM words GROUP BY id), it AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item::VARCHAR AS item FROM hit) GROUP BY id)
-SELECT d.id AS doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN nh USING (id) LEFT JOIN it USING (id)"""
+nh AS (SELECT id, count(*) AS n_hit FROM words GROUP BY id), it AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item::VARCHAR AS item FROM hit) GROUP BY id),
+diagonal AS (SELECT dw.id, item, text_no, dw.pos, dw.len, dw.pos - bwp.pos AS diag, dw.pos - row_number() OVER (PARTITION BY dw.id, text_no, dw.len, dw.pos - bwp.pos ORDER BY dw.pos) AS run FROM dw JOIN bwp USING (len, s)),
+longest AS (SELECT id, item, min(pos) - 1 AS place, count(*) + any_value(len) - 1 AS words FROM diagonal GROUP BY id, item, text_no, len, diag, run QUALIFY row_number() OVER (PARTITION BY id ORDER BY words DESC, place, item NULLS LAST) = 1)
+SELECT d.id AS doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(words, 0)::BIGINT AS longest_words, place::BIGINT AS longest_at, item::BIGINT AS longest_item
+FROM d LEFT JOIN nh USING (id) LEFT JOIN it USING (id) LEFT JOIN longest USING (id)"""
 
 OP5 = f"""WITH RECURSIVE w AS (SELECT doc_id, {SPACE_WORDS.format(text=LOWER)} AS ws FROM documents),
 p AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),

@@ -65,6 +65,26 @@ def contamination(rows, items, width=10):
     return out
 
 
+def longest_matches(rows, items, width=10):
+    """(doc_id, text): words, place and item of the longest run of equal words with an item."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    out = {}
+    for i, t in rows:
+        w, best = words(t), (0, None, True, None)
+        for item, text in items:
+            v = words(text)
+            runs = {}
+            for x in range(len(w)):
+                for y in range(len(v)):
+                    if w[x] == v[y]:
+                        runs[x, y] = runs.get((x - 1, y - 1), 0) + 1
+                        n = runs[x, y]
+                        if n >= min(width, len(v)):
+                            best = min(best, (-n, x - n + 1, item is None, item))
+        out[i, t] = (-best[0], best[1], best[3])
+    return out
+
+
 def shingles(text, n=5):
     w = WORD.findall(lower(text))
     return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])

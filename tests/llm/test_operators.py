@@ -120,17 +120,29 @@ def test_cut_documents_keeps_columns(spark, rows):
 
 
 def test_decontamination(spark, rows):
-    items = [(1, " ".join(rows[4][1].split(" ")[3:20])), (2, "Short one"), (3, None), (4, ""), (10, " ".join(rows[4][1].split(" ")[3:20])), (None, rows[1][1]), (7, rows[16][1])]
+    items = [(1, " ".join(rows[4][1].split(" ")[3:20])), (2, "Short one"), (3, None), (4, ""), (10, " ".join(rows[4][1].split(" ")[3:20])), (None, rows[1][1]), (7, rows[16][1]), (8, "a " * 40)]
     bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.contamination(rows, items)
     for block in (1_000_000, 200):
         found = decontaminate.match(documents(table(spark, rows)), bench, 10, block_bytes=block)
-        got = found.mapInArrow(decontaminate.digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, matches array<struct<item_id: long, word: long, words: long>>")
-        same(got.drop("matches").collect(), brute.contamination(rows, items))
-    longest = {(r.doc_id, m.item_id): m.words for r in found.where("doc_id = 4").collect() for m in r.matches}
-    assert longest[4, 1] == 17
+        got = found.mapInArrow(decontaminate.digest, decontaminate.DIGEST).drop("longest_words", "longest_at", "longest_item")
+        same(got.collect(), want)
+    found = decontaminate.match(documents(table(spark, rows)), bench, 10)
+    longest = brute.longest_matches(rows, items)
+    same([(r.doc_id, *longest[r.doc_id, r.text]) for r in found.collect()], [(r.doc_id, *((r.longest_words, r.longest_at, r.longest_item))) for r in found.mapInArrow(decontaminate.digest, decontaminate.DIGEST).collect()])
     clean = decontaminate.remove_contaminated(table(spark, rows), bench)
     assert clean.columns == [c.split()[0] for c in CLASHING.split(", ")]
-    assert clean.count() == sum(not r[-1] for r in brute.contamination(rows, items))
+    assert clean.count() == sum(not r[-1] for r in want)
+
+
+def test_decontamination_takes_any_vocabulary(spark):
+    """An item of more different words than 16 bits can number, searched whole and in parts, for every length of match."""
+    words = [f"w{k}" for k in range(70_000)]
+    docs = [(1, " ".join(words[50:62])), (2, " ".join(words[69_000:70_000])), (3, " ".join(words[7:16])), (4, "x " + " ".join(words[100:400]) + " y")]
+    bench = spark.createDataFrame([(5, " ".join(words))], "item_id long, text string")
+    for block in (2_000_000, 30_000):
+        got = decontaminate.match(spark.createDataFrame(docs, "doc_id long, text string"), bench, 10, block_bytes=block).mapInArrow(decontaminate.digest, decontaminate.DIGEST)
+        same(got.select("doc_id", "n_hit", "longest_words", "longest_at").collect(), [(1, 12, 12, 0), (2, 1000, 1000, 0), (3, 0, 0, None), (4, 300, 300, 1)])
 
 
 def test_jaccard(spark, rows):
