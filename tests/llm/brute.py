@@ -1,6 +1,7 @@
 """Plain Python versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -124,3 +125,25 @@ def statistics(text):
             dup += line in seen
             seen.add(line)
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)
+
+
+def licences(texts, templates, least):
+    """The best cosine of any line, of two or three lines in a row, or of a paragraph, with any template."""
+    token = lambda t: re.findall(r"[a-z]+|[0-9]+(?:\.[0-9]+)*", t.lower())
+    df = Counter(t for x in texts for t in set(token(x)))
+
+    def vector(text):
+        v = {t: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in Counter(token(text)).items()}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        return {t: w / norm for t, w in v.items()}
+
+    known = [(name, vector(t)) for name, own in templates.items() for t in own]
+    out = {}
+    for k, text in enumerate(texts):
+        clean = [re.sub(r"^[ \t]*(?://+|#+|/?\*+/?|--+|;+|%+|<!--)?[ \t]*|[ \t\r]*(?:\*+/|-->)?[ \t\r]*$", "", x) for x in text.split("\n")]
+        lines = [x for x in clean if x]
+        said = [" ".join(lines[i : i + n]) for n in (1, 2, 3) for i in range(len(lines) - n + 1)] + re.split("\n{2,}", "\n".join(clean))
+        best = max(((round(sum(w * t.get(x, 0) for x, w in v.items()), 9), name) for v in map(vector, filter(token, set(said))) for name, t in known), key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=(0, ""))
+        if best[0] >= least:
+            out[k] = (best[1], best[0])
+    return out

@@ -276,6 +276,65 @@ def test_licences(spark):
     ])
 
 
+HEADER = """/*
+ * Copyright (C) 2020 Somebody
+ *
+ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ */
+int main() { return 0; }
+"""
+WRAPPED = """# Copyright (c) 2011, Somebody. All rights reserved.
+#
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:
+#
+# 1. Redistributions of source code must retain the above notice.
+"""
+MIT_FILE = """MIT License
+
+Copyright (c) 2019 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+
+
+def test_licences_of_headers_and_files(spark):
+    """Wrapped headers, whole files, titles over two lines, and prose that only speaks of licences; columns with clashing names."""
+    prose = "The committee will issue a licence to the public in general for version two of the road plan."
+    files = [("a/x.c", HEADER), ("b/y.py", WRAPPED), ("c/LICENSE", MIT_FILE), ("c/d/z.c", "int x;"), ("e/COPYING", "          GNU GENERAL PUBLIC LICENSE\n             Version 2, June 1991\n\n Copyright (C) 1989"), ("f/p.txt", prose), ("g/long.txt", "word " * 30_000 + "\nLicensed under CC BY 4.0.\n" + "word " * 30_000), (None, None)]
+    docs = spark.createDataFrame([(p, t, 1, "x", "x", "x", "x", "x") for p, t in files], "path string, text string, tag int, licence string, token string, b string, opens string, row string")
+    got = license_scan.scan(docs)
+    assert got.columns == ["path", "text", "tag", "token", "b", "opens", "row", "licence", "score", "own", "inherited_from"]
+    same(got.select("path", "licence", "own", "inherited_from").collect(), [
+        ("a/x.c", "GPL-2.0", True, None), ("b/y.py", "BSD-3-Clause", True, None), ("c/LICENSE", "MIT", True, None), ("c/d/z.c", "MIT", False, "c"),
+        ("e/COPYING", "GPL-2.0", True, None), ("f/p.txt", None, False, None), ("g/long.txt", "CC-BY-4.0", True, None), (None, None, False, None),
+    ])
+
+
+def test_licence_scores_are_cosines(spark):
+    """Every unit's best cosine against plain TF-IDF, without the gate."""
+    rng = random.Random(9)
+    texts = [HEADER, WRAPPED, MIT_FILE, "Licensed under CC BY 4.0.", "x\n\nReleased under the MIT License.\n"]
+    bag = sorted({t for x in texts for t in x.split()})
+    texts += ["\n".join(" ".join(rng.choice(bag) for _ in range(rng.randint(1, 9))) for _ in range(4)) for _ in range(60)]
+    files = [(f"{k}/f", t) for k, t in enumerate(texts)]
+    want = brute.licences([t for _, t in files], license_scan.TEMPLATES, license_scan.LEAST)
+    got = {r.path: (r.licence, round(r.score, 4)) for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).where("own").collect()}
+    assert got == {f"{k}/f": (n, round(c, 4)) for k, (n, c) in want.items()} and len(got) >= 5
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     bench = spark.createDataFrame([], "item_id long, text string")
