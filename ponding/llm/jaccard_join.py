@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ponding.llm.common import documents, materialize, table, text_tag, total_bytes
+from ponding.llm.common import discard, documents, materialize, table, text_tag, total_bytes
 from ponding.llm.sketch import Sketch, build, width_for
 from ponding.llm.words import SPACE, Powers, Rolling, U, byte_values, mix, ranges, separators, slices, words_of
 
@@ -251,12 +251,14 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """
     both = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("cid")).agg(F.least(F.col("cid"), F.min("b")).alias("comp")), "labels")
+    kept = labels
     for left in itertools.count(1) if rounds is None else range(rounds, 0, -1):
         near = both.join(labels.select(F.col("cid").alias("b"), "comp"), "b").groupBy(F.col("a").alias("cid")).agg(F.min("comp").alias("near"))
         up = labels.select(F.col("cid").alias("comp"), F.col("comp").alias("up"))
         new = labels.join(up, "comp", "left").join(near, "cid").select("cid", F.least("comp", F.coalesce("up", "comp"), "near").alias("comp"), F.col("comp").alias("old"))
-        new = materialize(new, "labels")
-        labels = new.select("cid", "comp")
+        old, kept = kept, materialize(new, "labels")
+        discard(old)
+        new, labels = kept, kept.select("cid", "comp")
         if left == 1 and rounds or not rounds and not new.where(F.col("comp") != F.col("old")).limit(1).count():
             return labels
 
@@ -290,11 +292,12 @@ def first_here(key: U, low: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndar
 
 
 def cross_pairs(percent: int):
-    """Of one signature's classes the pairs in different components that neither sizes nor parities rule out, block by block."""
+    """Of two parts of a signature's classes (or one with itself) the pairs in different components that neither sizes nor parities rule out."""
 
     def pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches).sort_by("n")
         sig, low = U(key[0].as_py() % 2**64), first_signatures(t.column("low"))
+        one, part = key[1].as_py() == key[2].as_py(), t.column("part").to_numpy()
         cid, n, once, comp = (t.column(c).to_numpy() for c in ("cid", "n", "once", "comp"))
         n, once, odd = n.astype(np.int64), once.astype(np.int64), bits(t.column("parity"))
         for i in range(0, len(cid), 256):
@@ -302,7 +305,7 @@ def cross_pairs(percent: int):
             top = int(np.searchsorted(n, n[min(i + 256, len(n)) - 1] * 100 // percent, "right"))
             a, b = np.arange(i, min(i + 256, len(cid)))[:, None], np.arange(i + 1, max(top, i + 1))[None, :]
             shared = np.minimum((n - once)[a], (n - once)[b])
-            ok = (b > a) & (comp[a] != comp[b]) & (100 * shared >= percent * (n[a] + n[b] - shared))
+            ok = (b > a) & (one | (part[a] != part[b])) & (comp[a] != comp[b]) & (100 * shared >= percent * (n[a] + n[b] - shared))
             x, y = np.nonzero(ok)
             x, y = a[x, 0], b[0, y]
             close = np.concatenate([(100 + percent) * apart(odd[x[k : k + 50_000]], odd[y[k : k + 50_000]]) <= (100 - percent) * (n[x[k : k + 50_000]] + n[y[k : k + 50_000]]) for k in range(0, len(x), 50_000)] or [np.zeros(0, bool)])
@@ -314,6 +317,17 @@ def cross_pairs(percent: int):
     return pairs
 
 
+#: Classes of a signature that meet in one task, about: a larger group is dealt out by pairs of parts of this size.
+PART = 4_000
+
+
+def in_parts(rest: DataFrame) -> DataFrame:
+    """Each class of a signature once for every part of its signature: i and j, the parts that meet, and part, its own."""
+    n = F.ceil(F.col("size") / PART).cast("int")
+    own = rest.withColumn("part", F.pmod(F.xxhash64("cid"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return own.select("sig", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cid", "n", "once", "comp", "parity", "low")
+
+
 #: Stars go on until few pairs are left to compare one by one, or for this many rounds. A star's
 #: labels spread in one round; labels that lag behind only leave more pairs to compare.
 STARS, SPREAD = 2, 1
@@ -346,16 +360,16 @@ def links_and_components(sets: DataFrame, percent: int) -> DataFrame:
     if links is None:
         return sets.select("cid", F.col("cid").alias("comp")).limit(0)
     rest = _distinct_groups(rest).join(sets.select("cid", "parity", F.substring("sigs", 1, 8 * FIRST_SIGS).alias("low")), "cid")
-    pairs = rest.groupBy("sig").applyInArrow(cross_pairs(percent), "a long, b long").distinct()
+    pairs = in_parts(rest).groupBy("sig", "i", "j").applyInArrow(cross_pairs(percent), "a long, b long").distinct()
     return components(links.union(verify(pairs, sets, percent)))
 
 
 def _distinct_groups(rest: DataFrame) -> DataFrame:
-    """Of signatures with the same classes only the smallest (as unsigned numbers, like :func:`first_here`)."""
+    """Of signatures with the same classes only the smallest (as unsigned numbers, like :func:`first_here`), with their size."""
     members = [F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")]
     groups = rest.groupBy("sig").agg(*members).where("size > 1")
-    keep = groups.groupBy("size", "x", "y").agg(F.min(F.struct((F.col("sig") < 0).alias("high"), "sig")).alias("s")).select(F.col("s.sig").alias("sig"))
-    return rest.join(keep, "sig", "left_semi")
+    keep = groups.groupBy("size", "x", "y").agg(F.min(F.struct((F.col("sig") < 0).alias("high"), "sig")).alias("s")).select(F.col("s.sig").alias("sig"), "size")
+    return rest.join(keep, "sig")
 
 
 def _unsettled(rest: DataFrame, labels: DataFrame) -> DataFrame:
