@@ -8,10 +8,11 @@ best match opens it) speaks for its directory. A document without a notice inher
 its nearest ancestor directory that has a licence, by a join of directories with the
 ancestors of each distinct directory.
 
-Document frequencies are counted over the whole corpus. Of these only the templates' tokens
-go to the driver, which weighs the templates and finds, for each, rare tokens of which any
-unit at ``LEAST`` must have one: by Cauchy and Schwarz the templates' other tokens can't
-reach it. Only units with such a token are turned into vectors; that loses none.
+The templates' tokens are the vocabulary. Their document frequencies are counted over the
+whole corpus and go to the driver (a token that no template has weighs like the mean of
+them). It weighs the templates and finds, for each, rare tokens of which any unit at
+``LEAST`` must have one: by Cauchy and Schwarz the templates' other tokens can't reach it.
+Only units with such a token are turned into vectors; that loses none.
 
 Only DataFrame functions run. What is broadcast are the templates' vectors, of a fixed size.
 Documents are joined to directories by a join that Spark may split where one directory
@@ -64,9 +65,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def frequencies(files: DataFrame) -> DataFrame:
-    """token, df: how many rows of the corpus have it."""
-    return files.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+def frequencies(files: DataFrame, vocabulary: set[str]) -> dict[str, int]:
+    """How many rows of the corpus have each token of the vocabulary; so many numbers go to the driver."""
+    known = F.array_intersect(tokens(F.col("text")), F.array(*[F.lit(t) for t in sorted(vocabulary)]))
+    return {r.token: r["count"] for r in files.select(F.explode(known).alias("token")).groupBy("token").count().collect()}
 
 
 def idf(df: float, rows: int) -> float:
@@ -120,22 +122,21 @@ def notices(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least
     """files: path, tag, text. Each unit at ``least`` with its best template: path, tag, place (0: the text opens with it), licence, score."""
     spark = files.sparkSession
     rows = files.count()
-    counts = materialize(frequencies(files), "frequencies")
-    own = {t for texts in templates.values() for text in texts for t in re.findall(TOKEN, text.lower())}
-    df = {r.token: r.df for r in counts.where(F.col("token").isin(sorted(own))).collect()}
+    vocabulary = {t for texts in templates.values() for text in texts for t in re.findall(TOKEN, text.lower())}
+    df = frequencies(files, vocabulary)
+    known = {t: idf(df.get(t, 0), rows) for t in sorted(vocabulary)}
+    weights = F.broadcast(spark.createDataFrame(list(known.items()), "token string, idf double"))
     found = template_vectors(df, rows, templates)
     vectors = F.broadcast(spark.createDataFrame(found, "template int, licence string, token string, weight double"))
     gate = gate_of(needed(found, df, least))
-    said = files.where(F.lower("text").rlike(gate)).select("path", "tag", F.explode(units(F.col("text"), gate)).alias("u")).select("path", "tag", "u.*").distinct()
-    unit = ["path", "tag", "place", "said"]
-    tf = said.select(*unit, F.explode(tokens(F.col("said"))).alias("token")).groupBy(*unit, "token").agg(F.count(F.lit(1)).alias("n"))
-    tf = tf.join(counts, "token", "left").withColumn("w", (1 + F.log("n")) * (F.log((1 + F.lit(rows)) / (1 + F.coalesce("df", F.lit(0)))) + 1))
-    tf = tf.select(F.xxhash64("said").alias("u"), F.xxhash64(F.lit(1), "said").alias("v"), "path", "tag", "place", "token", "w")
+    said = files.where(F.lower("text").rlike(gate)).select("path", "tag", F.explode(units(F.col("text"), gate)).alias("u")).select("path", "tag", "u.*")
     unit = ["path", "tag", "place", "u", "v"]
-    # Each token goes out once by itself, for the norm, and once for each template that has it.
-    parts = tf.join(vectors, "token", "left")
+    # A unit goes on under two hashes, not with its text beside every token.
+    said = said.select("path", "tag", "place", F.xxhash64("said").alias("u"), F.xxhash64(F.lit(1), "said").alias("v"), tokens(F.col("said")).alias("tokens")).dropDuplicates(unit)
+    tf = said.select(*unit, F.explode("tokens").alias("token")).groupBy(*unit, "token").agg(F.count(F.lit(1)).alias("n"))
+    tf = tf.join(weights, "token", "left").withColumn("w", (1 + F.log("n")) * F.coalesce("idf", F.lit(sum(known.values()) / len(known))))
     norms = tf.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = parts.where("template is not null").groupBy(*unit, "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    dots = tf.join(vectors, "token").groupBy(*unit, "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     best = dots.groupBy(*unit).agg(F.min(F.struct((-F.round("dot", 9)).alias("minus"), "licence")).alias("b"))
     norms = norms.withColumnsRenamed({c: f"n_{c}" for c in unit})
     both = best.join(norms, [F.col(c).eqNullSafe(F.col(f"n_{c}")) for c in unit])

@@ -131,9 +131,11 @@ def licences(texts, templates, least):
     """The best cosine of any line, of two or three lines in a row, or of a paragraph, with any template."""
     token = lambda t: re.findall(r"[a-z]+|[0-9]+(?:\.[0-9]+)*", t.lower())
     df = Counter(t for x in texts for t in set(token(x)))
+    idf = {t: math.log((1 + len(texts)) / (1 + df[t])) + 1 for own in templates.values() for x in own for t in token(x)}
+    mean = sum(idf.values()) / len(idf)
 
     def vector(text):
-        v = {t: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in Counter(token(text)).items()}
+        v = {t: (1 + math.log(n)) * idf.get(t, mean) for t, n in Counter(token(text)).items()}
         norm = math.sqrt(sum(w * w for w in v.values()))
         return {t: w / norm for t, w in v.items()}
 
