@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,17 +18,30 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage in a loop: a table in the folder that the session shares, or a checkpoint where it names none."""
+    """Cut lineage in a loop: a table in the folder that the session shares; a private folder only in local mode where it names none."""
     spark = df.sparkSession
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         import tempfile
 
         folder = f"file://{tempfile.mkdtemp(prefix='ponding-')}"
         spark.conf.set(CHECKPOINT_KEY, folder)
     path = f"{folder.rstrip('/')}/grid-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that :func:`settle` wrote and that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cells(spark: SparkSession, n: int = 240) -> DataFrame:
@@ -117,8 +132,8 @@ def jump(flow: DataFrame, stop: DataFrame, rounds: int = 64) -> DataFrame:
         new = settle(to.join(nxt, "target").select("cell", F.col("next").alias("target"), (F.col("next") != F.col("target")).alias("moved")))
         to = new.select("cell", "target")
         if not new.where("moved").limit(1).count():
-            break
-    return to
+            return to
+    raise ValueError("the cells drain in a circle")
 
 
 def accumulate(flow: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -132,32 +147,79 @@ def accumulate(flow: DataFrame, weight: Column | None = None) -> DataFrame:
     return acc.select("cell", "acc")
 
 
-def fill_depressions(df: DataFrame, n: int, value: str = "z", rounds: int = 10_000) -> DataFrame:
-    """The lowest level at which each cell drains to the border: w = max(z, least w around), repeated until nothing sinks."""
-    edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == n - 1) | (F.col("col") == n - 1)
-    w = settle(df.select("row", "col", F.col(value).alias("z"), F.when(edge, F.col(value)).otherwise(F.lit(1e9)).alias("w")))
-    for _ in range(rounds):
-        least = neighbours(w.select("row", "col", "w"), "w").groupBy("row", "col").agg(F.min("v2").alias("low"))
-        new = settle(w.join(least, ["row", "col"]).select("row", "col", "z", F.least("w", F.greatest("z", "low")).alias("w"), F.col("w").alias("old")))
-        w = new.drop("old")
-        if not new.where("w < old").limit(1).count():
-            break
-    return w
+TILE = 64
 
 
-def fill_nearest(df: DataFrame, value: str = "z", rounds: int = 10_000) -> DataFrame:
-    """Empty cells take the value of the nearest filled one, ring by ring (ties: the smaller row, then column)."""
-    state = settle(df.select("row", "col", value, F.when(F.col(value).isNotNull(), F.struct("row", "col")).alias("src")))
-    for _ in range(rounds):
-        if not state.where(F.col("src").isNull()).limit(1).count():
-            break
-        packed = F.struct("src", F.col(value).alias("v")).alias("s")
-        near = neighbours(state.select("row", "col", packed), "s").where(F.col("v2.src").isNotNull())
-        gap = (F.col("row") - F.col("v2.src.row")) * (F.col("row") - F.col("v2.src.row")) + (F.col("col") - F.col("v2.src.col")) * (F.col("col") - F.col("v2.src.col"))
-        best = near.groupBy("row", "col").agg(F.min(F.struct(gap.alias("d"), F.col("v2.src").alias("src"), F.col("v2.v").alias("v"))).alias("b"))
-        new = state.join(best, ["row", "col"], "left")
-        state = settle(new.select("row", "col", F.coalesce(F.col(value), F.col("b.v")).alias(value), F.coalesce("src", F.col("b.src")).alias("src")))
-    return state.select("row", "col", value)
+def _settled(z: np.ndarray, w: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+    """w = max(z, least w around) until nothing sinks; ``fixed`` cells stay."""
+    while True:
+        pad = np.pad(w, 1, constant_values=np.inf)
+        low = np.min([pad[1 + a : 1 + a + len(w), 1 + b : 1 + b + w.shape[1]] for _, a, b in D8], axis=0)
+        new = np.where(fixed, w, np.minimum(w, np.maximum(z, low)))
+        if (new == w).all():
+            return w
+        w = new
+
+
+def fill_depressions(df: DataFrame, n: int, value: str = "z", tile: int = TILE) -> DataFrame:
+    """The lowest level at which each cell drains to the border: w = max(z, least w around), until nothing sinks.
+
+    Tiles settle by themselves, each with a rim of its neighbours' cells, so water crosses a
+    whole tile in a round. Levels only sink and stop at the terrain, so rounds end.
+    """
+    edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == n - 1) | (F.col("col") == n - 1)
+    w = settle(df.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(value).cast("double").alias("z"), F.when(edge, F.col(value)).otherwise(F.lit(1e9)).cast("double").alias("w")))
+    near = lambda axis: F.array_distinct(F.array(*[F.floor((F.col(axis) + d) / tile).cast("int") for d in (-1, 0, 1)]))
+
+    def settle_tile(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = part["row"].min(), part["col"].min()
+        r, c = (part["row"] - r0).to_numpy(), (part["col"] - c0).to_numpy()
+        z, now, fixed = np.full((r.max() + 1, c.max() + 1), np.inf), np.full((r.max() + 1, c.max() + 1), np.inf), np.ones((r.max() + 1, c.max() + 1), bool)
+        z[r, c], now[r, c] = part["z"], part["w"]
+        own = ((part["row"] // tile == key[0]) & (part["col"] // tile == key[1])).to_numpy()
+        border = part["row"].isin([0, n - 1]) | part["col"].isin([0, n - 1])
+        fixed[r, c] = ~own | border
+        out = part.assign(new=_settled(z, now, fixed)[r, c])[own]
+        return pd.DataFrame({"row": out["row"], "col": out["col"], "z": out["z"], "w": out["new"], "sank": out["new"] < out["w"]})
+
+    while True:
+        tiles = w.withColumn("i", F.explode(near("row"))).withColumn("j", F.explode(near("col")))
+        new = settle(tiles.groupBy("i", "j").applyInPandas(settle_tile, "row int, col int, z double, w double, sank boolean"))
+        drop(w)
+        if not new.where("sank").limit(1).count():
+            return new.select("row", "col", "z", "w")
+        w = new.drop("sank")
+        w.stored_at = new.stored_at
+
+
+def fill_nearest(df: DataFrame, value: str = "z") -> DataFrame:
+    """Empty cells take the value of the nearest filled one (ties: the smaller row, then column); all stay empty where none is filled.
+
+    First the nearest filled cell of each column by two windows, then along each row the
+    column whose cell is nearest: exact, whatever the shape of the gaps.
+    """
+    filled = F.when(F.col(value).isNotNull(), F.struct(F.col("row").alias("r"), F.col(value).alias("v")))
+    w = Window.partitionBy("col").orderBy("row")
+    above, below = F.last(filled, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(filled, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    both = df.select("row", "col", above.alias("a"), below.alias("b"))
+    best = F.when(F.col("b").isNull() | (F.col("row") - F.col("a.r") <= F.col("b.r") - F.col("row")), F.col("a")).otherwise(F.col("b"))
+    columns = both.withColumn("best", best).select("row", "col", F.col("best.r").alias("src"), F.col("best.v").cast("double").alias("v"))
+
+    def along(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("col")
+        have = batch[batch["src"].notna()]
+        if len(have):
+            at, src, v = have["col"].to_numpy(), have["src"].to_numpy().astype(np.int64), have["v"].to_numpy()
+            up = (batch["row"].iloc[0] - src) ** 2
+            order = np.lexsort((at, src))  # the first of equal distances is the smaller row, then column
+            at, v, up = at[order], v[order], up[order]
+            col = batch["col"].to_numpy()
+            batch["v"] = np.concatenate([v[((col[i : i + 256, None] - at) ** 2 + up).argmin(1)] for i in range(0, len(col), 256)])
+        return batch[["row", "col", "v"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema if f.name in ("row", "col")}
+    found = columns.groupBy("row").applyInPandas(along, f"row {kinds['row']}, col {kinds['col']}, v double")
+    return found.select("row", "col", F.col("v").cast(df.schema[value].dataType).alias(value))
 
 
 def zonal(df: DataFrame, zone: str, *values: str) -> DataFrame:

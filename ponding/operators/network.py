@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ponding.functions.geo import cell_of, flat_distance, snap_key
-from ponding.operators.grid import settle
+from ponding.operators.grid import drop, settle
 
 
 def clip_runs(lines: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
@@ -86,31 +86,82 @@ def shortest_parallel(edges: DataFrame) -> DataFrame:
     return best.select("u", "v", F.col("b.length_m").alias("length_m"), F.col("b.eid").alias("eid"))
 
 
-def distances(edges: DataFrame, source: Column, rounds: int = 10_000) -> DataFrame:
-    """Bellman-Ford over (u, v, w): node, cost and the node before it on a cheapest path from the source. Only nodes that improved are expanded."""
-    e = edges.select("u", "v", "w")
+def distances(edges: DataFrame, source: Column) -> DataFrame:
+    """Bellman-Ford over (u, v, w), w not negative: node, cost and the node before it on a cheapest path from the source.
+
+    Only nodes that improved are expanded, two edges far in each round, until none improves.
+    """
+    e = settle(edges.select("u", "v", "w"))
     best = settle(e.sparkSession.range(1).select(source.cast("long").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("prev")))
     front = best
-    for _ in range(rounds):
-        reached = front.join(e, front.node == e.u).select(F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("u").alias("prev"))
-        offer = reached.groupBy("node").agg(F.min(F.struct("cost", "prev")).alias("o"))
+    while True:
+        first = front.join(e, front.node == e.u).select(F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("u").alias("prev"))
+        first = first.groupBy("node").agg(F.min(F.struct("cost", "prev")).alias("o")).select("node", "o.cost", "o.prev")
+        second = first.join(e, first.node == e.u).select(F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("u").alias("prev"))
+        offer = first.unionByName(second).groupBy("node").agg(F.min(F.struct("cost", "prev")).alias("o"))
         both = best.join(offer, "node", "full")
         better = F.col("o").isNotNull() & (F.col("cost").isNull() | (F.col("o.cost") < F.col("cost")))
         new = settle(both.select("node", F.when(better, F.col("o.cost")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.col("o.prev")).otherwise(F.col("prev")).alias("prev"), better.alias("new")))
+        drop(best)
         best, front = new.drop("new"), new.where("new").drop("new")
+        best.stored_at = new.stored_at
         if not front.limit(1).count():
-            break
-    return best
-
-
-def path_to(best: DataFrame, target: int, most: int = 100_000) -> list[int]:
-    """Nodes of the cheapest path, source first; empty where there is none. A path is followed on the driver; it has at most ``most`` nodes."""
-    step = {r.node: r.prev for r in best.where(F.col("cost").isNotNull()).select("node", "prev").limit(most).toLocalIterator()}
-    path, at = [], target if target in step else None
-    while at is not None:
-        path.append(at)
-        at = step[at]
-    return path[::-1]
+            return best
+
+
+def path_to(best: DataFrame, target: int) -> DataFrame:
+    """node, cost and prev of the cheapest path to the target, to be read by cost; no rows where there is none.
+
+    The nodes before it are found by doubling: with all within k steps and each node's k-th
+    predecessor, the next round has all within 2 k.
+    """
+    jump = settle(best.where(F.col("cost").isNotNull() & F.col("prev").isNotNull()).select("node", F.col("prev").alias("to")))
+    path = settle(best.where((F.col("node") == target) & F.col("cost").isNotNull()).select("node"))
+    while True:
+        more = path.join(jump, "node").select(F.col("to").alias("node"))
+        grown = settle(path.union(more).distinct())
+        if grown.count() == path.count():
+            return best.join(grown, "node", "left_semi")
+        drop(path)
+        path = grown
+        further = settle(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("to2")), "to").select("node", F.col("to2").alias("to")))
+        drop(jump)
+        jump = further
+
+
+def path_profile(path: DataFrame, edges: DataFrame, threshold_cm: float) -> DataFrame:
+    """One row for a path (of :func:`path_to`): its length, deepest water, edges, and those at the threshold or deeper. edges: u, v, length_m, depth_cm, one per pair."""
+    steps = path.where(F.col("prev").isNotNull()).select(F.col("prev").alias("u"), F.col("node").alias("v")).join(edges, ["u", "v"])
+    return steps.agg(F.count(F.lit(1)).alias("edges"), F.sum("length_m").alias("length_m"), F.max("depth_cm").alias("max_depth_cm"), F.count_if(F.col("depth_cm") >= threshold_cm).alias("blocked"))
+
+
+def compare_routes(edges: DataFrame, source: int, target: int, threshold_cm: float) -> DataFrame:
+    """One row: the shortest way and the passable one, how much longer it is, and what to tell the driver.
+
+    edges: u, v, length_m, depth_cm. Without any way, or with both ends at one node, the
+    message says so and the rest is null.
+    """
+    one = edges.sparkSession.range(1).select(F.lit(source).alias("source"), F.lit(target).alias("target"))
+    if source == target:
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("normal_m", "double"), ("normal_edges", "long"), ("max_depth_cm", "double"), ("blocked", "long"), ("safe_m", "double"), ("extra_m", "double"))]
+        return one.select(*nothing, F.lit("both ends are at one junction").alias("message"))
+    ways = []
+    for name, usable in (("normal", edges.withColumn("w", F.col("length_m"))), ("safe", passable(edges, threshold_cm))):
+        best = distances(usable.groupBy("u", "v").agg(F.min("w").alias("w")), F.lit(source))
+        profile = path_profile(path_to(best, target), edges, threshold_cm)
+        ways.append(profile.select(F.col("edges").alias(f"{name}_edges"), F.col("length_m").alias(f"{name}_m"), F.col("max_depth_cm").alias(f"{name}_depth"), F.col("blocked").alias(f"{name}_blocked")))
+    both = one.crossJoin(F.broadcast(ways[0])).crossJoin(F.broadcast(ways[1]))  # one row each
+    deep = F.col("normal_depth") >= threshold_cm
+    message = F.when(F.col("normal_m").isNull(), "no way between these points").when(~deep, "the normal way is passable").when(F.col("safe_m").isNull(), "no passable way").otherwise("a longer way keeps clear of the water")
+    return both.select("normal_m", "normal_edges", F.col("normal_depth").alias("max_depth_cm"), F.col("normal_blocked").alias("blocked"), "safe_m", (F.col("safe_m") - F.col("normal_m")).alias("extra_m"), message.alias("message"))
+
+
+def largest_component(edges: DataFrame) -> DataFrame:
+    """The edges between nodes of the component with most nodes (ties: the smallest label)."""
+    labels = components(edges)
+    top = labels.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(1).select("comp")
+    inside = labels.join(F.broadcast(top), "comp").select(F.col("node").alias("u"))
+    return edges.join(inside, "u", "left_semi")
 
 
 def passable(edges: DataFrame, threshold_cm: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ponding.functions.hydro import STEP_MIN, lag_hours, ponding_cm, rational_capacity, waterlogging
-from ponding.operators.grid import settle
+from ponding.operators.grid import drop, settle
 
 HORIZON_STEPS = 73
 DT_H = STEP_MIN / 60.0
@@ -31,10 +31,10 @@ def convolve(excess: DataFrame, uh: DataFrame, steps: int = HORIZON_STEPS) -> Da
     return pairs.groupBy("id", F.col("at").alias("step")).agg(F.sum(F.col("excess_mm") * F.col("q")).alias("q"))
 
 
-def levels(catchments: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """id, level: the longest way from a headwater, found by peeling; catchments: id, downstream."""
+def levels(catchments: DataFrame) -> DataFrame:
+    """id, level: the longest way from a headwater, found by peeling; catchments: id, downstream. A way longer than there are catchments is a circle."""
     level = settle(catchments.select("id", "downstream", F.lit(0).alias("level")))
-    for _ in range(rounds):
+    for _ in range(level.count() + 1):
         fed = level.where(F.col("downstream").isNotNull()).groupBy(F.col("downstream").alias("id")).agg((F.max("level") + 1).alias("need"))
         new = settle(level.join(fed, "id", "left").select("id", "downstream", F.greatest("level", F.coalesce("need", F.lit(0))).alias("level"), F.col("level").alias("old")))
         level = new.drop("old")
@@ -75,18 +75,35 @@ def classify(routed: DataFrame, catchments: DataFrame, low_share: Column | None
     return out.withColumn("waterlogging", waterlogging(F.col("ponding_cm"), F.col("water_share")))
 
 
-def strahler(links: DataFrame, rounds: int = 64) -> DataFrame:
-    """id, strahler: 1 at headwaters; one more than the largest inflow where two or more inflows share it."""
-    inflow = links.where(F.col("downstream").isNotNull()).select(F.col("id").alias("up"), F.col("downstream").alias("id"))
-    order = settle(links.select("id", F.lit(1).alias("s")))
-    for _ in range(rounds):
-        best = inflow.join(order.select(F.col("id").alias("up"), F.col("s").alias("us")), "up").groupBy("id", "us").count()
-        top = best.groupBy("id").agg(F.max(F.struct("us", "count")).alias("b")).select("id", (F.col("b.us") + (F.col("b.count") > 1).cast("int")).alias("new"))
+def strahler(links: DataFrame) -> DataFrame:
+    """id, strahler: 1 at headwaters; one more than the largest inflow where two or more inflows share it.
+
+    A link with one inflow has its order, so chains are contracted first (by doubling); the
+    rest goes on, from junction to junction, until no order changes.
+    """
+    inflows = links.where(F.col("downstream").isNotNull()).groupBy(F.col("downstream").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    flow = settle(links.select("id", "downstream").join(inflows, "id", "left").withColumn("n", F.coalesce("n", F.lit(0))))
+    junctions = flow.where("n >= 2").select("id")
+    # Of each headwater and junction the next junction below; of a link with one inflow the headwater or junction above.
+    below = settle(first_below(flow.select("id", "downstream"), junctions).join(flow.where("n <> 1").select("id"), "id", "left_semi"))
+    order = settle(below.select("id", F.lit(1).alias("s")))
+    while True:
+        best = below.where(F.col("receiver").isNotNull()).join(order, "id").groupBy(F.col("receiver").alias("id"), "s").count()
+        top = best.groupBy("id").agg(F.max(F.struct("s", "count")).alias("b")).select("id", (F.col("b.s") + (F.col("b.count") > 1).cast("int")).alias("new"))
         nxt = settle(order.join(top, "id", "left").select("id", F.greatest("s", F.coalesce("new", F.lit(1))).alias("s"), F.col("s").alias("old")))
+        changed = nxt.where("s <> old").limit(1).count()
+        drop(order)
         order = nxt.drop("old")
-        if not nxt.where("s <> old").limit(1).count():
+        order.stored_at = nxt.stored_at
+        if not changed:
             break
-    return order.select("id", F.col("s").alias("strahler"))
+    # A chain hands its order down: walk up single inflows to where they begin.
+    single = flow.where("n = 1").select("id")
+    up = flow.where(F.col("downstream").isNotNull()).join(single.withColumnRenamed("id", "downstream"), "downstream").select(F.col("downstream").alias("id"), F.col("id").alias("upstream"))
+    turned = flow.select("id").join(up, "id", "left").withColumnRenamed("upstream", "downstream")
+    source = first_below(turned, order.select("id")).join(single, "id").select("id", F.col("receiver").alias("from"))
+    chained = source.join(order.select(F.col("id").alias("from"), "s"), "from").select("id", "s")
+    return order.select("id", F.col("s").alias("strahler")).unionByName(chained.withColumnRenamed("s", "strahler"))
 
 
 def first_below(flow: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -98,7 +115,7 @@ def first_below(flow: DataFrame, wanted: DataFrame) -> DataFrame:
         new = settle(at.join(marked.select("at", "next"), "at", "left").select("id", F.col("next").alias("at"), (~F.col("next").eqNullSafe(F.col("at"))).alias("moved")))
         at = new.drop("moved")
         if not new.where("moved").limit(1).count():
-            break
+            return at.select("id", F.col("at").alias("receiver"))
         jump = marked.select(F.col("at").alias("next"), F.col("next").alias("next2"), F.col("halt").alias("halt2"))
         marked = settle(marked.join(jump, "next", "left").select("at", F.when(F.col("halt"), F.col("next")).otherwise(F.col("next2")).alias("next"), "halt"))
-    return at.select("id", F.col("at").alias("receiver"))
+    raise ValueError("the nodes drain in a circle")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ponding.operators.grid import settle
+
 
 def normal_tail(z: Column) -> Column:
     """P(Z > z) for z >= 0 by the rational approximation of Abramowitz and Stegun 26.2.17 (error below 7.5e-8)."""
@@ -18,12 +20,16 @@ def normal_tail(z: Column) -> Column:
 def auc(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """scores: label (0/1), v and the group columns. Area under the ROC curve with midranks for ties, and the two-sided p.
 
-    Values are counted first, so the running sum goes over distinct values, not over rows.
+    Values are counted first, so the running sum goes over distinct values, not over rows;
+    without groups it goes on within ranges of values, to each of which those below are added.
     """
     by = by or []
     hist = scores.where(F.col("v").isNotNull()).groupBy(*by, "v").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = hist.withColumn("mid", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2.0)
+    if by:
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranked = hist.withColumn("mid", before + (F.col("n") + 1) / 2.0)
+    else:
+        ranked = _ranked_in_ranges(hist)
     s = ranked.groupBy(*by).agg(F.sum("pos").cast("double").alias("n1"), F.sum(F.col("n") - F.col("pos")).cast("double").alias("n0"), F.sum(F.col("pos") * F.col("mid")).alias("r1"), F.sum(F.pow(F.col("n"), F.lit(3)) - F.col("n")).alias("ties"))
     s = s.where("n1 > 0 and n0 > 0").withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
     n = F.col("n1") + F.col("n0")
@@ -32,6 +38,17 @@ def auc(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     return s.select(*by, F.col("n1").cast("long").alias("n1"), F.col("n0").cast("long").alias("n0"), (F.col("u") / (F.col("n1") * F.col("n0"))).alias("auc"), F.least(2 * normal_tail(z), F.lit(1.0)).alias("p"))
 
 
+def _ranked_in_ranges(hist: DataFrame) -> DataFrame:
+    """Adds mid, the midrank of each value, without a window over all rows."""
+    parts = settle(hist.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    own = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range: as many as there are partitions.
+    totals = [(r.part, r.n) for r in parts.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").toLocalIterator()]
+    below = [(p, sum(n for _, n in totals[:k])) for k, (p, _) in enumerate(totals)]
+    offsets = F.broadcast(hist.sparkSession.createDataFrame(below, "part int, below long"))
+    return parts.join(offsets, "part").withColumn("mid", F.col("below") + F.coalesce(F.sum("n").over(own), F.lit(0)) + (F.col("n") + 1) / 2.0)
+
+
 def strata(scores: DataFrame, size: str, k: int = 5) -> DataFrame:
     """Rows with the strata they belong to: k equal parts by quantiles of ``size``, both ends included."""
     cuts = F.array(*[F.lit(i / k) for i in range(k + 1)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ponding.functions import hydro
-from ponding.operators import grid
+from ponding.operators import grid, streams
 from ponding.plans.registry import query
 
 #: The grid of the SQL, and the whole grid of the domain.
@@ -118,6 +118,64 @@ def height_above_drainage(spark, sf_dir, n=N):
     return target.join(d, "cell").join(at, "target").select("cell", "target", (F.greatest(F.col("z") - F.col("z_t"), F.lit(0.0)) / 100).alias("hand_m"))
 
 
+#: Cells that drain so many make a stream.
+STREAM = 12
+STREAMS = f"""{FLOW}, walk AS (SELECT cell, cell AS pos FROM flow UNION ALL SELECT w.cell, f.rec FROM walk w JOIN flow f ON f.cell = w.pos WHERE f.rec <> f.cell), acc AS (SELECT pos AS cell, count(*) AS acc FROM walk GROUP BY pos),
+st AS (SELECT f.cell, f.rec, acc FROM flow f JOIN acc USING (cell) WHERE acc >= {STREAM}), infl AS (SELECT rec AS cell, count(*) AS inflow FROM st WHERE rec <> cell GROUP BY rec),
+t AS (SELECT st.cell, st.rec, st.acc, coalesce(i.inflow, 0) AS inflow, st.rec = st.cell OR b.cell IS NULL OR coalesce(ib.inflow, 0) >= 2 AS terminal FROM st LEFT JOIN infl i ON i.cell = st.cell LEFT JOIN st b ON b.cell = st.rec LEFT JOIN infl ib ON ib.cell = st.rec),
+lw AS (SELECT cell, cell AS pos FROM t UNION ALL SELECT l.cell, t.rec FROM lw l JOIN t ON t.cell = l.pos WHERE NOT t.terminal), linked AS (SELECT lw.cell, lw.pos AS link FROM lw JOIN t ON t.cell = lw.pos WHERE t.terminal)"""
+
+
+def routed(spark, n=N):
+    """Cells with their receivers, and the linked stream cells."""
+    flow = grid.settle(grid.receivers(grid.flow_direction(dem(spark, n)), n))
+    return flow, streams.links_of(streams.stream_cells(flow, grid.accumulate(flow), STREAM))
+
+
+@query(f"WITH RECURSIVE {STREAMS} SELECT t.cell, inflow, terminal, link FROM t JOIN linked USING (cell)")
+def stream_cells(spark, sf_dir, n=N):
+    """Stream cells with their inflows, terminals and links."""
+    return routed(spark, n)[1].select("cell", "inflow", "terminal", "link")
+
+
+@query(f"""WITH RECURSIVE {STREAMS}, own AS (SELECT link, count(*) AS cells, max(acc)::DOUBLE AS acc, arg_min(z, acc) - arg_max(z, acc) AS fall, sum(CASE WHEN rec <> t.cell THEN 10 * sqrt((rec // {N} - t.cell // {N}) ** 2 + (rec % {N} - t.cell % {N}) ** 2) ELSE 0 END) AS length_m FROM t JOIN linked USING (cell) JOIN dem USING (cell) GROUP BY link),
+down AS (SELECT t.cell AS link, l.link AS downstream FROM t LEFT JOIN linked l ON l.cell = t.rec AND t.rec <> t.cell WHERE terminal)
+SELECT link, downstream, cells, round(length_m, 3) AS length_m, fall AS drop_m, round(CASE WHEN length_m > 0 THEN greatest(fall, 0) / length_m ELSE 0 END, 6) AS gradient, acc FROM own JOIN down USING (link)""")
+def stream_links(spark, sf_dir, n=N):
+    """Links with what lies below, length, drop and gradient."""
+    out = streams.stream_links(routed(spark, n)[1], dem(spark, n).select("cell", "z"), n, 10.0)
+    return out.select("link", "downstream", F.col("cells").cast("long").alias("cells"), F.round("length_m", 3).alias("length_m"), "drop_m", F.round("gradient", 6).alias("gradient"), "acc")
+
+
+@query(f"""WITH RECURSIVE {STREAMS}, cw AS (SELECT f.cell, f.cell AS pos FROM flow f UNION ALL SELECT c.cell, f.rec FROM cw c JOIN flow f ON f.cell = c.pos LEFT JOIN st ON st.cell = c.pos WHERE st.cell IS NULL AND f.rec <> f.cell)
+SELECT link, count(*) AS cells, round(avg(greatest(a.z - b.z, 0)), 4) AS mean_hand, max(greatest(a.z - b.z, 0)) AS top FROM cw JOIN linked l ON l.cell = cw.pos JOIN dem a ON a.cell = cw.cell JOIN dem b ON b.cell = cw.pos GROUP BY link""")
+def micro_catchments(spark, sf_dir, n=N):
+    """The cells that drain into each link, and their height above it."""
+    flow, linked = routed(spark, n)
+    c = streams.catchments(flow, linked, dem(spark, n).select("cell", "z")).where("link is not null")
+    return c.groupBy("link").agg(F.count(F.lit(1)).alias("cells"), F.round(F.avg("hand"), 4).alias("mean_hand"), F.max("hand").alias("top"))
+
+
+@query(f"""WITH {CELLS}, {DEM}, l AS (SELECT *, [10, 80, 50, 60][1 + cell % 4] AS class FROM dem), burn AS (SELECT row, col, 2.0::DOUBLE AS depth FROM l WHERE class = 80 UNION ALL SELECT row, col, 3.0::DOUBLE FROM l WHERE col % 9 = 0 UNION ALL SELECT row, col, 1.5::DOUBLE FROM l WHERE row % 7 = 0)
+SELECT l.row, l.col, z - coalesce(max(depth), 0) AS burnt, class = 80 AND z <= 300 AS sea FROM l LEFT JOIN burn b ON b.row = l.row AND b.col = l.col GROUP BY l.row, l.col, z, class""")
+def burned_terrain(spark, sf_dir, n=N):
+    """Drains and water cut into the terrain, the deepest layer of each cell; low open water is sea."""
+    c = dem(spark, n).withColumn("class", F.element_at(F.array(*[F.lit(k) for k in (10, 80, 50, 60)]), (1 + F.col("cell") % 4).cast("int")))
+    layer = lambda where, depth: c.where(where).select("row", "col", F.lit(depth).alias("depth"))
+    out = streams.burn(c, layer("class = 80", 2.0), layer("col % 9 = 0", 3.0), layer("row % 7 = 0", 1.5))
+    return out.select("row", "col", (F.col("z") - F.col("burn")).alias("burnt"), streams.sea(F.col("class"), F.col("z"), level=300.0).alias("sea"))
+
+
+@query(f"""WITH RECURSIVE {STREAMS}, near AS (SELECT DISTINCT st.cell // {N} + a AS row, st.cell % {N} + b AS col FROM st, (VALUES (0,0),(-1,0),(1,0),(0,-1),(0,1)) o(a, b)), s AS (SELECT CASE WHEN range % 3 = 0 THEN 'Primary' ELSE 'Secondary' END AS kind, (range * 7) % {N} AS row, (range * 11) % {N} AS col FROM range(2000))
+SELECT kind, round(avg((near.row IS NOT NULL)::INT), 6) AS share, count(*) AS samples FROM s LEFT JOIN near USING (row, col) GROUP BY kind""")
+def drain_alignment(spark, sf_dir, n=N):
+    """The share of samples along drains that lie on or beside a stream."""
+    cells = routed(spark, n)[1].select(F.floor(F.col("cell") / n).cast("int").alias("row"), F.pmod("cell", F.lit(n)).cast("int").alias("col"))
+    k = F.col("id")
+    samples = spark.range(2000).select(F.when(k % 3 == 0, "Primary").otherwise("Secondary").alias("kind"), ((k * 7) % n).cast("int").alias("row"), ((k * 11) % n).cast("int").alias("col"))
+    return streams.alignment(samples, grid.dilate(cells, n)).select("kind", F.round("share", 6).alias("share"), "samples")
+
+
 @query(f"""WITH {CELLS}, {DEM}, f AS (SELECT *, cell % 53 AS zone, CASE WHEN cell % 7 <> 0 THEN z END AS v FROM dem)
 SELECT zone, count(*) AS cells, round(sum(coalesce(v, 0)), 2) AS sum_v, round(sum(coalesce(v, 0)) / count(*), 4) AS mean_v, round(avg((z < 400)::INT), 4) AS low_share, round(avg(row), 3) AS y, round(avg(col), 3) AS x FROM f GROUP BY zone""")
 def zonal_statistics(spark, sf_dir, n=N):

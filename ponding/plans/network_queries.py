@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ponding.functions import geo, hydro
 from ponding.operators import network, spatial, stats
-from ponding.plans.domain import CONDUITS, conduits, read, stations, stations_sql
+from ponding.plans.domain import CATCHMENTS, CONDUITS, catchments, conduits, read, stations, stations_sql
 from ponding.plans.registry import query
 
 PER = "111320.0 * cos(radians(12.95))"
@@ -62,22 +62,26 @@ def node_degrees(spark, sf_dir):
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.min("depth").alias("invert"), F.max("width").alias("top"), F.bool_or("bad").alias("bad"))
 
 
-@query(f"WITH {CONDUITS}, e AS (SELECT u AS node, depth AS own, width / 100 AS other FROM conduits WHERE u <> v AND eid % 3 = 0 UNION ALL SELECT v, width / 100, depth FROM conduits WHERE u <> v AND eid % 3 = 0), d AS (SELECT *, count(*) OVER (PARTITION BY node) AS degree FROM e) SELECT DISTINCT node FROM d WHERE own <= other AND degree <= 95")
+@query(f"""WITH {CATCHMENTS}, e AS (SELECT id AS node, imperv AS own, downstream AS other FROM catchments WHERE downstream IS NOT NULL), ends AS (SELECT e.node, e.own, c.imperv AS far FROM e JOIN catchments c ON c.id = e.other UNION ALL SELECT e.other, c.imperv, e.own FROM e JOIN catchments c ON c.id = e.other)
+SELECT node FROM ends GROUP BY node HAVING count(*) = 1 AND bool_or(own <= far)""")
 def outfalls(spark, sf_dir):
-    """Nodes of small degree where an own invert lies no higher than the other end's."""
-    return low_ends(conduits(spark, sf_dir).where("u <> v and eid % 3 = 0"))
+    """Nodes of one conduit that lie no higher than its other end."""
+    c = catchments(spark, sf_dir)
+    far = c.select(F.col("id").alias("downstream"), F.col("imperv").alias("far"))
+    e = c.where("downstream is not null").select("id", F.col("imperv").alias("own"), "downstream").join(far, "downstream")
+    return low_ends(e.select(F.col("id").alias("u"), F.col("downstream").alias("v"), "own", "far"), 1)
 
 
 @query()
 def outfalls_whole(spark, sf_dir):
-    """The same over all conduits (tests compare it with a plain loop)."""
-    return low_ends(conduits(spark, sf_dir).where("u <> v"))
+    """Nodes with few of all conduits of the register that lie low (tests compare it with a plain loop)."""
+    return low_ends(conduits(spark, sf_dir).where("u <> v").select("u", "v", F.col("depth").alias("own"), (F.col("width") / 100).alias("far")), 95)
 
 
-def low_ends(c):
-    ends = c.select(F.col("u").alias("node"), F.col("depth").alias("own"), (F.col("width") / 100).alias("other")).unionByName(c.select(F.col("v").alias("node"), (F.col("width") / 100).alias("own"), F.col("depth").alias("other")))
-    few = ends.groupBy("node").count().where("count <= 95").select("node")
-    return ends.where("own <= other").select("node").distinct().join(few, "node", "left_semi")
+def low_ends(c, most):
+    """Nodes of at most so many conduits (u, v, own, far: the inverts at both ends) where an own invert is no higher than the far one."""
+    ends = c.select(F.col("u").alias("node"), "own", "far").unionByName(c.select(F.col("v").alias("node"), F.col("far").alias("own"), F.col("own").alias("far")))
+    return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.bool_or(F.col("own") <= F.col("far")).alias("low")).where((F.col("degree") <= most) & F.col("low")).select("node")
 
 
 @query(f"WITH {CONDUITS} SELECT * FROM (SELECT u, v, length_m, eid FROM conduits QUALIFY row_number() OVER (PARTITION BY u, v ORDER BY length_m, eid) = 1)")
@@ -110,26 +114,34 @@ def shortest_distances(spark, sf_dir):
 
 @query()
 def flood_safe_route(spark, sf_dir):
-    """The normal and the passable way between two nodes: metres, blocked edges, minutes, and what to tell the driver."""
+    """The normal and the passable way between two nodes (tests compare it with a plain loop)."""
     c = conduits(spark, sf_dir).where("u <> v").withColumn("depth_cm", F.col("depth") * 400)
-    e = network.shortest_parallel(c).join(c.select("eid", "depth_cm"), "eid")
-    normal = network.distances(e.withColumn("w", F.col("length_m")), F.lit(0)).where("node = 233").select(F.col("cost").alias("normal_m"))
-    safe = network.distances(network.passable(e, hydro.PASSABLE_CM["two-wheeler"]), F.lit(0)).where("node = 233").select(F.col("cost").alias("safe_cost"))
-    both = normal.join(safe, F.lit(True), "left")
-    message = F.when(F.col("safe_cost").isNull(), "no passable way").when(F.col("safe_cost") > F.col("normal_m"), "a longer way keeps clear of the water").otherwise("the normal way is passable")
-    return both.select(F.round("normal_m", 1).alias("normal_m"), F.round("safe_cost", 1).alias("safe_cost"), F.round(hydro.route_minutes(F.col("normal_m")), 2).alias("minutes"), message.alias("message"))
+    e = network.shortest_parallel(c).join(c.select("eid", "depth_cm"), "eid").select("u", "v", "length_m", "depth_cm")
+    out = network.compare_routes(e, 0, 233, hydro.PASSABLE_CM["two-wheeler"])
+    return out.withColumns({"minutes": F.round(hydro.route_minutes(F.col("normal_m")), 2), **{m: F.round(m, 1) for m in ("normal_m", "safe_m", "extra_m")}})
 
 
-@query(f"""WITH RECURSIVE {CONDUITS}, e AS (SELECT DISTINCT u, v FROM conduits WHERE eid % 97 = 0 AND u <> v), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+@query(f"""WITH RECURSIVE {CONDUITS}, e AS (SELECT DISTINCT u, v FROM conduits WHERE u <> v), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
 r AS (SELECT u AS node, u AS seen FROM b UNION SELECT r.node, b.v FROM r JOIN b ON b.u = r.seen) SELECT node, min(seen) AS comp FROM r GROUP BY node""")
 def components(spark, sf_dir):
-    return network.components(conduits(spark, sf_dir).where("eid % 97 = 0 and u <> v"))
+    return network.components(conduits(spark, sf_dir).where("u <> v"))
 
 
 @query()
 def components_whole(spark, sf_dir):
-    """The same over all conduits (tests compare it with a plain loop)."""
-    return network.components(conduits(spark, sf_dir).where("u <> v"))
+    """The same under its older name (tests compare it with a plain loop)."""
+    return components(spark, sf_dir)
+
+
+@query()
+def built_network(spark, sf_dir):
+    """From polylines to a network: runs inside the box, pieces of at least 4 km, directed edges between snapped ends; the largest component's size and length."""
+    runs = network.clip_runs(lines(spark, sf_dir), 77.61, 12.91, 77.69, 12.99)
+    pieces = runs.select(F.concat(F.lit("drain "), (F.col("id") % 40).cast("string")).alias("name"), (F.col("id") * 1000 + F.col("first")).alias("k"), F.posexplode(network.chunk_points(F.col("coords"), 4000.0)).alias("p", "coords"))
+    edges = network.build_network(pieces.select("name", (F.col("k") * 1000 + F.col("p")).alias("ord"), "coords"), 12.95, snap_m=250.0)
+    keyed = edges.select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v"), "length_m")
+    inside = network.largest_component(keyed)
+    return inside.agg((F.count(F.lit(1)) / 2).cast("long").alias("segments"), F.round(F.sum("length_m") / 2000, 2).alias("km"), F.count_distinct("u").alias("nodes"))
 
 
 LINES = """v AS (SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, 77.60::DOUBLE + ((o_orderkey * 7919) % 1000) / 10000.0::DOUBLE AS lon, 12.90::DOUBLE + ((o_orderkey * 104729) % 1000) / 10000.0::DOUBLE AS lat FROM orders)"""

@@ -96,12 +96,40 @@ def test_strahler(spark):
     assert got == {1: 1, 2: 1, 3: 2, 4: 1, 5: 1, 6: 2, 7: 2, 8: 1, 9: 1}
 
 
+def plain_strahler(links):
+    ups = {}
+    for i, d in links:
+        ups.setdefault(d, []).append(i)
+    order = {}
+
+    def visit(i):
+        above = sorted((visit(u) for u in ups.get(i, ())), reverse=True)
+        order[i] = 1 if not above else above[0] + (len(above) > 1 and above[0] == above[1])
+        return order[i]
+
+    for i in ups.get(None, ()):
+        visit(i)
+    return order
+
+
+def test_strahler_of_long_chains_and_random_forests(spark):
+    """Two headwaters meet, then a chain of 200 links; and a forest of 300 links."""
+    chain = [(-1, 0), (-2, 0), *[(k, k + 1) for k in range(200)], (200, None)]
+    rng = random.Random(3)
+    forest = [(i, rng.randrange(i) + 1000 if i else None) for i in range(300)]
+    forest = [(i + 1000, d) for i, d in forest]
+    links = chain + forest
+    got = {r.id: r.strahler for r in runoff.strahler(spark.createDataFrame(links, "id long, downstream long")).collect()}
+    assert got == plain_strahler(links) and got[200] == 2
+
+
 def test_depressions_fill_to_the_spill_level(spark):
     n = 12
     rng = random.Random(7)
     z = {(i, j): float(rng.randrange(100)) for i in range(n) for j in range(n)}
     df = spark.createDataFrame([(i, j, v) for (i, j), v in z.items()], "row int, col int, z double")
-    got = {(r.row, r.col): r.w for r in grid.fill_depressions(df, n).collect()}
+    got, small = ({(r.row, r.col): r.w for r in grid.fill_depressions(df, n, tile=t).collect()} for t in (64, 5))
+    assert got == small
     level = {p: v for p, v in z.items() if p[0] in (0, n - 1) or p[1] in (0, n - 1)}
     heap = [(v, p) for p, v in level.items()]
     heapq.heapify(heap)
@@ -117,9 +145,15 @@ def test_depressions_fill_to_the_spill_level(spark):
 
 
 def test_nearest_fill(spark):
-    df = spark.createDataFrame([(i, j, float(i * 10 + j) if (i, j) in {(0, 0), (5, 5)} else None) for i in range(6) for j in range(6)], "row int, col int, z double")
-    got = {(r.row, r.col): r.z for r in grid.fill_nearest(df).collect()}
-    assert got[1, 1] == 0.0 and got[5, 4] == 55.0 and got[4, 5] == 55.0 and None not in got.values()
+    """Against all distances: gaps of any shape, ties, and a table without a filled cell."""
+    rng = random.Random(11)
+    for n, share in ((8, 0.03), (14, 0.1), (9, 0.5)):
+        filled = {(i, j): float(i * 100 + j) for i in range(n) for j in range(n) if rng.random() < share} or {(5, 5): 1.0, (0, 6): 2.0}
+        df = spark.createDataFrame([(i, j, filled.get((i, j))) for i in range(n) for j in range(n)], "row int, col int, z double")
+        got = {(r.row, r.col): r.z for r in grid.fill_nearest(df).collect()}
+        assert got == {(i, j): filled[min(filled, key=lambda p: ((p[0] - i) ** 2 + (p[1] - j) ** 2, p))] for i in range(n) for j in range(n)}
+    none = spark.createDataFrame([(0, 0, None), (0, 1, None)], "row int, col int, z double")
+    assert [r.z for r in grid.fill_nearest(none).collect()] == [None, None]
 
 
 def test_chunks(spark):
@@ -147,7 +181,15 @@ def test_network_and_route(spark):
     flat = spark.createDataFrame([(0, 1, 100.0, 50.0), (1, 2, 100.0, 0.0), (0, 3, 150.0, 5.0), (3, 2, 150.0, 0.0)], "u long, v long, length_m double, depth_cm double")
     normal = network.distances(flat.withColumn("w", F.col("length_m")), F.lit(0))
     safe = network.distances(network.passable(flat, 30.0), F.lit(0))
-    assert network.path_to(normal, 2) == [0, 1, 2] and network.path_to(safe, 2) == [0, 3, 2] and network.path_to(safe, 9) == []
+    nodes = lambda best, to: [r.node for r in network.path_to(best, to).orderBy("cost").collect()]
+    assert nodes(normal, 2) == [0, 1, 2] and nodes(safe, 2) == [0, 3, 2] and nodes(safe, 9) == [] and nodes(safe, 0) == [0]
+    both = network.compare_routes(flat, 0, 2, 30.0).first()
+    assert (both.normal_m, both.blocked, both.max_depth_cm, both.safe_m, both.extra_m, both.message) == (200.0, 1, 50.0, 300.0, 100.0, "a longer way keeps clear of the water")
+    assert network.compare_routes(flat, 0, 0, 30.0).first().message == "both ends are at one junction"
+    assert network.compare_routes(flat, 2, 0, 30.0).first().message == "no way between these points"
+    assert network.compare_routes(flat, 0, 2, 2.0).first().message == "no passable way"
+    two = flat.union(spark.createDataFrame([(10, 11, 1.0, 0.0)], flat.schema))
+    assert network.largest_component(two).count() == 4
     assert {r.node: r.cost for r in safe.collect()}[2] == 150 * (1 + 5 / 30) + 150
 
 
@@ -165,3 +207,51 @@ def test_functions(spark):
     assert abs(r.q - (100 - 12.7) ** 2 / (100 + 0.8 * 63.5)) < 1e-9
     assert abs(r.o - 0.575) < 1e-12 and r.none is None and r.d == 1.0 and abs(r.p - 0.0249979) < 1e-6
     assert abs(r.low - (math.exp(-12) + 0.25)) < 1e-12
+
+
+def test_path_of_a_long_chain(spark):
+    best = spark.createDataFrame([(k, float(k), k - 1 if k else None) for k in range(150)] + [(900, 3.5, 3)], "node long, cost double, prev long")
+    assert [r.node for r in network.path_to(best, 100).orderBy("cost").collect()] == list(range(101))
+
+
+def test_streams_and_valleys(spark):
+    """Links, their orders and both heights against plain walks."""
+    from ponding.operators import streams
+    from ponding.plans.grid_queries import dem
+
+    n = 30
+    cells = [(r.cell, r.z) for r in dem(spark, n).select("cell", "z").collect()]
+    z = dict(cells)
+    flow_df = grid.settle(grid.receivers(grid.flow_direction(dem(spark, n)), n))
+    flow = {r.cell: r.rec for r in flow_df.collect()}
+    acc = dict.fromkeys(flow, 0)
+    for c in flow:
+        at = c
+        acc[at] += 1
+        while flow[at] != at:
+            at = flow[at]
+            acc[at] += 1
+    river = {c for c, a in acc.items() if a >= 6}
+    inflow = {c: sum(flow[d] == c and d != c for d in river) for c in river}
+    ends = {c for c in river if flow[c] == c or flow[c] not in river or inflow[flow[c]] >= 2}
+
+    def walk(c, stop):
+        while c not in stop and flow[c] != c:
+            c = flow[c]
+        return c
+
+    linked = streams.links_of(streams.stream_cells(flow_df, grid.accumulate(flow_df), 6))
+    assert {r.cell: (r.inflow, r.terminal, r.link) for r in linked.collect()} == {c: (inflow[c], c in ends, walk(c, ends)) for c in river}
+    heights = dem(spark, n).select("cell", "z")
+    links = {r.link: r for r in streams.stream_links(linked, heights, n, 10.0).collect()}
+    down = {e: walk(flow[e], ends) if flow[e] != e and flow[e] in river else None for e in ends}
+    order = plain_strahler(list(down.items()))
+    assert {k: (r.downstream, r.strahler) for k, r in links.items()} == {e: (down[e], order[e]) for e in ends}
+    for r in links.values():
+        own = sorted((c for c in river if walk(c, ends) == r.link), key=acc.get)
+        assert [p.row * n + p.col for p in r.line] == own + ([flow[r.link]] if down[r.link] is not None else [])
+        assert r.drop_m == z[own[0]] - z[own[-1]] and r.cells == len(own)
+    major = [c for c in river if order[walk(c, ends)] >= 2]
+    for stop, only in ((river, None), (set(major), spark.createDataFrame([(c,) for c in major], "cell long"))):
+        got = {r.cell: (r.link, r.hand) for r in streams.catchments(flow_df, linked, heights, only).collect()}
+        assert got == {c: (walk(t, ends), max(z[c] - z[t], 0.0)) if (t := walk(c, stop)) in stop else (None, None) for c in flow}

@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from ponding.functions import hydro
 from ponding.operators import grid
 from ponding.plans import QUERIES
 from ponding.plans.domain import CONDUITS
@@ -41,6 +42,40 @@ def test_outfalls_of_all_conduits(spark):
     assert sorted(r.node for r in QUERIES["outfalls_whole"](spark, SF).collect()) == sorted(n for n in low if degree[n] <= 95)
 
 
+def test_route_over_all_conduits(spark):
+    """The normal and the passable way against Dijkstra."""
+    import heapq
+
+    duckdb.sql(f"create or replace view lineitem as select * from '{SF}/lineitem.parquet'")
+    rows = duckdb.sql(f"WITH {CONDUITS} SELECT u, v, length_m::DOUBLE, eid, depth::DOUBLE * 400 FROM conduits WHERE u <> v ORDER BY length_m, eid").fetchall()
+    edges = {}
+    for u, v, m, _, d in rows:
+        edges.setdefault((u, v), (m, d))
+
+    def way(weight):
+        out, heap, done = {}, [(0.0, 0, None)], set()
+        while heap:
+            cost, n, prev = heapq.heappop(heap)
+            if n in done:
+                continue
+            done.add(n)
+            out[n] = prev
+            for (u, v), (m, d) in edges.items():
+                if u == n and (w := weight(m, d)) is not None:
+                    heapq.heappush(heap, (cost + w, v, n))
+        path, at = [], 233
+        while at in out and out[at] is not None:
+            path.append(edges[out[at], at])
+            at = out[at]
+        return path
+
+    normal, safe = way(lambda m, d: m), way(lambda m, d: None if d >= limit else m * (1 + d / limit)) if (limit := hydro.PASSABLE_CM["two-wheeler"]) else []
+    r = QUERIES["flood_safe_route"](spark, SF).first()
+    assert r.normal_edges == len(normal) and abs(r.normal_m - sum(m for m, _ in normal)) < 0.1
+    assert r.blocked == sum(d >= limit for _, d in normal) and (r.safe_m is None) == (not safe)
+    assert not safe or abs(r.safe_m - sum(m for m, _ in safe)) < 0.1
+
+
 def test_nearest_of_all_vectors(spark):
     rows = duckdb.sql(f"select vec_id, embedding from '{SF}/embeddings.parquet' order by vec_id").fetchall()
     ids, e = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
@@ -54,7 +89,7 @@ def test_nearest_of_all_vectors(spark):
 
 def test_depressions_take_the_whole_grid(spark, monkeypatch):
     """Only what goes in: filling takes 123 rounds here; a test of recurrences compares the filling itself with a priority queue."""
-    monkeypatch.setattr(grid, "fill_depressions", lambda df, n: df.withColumns({"w": F.col("z"), "z": F.lit(float(n))}))
+    monkeypatch.setattr(grid, "fill_depressions", lambda df, n, **_: df.withColumns({"w": F.col("z"), "z": F.lit(float(n))}))
     rows = QUERIES["filled_depressions"](spark, SF).collect()
     assert {(r.row, r.col) for r in rows} == {(r, c) for r in range(240) for c in range(240)}
     assert {r.z for r in rows} == {240.0}
