@@ -116,7 +116,8 @@ def shortest_distances(spark, sf_dir):
 def flood_safe_route(spark, sf_dir):
     """The normal and the passable way between two nodes (tests compare it with a plain loop)."""
     c = conduits(spark, sf_dir).where("u <> v").withColumn("depth_cm", F.col("depth") * 400)
-    e = network.shortest_parallel(c).join(c.select("eid", "depth_cm"), "eid").select("u", "v", "length_m", "depth_cm")
+    # eids repeat in the register, so the depth is chosen with the edge.
+    e = c.groupBy("u", "v").agg(F.min(F.struct("length_m", "eid", "depth_cm")).alias("b")).select("u", "v", "b.length_m", "b.depth_cm")
     out = network.compare_routes(e, 0, 233, hydro.PASSABLE_CM["two-wheeler"])
     return out.withColumns({"minutes": F.round(hydro.route_minutes(F.col("normal_m")), 2), **{m: F.round(m, 1) for m in ("normal_m", "safe_m", "extra_m")}})
 

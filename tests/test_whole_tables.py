@@ -47,7 +47,7 @@ def test_route_over_all_conduits(spark):
     import heapq
 
     duckdb.sql(f"create or replace view lineitem as select * from '{SF}/lineitem.parquet'")
-    rows = duckdb.sql(f"WITH {CONDUITS} SELECT u, v, length_m::DOUBLE, eid, depth::DOUBLE * 400 FROM conduits WHERE u <> v ORDER BY length_m, eid").fetchall()
+    rows = duckdb.sql(f"WITH {CONDUITS} SELECT u, v, length_m::DOUBLE, eid, depth::DOUBLE * 400 FROM conduits WHERE u <> v ORDER BY length_m, eid, depth").fetchall()
     edges = {}
     for u, v, m, _, d in rows:
         edges.setdefault((u, v), (m, d))
