@@ -1,9 +1,10 @@
 """A count-min sketch of 64-bit keys, built per partition, merged by blocks of counters in a shuffle.
 
 Estimates never fall below the true count: fine counters stop at 3 (enough to tell 1 from
-more), coarse ones, sums of 64 fine ones, at 65,535. The width follows the input up to a
+more), coarse ones, sums of 64 fine ones, have 32 bits. The width follows the input up to a
 bound, so what is broadcast is at most ``most`` counters a row; past it the sketch passes
-more keys on, and the exact stages behind it still see all they need.
+more keys on, and the exact stages behind it still see all they need. Large counts stay
+meaningful at any size: what other keys add to them is :func:`noise` on average.
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ def width_for(keys: float, per_key: float = 1.5, most: int = MOST) -> int:
     return int(min(most, max(BLOCK, -(-int(per_key * keys) // BLOCK) * BLOCK)))
 
 
+def noise(keys: float, width: int) -> float:
+    """What a coarse counter holds on average of other keys."""
+    return keys * COARSE / width
+
+
 def places(keys: np.ndarray, width: int, row: int) -> np.ndarray:
     return ((mix(keys + U(0x51ED2701 * (row + 1))) >> U(32)) * U(width)) >> U(32)
 
@@ -52,7 +58,7 @@ def _blocks(keys: np.ndarray, width: int) -> pa.RecordBatch:
     for row in range(DEPTH):
         at = np.sort(places(keys, width, row).astype(np.uint32))
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
-        counts = np.minimum(np.diff(np.r_[first, len(at)]), 65535).astype(np.uint16)
+        counts = np.diff(np.r_[first, len(at)]).astype(np.uint32)
         at = at[first]
         cuts = np.flatnonzero(np.r_[True, (at[1:] >> 16) != (at[:-1] >> 16)]) if len(at) else []
         for i, j in zip(cuts, [*cuts[1:], len(at)]):
@@ -65,11 +71,11 @@ def _merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     total = np.zeros(BLOCK, np.int64)
     for b in batches:
         for blob in b.column("counts"):
-            steps, counts = expand(blob.as_py(), np.uint16, np.uint16)
+            steps, counts = expand(blob.as_py(), np.uint16, np.uint32)
             total[np.cumsum(steps.astype(np.int64))] += counts
     fine = np.minimum(total, 3).astype(np.uint8).reshape(-1, 4)
     packed = fine[:, 0] | fine[:, 1] << 2 | fine[:, 2] << 4 | fine[:, 3] << 6
-    coarse = np.minimum(total.reshape(-1, COARSE).sum(1), 65535).astype(np.uint16)
+    coarse = np.minimum(total.reshape(-1, COARSE).sum(1), 2**32 - 1).astype(np.uint32)
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([packed.tobytes()]), pa.array([coarse.tobytes()])], names=["part", "fine", "coarse"])
 
 
@@ -79,7 +85,7 @@ class Sketch:
 
     def _rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for row in range(DEPTH):
-            yield row, np.frombuffer(self.fine[row], np.uint8), np.frombuffer(self.coarse[row], np.uint16)
+            yield row, np.frombuffer(self.fine[row], np.uint8), np.frombuffer(self.coarse[row], np.uint32)
 
     def estimate(self, keys: np.ndarray) -> np.ndarray:
         """At least the count of each key, up to 3."""
@@ -90,8 +96,8 @@ class Sketch:
         return out
 
     def estimate_large(self, keys: np.ndarray) -> np.ndarray:
-        """At least the count of each key, up to 65,535; rough for small counts."""
-        out = np.full(len(keys), 65535, np.uint16)
+        """At least the count of each key, up to 2^32 - 1; rough for small counts."""
+        out = np.full(len(keys), 2**32 - 1, np.uint32)
         for row, _, coarse in self._rows():
             np.minimum(out, coarse[places(keys, self.width, row) // U(COARSE)], out=out)
         return out
@@ -114,7 +120,7 @@ def build(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterable[np.ndarray
 
     merged = df.mapInArrow(partial, "part int, counts binary").groupBy("part").applyInArrow(_merge, "part int, fine binary, coarse binary")
     per_row = width // BLOCK
-    fine, coarse = ([bytearray(n) for _ in range(DEPTH)] for n in (width // 4, 2 * width // COARSE))
+    fine, coarse = ([bytearray(n) for _ in range(DEPTH)] for n in (width // 4, 4 * width // COARSE))
     # Bounded by ``most``, whatever the input; one partition of blocks at a time passes through.
     for part, a, b in merged.toLocalIterator():
         row, k = divmod(part, per_row)

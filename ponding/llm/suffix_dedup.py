@@ -29,7 +29,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ponding.llm.anchors import runs
 from ponding.llm.common import documents, table, with_tags
-from ponding.llm.window_exchange import NULL_ID, VALUES, Grain, Shard, deal, judge, read_shard, unpacked, window_spans, with_runs
+from ponding.llm.window_exchange import NULL_ID, VALUES, Grain, Shard, deal, judge, read_shard, same_bytes, unpacked, window_spans, with_runs
 from ponding.llm.words import Powers, Rolling, U, covered, ranges, slices
 
 GRAM, SCATTER = 16, 2_000_000
@@ -117,7 +117,15 @@ class Enhanced:
         live[order] = np.repeat(total > 1, np.diff(np.r_[cut, len(order)]))
         self.live = np.flatnonzero(live)
         content = rolling.spans(begin[self.live] + 1, begin[self.live] + size[self.live])
-        _, rep, self.which = np.unique(content, return_index=True, return_inverse=True)
+        # Segments of one hash are compared byte by byte; one that differs from the first stands alone.
+        _, rep, which = np.unique(content, return_index=True, return_inverse=True)
+        a, b = self.live, self.live[rep][which]
+        alike = size[a] == size[b]
+        alike[alike] = same_bytes(s.load, begin[a[alike]] + 1, begin[b[alike]] + 1, size[a[alike]] - 1)
+        if not alike.all():
+            which[~alike] = len(rep) + np.arange(int((~alike).sum()))
+            rep = np.r_[rep, np.flatnonzero(~alike)]
+        self.which = which
         rep = self.live[rep]
         self.count = s.count[rep]
         length = self.count + width - 1

@@ -20,7 +20,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ponding.llm.anchors import Segments, segments, split_single
 from ponding.llm.common import total_bytes
-from ponding.llm.sketch import Sketch, build, expand, squeeze, width_for
+from ponding.llm.sketch import Sketch, build, expand, noise, squeeze, width_for
 from ponding.llm.words import SPACE, Powers, Rolling, U, byte_values, mix, ranges, separators, slices, words_of
 
 SLICE_BYTES, CHUNK_BYTES, SHARD_BYTES = 1_000_000, 24_000_000, 2_000_000
@@ -50,6 +50,17 @@ def sequence(grain: Grain, data: np.ndarray, offsets: np.ndarray, powers: Powers
     return Rolling(hashes, powers), first
 
 
+def same_bytes(load: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, most: int = 1_000_000) -> np.ndarray:
+    """Whether load[a : a + n] equals load[b : b + n], for many at a time."""
+    out = np.ones(len(a), bool)
+    total = np.cumsum(n)
+    cuts = np.unique(np.r_[0, np.searchsorted(total, np.arange(most, total[-1] if len(a) else 0, most)), len(a)])
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        differ = load[ranges(a[i:j], n[i:j])] != load[ranges(b[i:j], n[i:j])]
+        out[np.repeat(np.arange(i, j), n[i:j])[differ]] = False
+    return out
+
+
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("doc_id").fill_null(int(NULL_ID)).to_numpy(), batch.column("tag").to_numpy()
 
@@ -85,8 +96,20 @@ class Chunk:
         load = np.concatenate(self.loads)
         at = np.cumsum(size) - size
         self.parts, self.loads, self.bytes = [], [], 0
-        order = np.lexsort((start, tag, doc, content))
-        cut = np.r_[True, content[order][1:] != content[order][:-1]]
+        while True:
+            order = np.lexsort((start, tag, doc, content))
+            cut = np.r_[True, content[order][1:] != content[order][:-1]]
+            if self.grain.words:
+                break
+            # Segments of one hash are compared with the first of them; one that differs gets a hash of its own.
+            more = np.flatnonzero(~cut)
+            head = order[np.flatnonzero(cut)[np.cumsum(cut) - 1][more]]
+            more = order[more]
+            alike = size[more] == size[head]
+            alike[alike] = same_bytes(load, at[more[alike]] + 1, at[head[alike]] + 1, size[more[alike]] - 1)
+            if alike.all():
+                break
+            content[more[~alike]] = mix(content[more[~alike]] + more[~alike].astype(U) + U(1))
         if self.copies:
             cut[1:] |= doc[order][1:] != doc[order][:-1]
         group = np.cumsum(cut) - 1
@@ -169,7 +192,9 @@ def deal(docs: DataFrame, grain: Grain, copies: bool = False) -> DataFrame:
     n_bytes = total_bytes(docs)
     expected = n_bytes / grain.bytes_per_anchor()
     buckets = max(32, n_bytes // SHARD_BYTES)
-    heavy = min(60_000, max(256, int(expected / 4096)))
+    width = width_for(expected, 2.5)
+    # However full the sketch is, no more than some 4,096 anchors a row can be heavy.
+    heavy = max(256, int(expected / 4096 + 2 * noise(expected, width)))
 
     def found(batch: pa.RecordBatch, powers: Powers) -> Iterator[tuple]:
         for part, data, offsets in slices(batch, SLICE_BYTES):
@@ -181,7 +206,7 @@ def deal(docs: DataFrame, grain: Grain, copies: bool = False) -> DataFrame:
         for *_, s in found(batch, powers):
             yield s.key
 
-    shared = build(docs.select("text"), keys, width_for(expected, 2.5))
+    shared = build(docs.select("text"), keys, width)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch(*shared.value)

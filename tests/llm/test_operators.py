@@ -62,6 +62,43 @@ def test_substring(spark, rows):
     same(got, brute.substring(rows))
 
 
+def test_a_full_sketch_loses_nothing(spark, rows, monkeypatch):
+    """With hardly any counters every anchor passes and looks frequent: the same rows, and no flood of single windows."""
+    from ponding.llm import sketch, window_exchange
+
+    monkeypatch.setattr(sketch, "BLOCK", 256)
+    monkeypatch.setattr(sketch, "MOST", 256)
+    monkeypatch.setattr(sketch.width_for, "__defaults__", (1.5, 256))
+    many = rows + [(2000 + i, t) for i, (_, t) in enumerate(corpus(seed=5, n=240)) if t]
+    assert sketch.width_for(1e9, 2.5) == 256
+    same(substring_dedup.cut_repeats(table(spark, many)).select("doc_id", "n_words", "n_removed", "kept").collect(), brute.substring(many))
+    same(suffix_rows(spark, many), brute.suffix(many))
+    text = sum(len((t or "").encode()) for _, t in many)
+    sent = window_exchange.deal(documents(table(spark, many)).selectExpr("doc_id", "text", "0L tag"), window_exchange.Grain(False, 50, 16)).agg(F.sum(F.length("blob"))).first()[0]
+    assert sent < 4 * text  # single windows would be fifty times the text
+
+
+def test_segments_of_one_hash_are_told_apart(spark, rows, monkeypatch):
+    """A hash that equates many different segments costs time, not results."""
+    from ponding.llm import window_exchange, words
+
+    plain = words.Rolling.spans
+    monkeypatch.setattr(words.Rolling, "spans", lambda self, a, b: plain(self, a, b) % words.U(3))
+    chunk = window_exchange.Chunk(window_exchange.Grain(False, 50, 16), 4)
+    texts = [b"x" * 30 + bytes([65 + k % 3] * 60) + b"y" * 30 for k in range(9)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.arange(10) * 120
+    rolling, first = window_exchange.sequence(chunk.grain, data, offsets, words.Powers())
+    s = window_exchange.segments(rolling, first, 50, 16)
+    chunk.add(s, np.zeros(len(s.start), bool), rolling, data, first, np.arange(9), np.zeros(9, np.int64))
+    runs = []
+    for bucket, blob in chunk.flush():
+        if bucket < 0:
+            d, _, start, n = window_exchange.expand(blob, np.int64, np.int64, np.int64, np.int64)
+            runs += [(int(i), int(a + k)) for i, a, m in zip(d, start, n) for k in range(m)]
+    known = {(i, k) for i in range(3, 9) for k in range(71)}
+    assert set(runs) <= known and len(runs) > 0
+
+
 def suffix_rows(spark, rows):
     from ponding.llm.common import with_tags
 
