@@ -329,6 +329,43 @@ def test_licences(spark):
     ])
 
 
+def test_fits_are_minimum_covariance_determinants(spark):
+    """Against numpy with hundreds of random starts and exact halves, per group, with a third of one group far out."""
+    rng = np.random.default_rng(12)
+    p, groups = quality_rules.P, {}
+    for g, (n, bad) in enumerate(((600, 190), (300, 0), (400, 40))):
+        mix = rng.normal(size=(p, p)) / 3 + np.eye(p)
+        x = rng.normal(size=(n, p)) @ mix.T + g
+        x[:bad] = rng.normal(size=(bad, p)) * 0.3 + 12
+        groups[f"g{g}"] = (x, bad)
+    rows = spark.createDataFrame([(0, g, *map(float, v)) for g, (x, _) in groups.items() for v in x], ["level", "g_0", *quality_rules.FEATURES])
+    fits = {r.g_0: r for r in quality_rules.robust_fits(rows, ["level", "g_0"], True).collect()}
+    floor = np.diag(np.square(quality_rules.FLOOR))
+    cut = quality_rules.chi_square_quantile(0.999, p)
+    for g, (x, bad) in groups.items():
+        half, best = (len(x) + 1) // 2, None
+        for _ in range(300):
+            own = x[rng.choice(len(x), p + 1, False)]
+            for _ in range(20):
+                m, c = own.mean(0), np.cov(own.T, bias=True) + floor
+                d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+                own = x[np.argsort(d)[:half]]
+            det = np.linalg.slogdet(np.cov(own.T, bias=True) + floor)[1]
+            best = min(best or (np.inf,), (det, own.mean(0), np.cov(own.T, bias=True) + floor), key=lambda b: b[0])
+        _, m, c = best
+        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+        c = c * max(np.median(d) / quality_rules.MEDIAN, 1)
+        own = x[np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m) <= quality_rules.INNER]
+        m, c = own.mean(0), np.cov(own.T, bias=True) * quality_rules.INNER_TO_WHOLE + floor
+        r = fits[g]
+        low = np.array([[r[f"l_{i}_{j}"] if i >= j else 0.0 for j in range(p)] for i in range(p)])
+        mean = np.array([r[f"m_{i}"] for i in range(p)])
+        assert np.abs(mean - m).max() < 0.15 and np.abs(low @ low.T - c).max() < 0.15 * np.abs(c).max()
+        far = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(low @ low.T), x - mean) > cut
+        assert far[:bad].all() and far[bad:].mean() < 0.02
+    assert abs(quality_rules.chi_square_quantile(0.975, 5) - 12.8325) < 1e-3 and abs(quality_rules.chi_square_cdf(4.3515, 5) - 0.5) < 1e-4
+
+
 HEADER = """/*
  * Copyright (C) 2020 Somebody
  *
