@@ -58,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: No SQL: the outlier fits, the components and the vocabulary are beyond it. Tests compare each stage with brute force.
+#: No SQL: the outlier fits, the components and the vocabulary are beyond it. Tests compare the stages and the whole with brute force.
 ORACLE_SQL = None
