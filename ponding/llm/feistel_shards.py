@@ -84,22 +84,22 @@ def number_rows(keys: DataFrame, buckets: int) -> DataFrame:
     return k.join(F.broadcast(before), "bucket").withColumn("first", F.col("before") + F.col("inside")).drop("bucket", "before", "inside")
 
 
-def shard(df: DataFrame, shards: int, key: int = 17, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1024) -> DataFrame:
+def shard(df: DataFrame, shards: int, key: int = 17, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, row_number, position, shard, slot.
 
-    Only ids, sizes and checksums are shuffled. ``buckets`` bounds what is ordered in one
-    place (one count each) and what is broadcast.
+    Only ids, sizes and checksums are shuffled. ``buckets``: by default as many as keep each
+    near 200,000 rows, 1,024 at least; one count of each is ordered in one place and broadcast.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     keys = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
-    numbered = number_rows(keys, buckets)
+    n = int(rows.count())
+    numbered = number_rows(keys, buckets or max(1024, n // 200_000))
     # A key with many copies is unrolled in two steps, so that no array is long.
     block = 1 << 16
     pieces = numbered.withColumn("at", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / block)))).withColumn("from", F.col("at") * block)
     one = pieces.withColumn("i", F.explode(F.sequence(F.col("from"), F.least(F.col("copies"), F.col("from") + block) - 1)))
     one = one.select("doc_id", "size", "text_crc32", (F.col("first") + F.col("i")).alias("row_number"))
-    n = int(rows.count())
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ponding.llm.common import materialize
-from ponding.llm.words import SPACE, Powers, Rolling, byte_values, ranges, slices, word_spans
+from ponding.llm.words import Powers, Rolling, SPACE, byte_values, mix, ranges, same_bytes, slices, word_spans
 
 #: Bytes whose pre-tokens are looked up together, bytes that numpy handles at a time, pre-tokens for one call.
 BATCH_BYTES, STEP_BYTES, CALL_WORDS = 8_000_000, 1_000_000, 10_000
@@ -81,7 +81,16 @@ class WordIds:
             ends.append(e + offsets[at])
             at = to
         starts, ends, hashes = (np.concatenate([*x, np.zeros(0, t)]).astype(t) for x, t in ((starts, np.int64), (ends, np.int64), (hashes, np.uint64)))
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        whole, size = np.frombuffer(joined, np.uint8), ends - starts
+        while True:
+            _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+            # Pre-tokens of one hash are compared with the first of them; one that differs gets a hash of its own.
+            rep = first[which]
+            alike = size == size[rep]
+            alike[alike] = same_bytes(whole, starts[alike], starts[rep[alike]], size[alike])
+            if alike.all():
+                break
+            hashes[~alike] = mix(hashes[~alike] + np.flatnonzero(~alike).astype(np.uint64) + np.uint64(1))
         flat = [np.zeros(0, np.uint32)]
         for k in range(0, len(first), CALL_WORDS):
             own = first[k : k + CALL_WORDS]

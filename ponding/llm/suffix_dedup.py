@@ -29,8 +29,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ponding.llm.anchors import runs
 from ponding.llm.common import documents, table, with_tags
-from ponding.llm.window_exchange import NULL_ID, VALUES, Grain, Shard, deal, judge, read_shard, same_bytes, unpacked, window_spans, with_runs
-from ponding.llm.words import Powers, Rolling, U, covered, ranges, slices
+from ponding.llm.window_exchange import NULL_ID, VALUES, Grain, Shard, deal, judge, read_shard, unpacked, window_spans, with_runs
+from ponding.llm.words import Powers, Rolling, U, covered, ranges, same_bytes, slices
 
 GRAM, SCATTER = 16, 2_000_000
 

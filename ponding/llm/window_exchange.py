@@ -21,7 +21,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from ponding.llm.anchors import Segments, segments, split_single
 from ponding.llm.common import total_bytes
 from ponding.llm.sketch import Sketch, build, expand, noise, squeeze, width_for
-from ponding.llm.words import SPACE, Powers, Rolling, U, byte_values, mix, ranges, separators, slices, words_of
+from ponding.llm.words import SPACE, Powers, Rolling, U, byte_values, mix, ranges, same_bytes, separators, slices, words_of
 
 SLICE_BYTES, CHUNK_BYTES, SHARD_BYTES = 1_000_000, 24_000_000, 2_000_000
 NULL_ID = np.int64(2**63 - 1)
@@ -50,17 +50,6 @@ def sequence(grain: Grain, data: np.ndarray, offsets: np.ndarray, powers: Powers
     return Rolling(hashes, powers), first
 
 
-def same_bytes(load: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, most: int = 1_000_000) -> np.ndarray:
-    """Whether load[a : a + n] equals load[b : b + n], for many at a time."""
-    out = np.ones(len(a), bool)
-    total = np.cumsum(n)
-    cuts = np.unique(np.r_[0, np.searchsorted(total, np.arange(most, total[-1] if len(a) else 0, most)), len(a)])
-    for i, j in zip(cuts[:-1], cuts[1:]):
-        differ = load[ranges(a[i:j], n[i:j])] != load[ranges(b[i:j], n[i:j])]
-        out[np.repeat(np.arange(i, j), n[i:j])[differ]] = False
-    return out
-
-
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("doc_id").fill_null(int(NULL_ID)).to_numpy(), batch.column("tag").to_numpy()
 
