@@ -14,6 +14,7 @@ OPACITY = ((0.0, 0.0), (4.0, 0.0), (5.0, 0.45), (15.0, 0.70), (30.0, 0.78), (50.
 #: Curve number on soil group C and imperviousness by land-cover class (fixed values).
 CURVE_NUMBER = {10: 70, 20: 73, 30: 74, 40: 85, 50: 79, 60: 91, 70: 74, 80: 100, 90: 85, 95: 70, 100: 74}
 IMPERVIOUS = {10: 0.05, 20: 0.10, 30: 0.15, 40: 0.20, 50: 0.85, 60: 0.40, 70: 0.0, 80: 0.0, 90: 0.0, 95: 0.0, 100: 0.05}
+#: Places of blocked drains and of low ground (x, y and width) in the demonstration city (fixed values).
 BLOCKED_DRAINS = ((0.35, 0.62), (0.62, 0.55), (0.45, 0.20))
 SINKS = ((0.28, 0.30, 0.035), (0.72, 0.42, 0.03), (0.50, 0.80, 0.04))
 
