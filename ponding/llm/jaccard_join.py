@@ -12,8 +12,9 @@ shared; they fill the prefix and are not indexed.
 The sketch samples shingles by hash; the classes that still have signatures are sketched
 once more over all their shingles, which leaves few false candidates. Candidates are
 verified on whole sets. A signature's classes are first compared with one hub (a star, not
-all pairs); what stars leave in different components is compared pair by pair, save pairs
-that sizes and known-unique shingles rule out.
+all pairs); what stars leave in different components is compared pair by pair, in groups of
+signatures with one smallest class and in parts of bounded size, save pairs that sizes,
+known-unique shingles and parities rule out.
 
 Nulls: null and word-less texts have no shingles and link with nothing. Rows with a null
 doc_id take part; a component's id is its smallest doc_id that is not null. Repeated rows
@@ -263,40 +264,11 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
             return labels
 
 
-#: How many of a class's smallest signatures go along with it, so that a pair found under several is sent once.
-FIRST_SIGS = 128
-
-
-def first_signatures(column: pa.ChunkedArray) -> np.ndarray:
-    """One row per class: its smallest signatures, filled up with the largest number."""
-    raw = [v.as_py() for v in column]
-    size = np.array([len(v) // 8 for v in raw])
-    out = np.full((len(raw), FIRST_SIGS), U(2**64 - 1))
-    out[np.arange(FIRST_SIGS) < size[:, None]] = np.frombuffer(b"".join(raw), U)
-    return out
-
-
-def first_here(key: U, low: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which of the pairs (x, y), sorted by x, share none of their first signatures below ``key``.
-
-    A pair is never left out under the smallest signature that it shares.
-    """
-    keep = np.ones(len(x), bool)
-    cuts = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True]) if len(x) else np.zeros(1, np.int64)
-    for i, j in zip(cuts.tolist(), cuts[1:].tolist()):
-        own = low[x[i]]
-        own = own[own < key]
-        for k in range(i, j, 10_000) if len(own) else ():
-            keep[k : min(k + 10_000, j)] = ~np.isin(low[y[k : min(k + 10_000, j)]], own).any(1)
-    return keep
-
-
 def cross_pairs(percent: int):
-    """Of two parts of a signature's classes (or one with itself) the pairs in different components that neither sizes nor parities rule out."""
+    """Of two parts of a group's classes (or one with itself) the pairs in different components that neither sizes nor parities rule out."""
 
     def pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches).sort_by("n")
-        sig, low = U(key[0].as_py() % 2**64), first_signatures(t.column("low"))
         one, part = key[1].as_py() == key[2].as_py(), t.column("part").to_numpy()
         cid, n, once, comp = (t.column(c).to_numpy() for c in ("cid", "n", "once", "comp"))
         n, once, odd = n.astype(np.int64), once.astype(np.int64), bits(t.column("parity"))
@@ -310,22 +282,33 @@ def cross_pairs(percent: int):
             x, y = a[x, 0], b[0, y]
             close = np.concatenate([(100 + percent) * apart(odd[x[k : k + 50_000]], odd[y[k : k + 50_000]]) <= (100 - percent) * (n[x[k : k + 50_000]] + n[y[k : k + 50_000]]) for k in range(0, len(x), 50_000)] or [np.zeros(0, bool)])
             x, y = x[close], y[close]
-            new = first_here(sig, low, x, y)
-            p, q = cid[x[new]], cid[y[new]]
+            p, q = cid[x], cid[y]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     return pairs
 
 
-#: Classes of a signature that meet in one task, about: a larger group is dealt out by pairs of parts of this size.
+#: Classes of a group that meet in one task, about: a larger group is dealt out by pairs of parts of this size.
 PART = 4_000
 
 
-def in_parts(rest: DataFrame) -> DataFrame:
-    """Each class of a signature once for every part of its signature: i and j, the parts that meet, and part, its own."""
+def merged_groups(rest: DataFrame) -> DataFrame:
+    """The classes of all signatures with one smallest class: least, cid, n, once, comp, size (of the group).
+
+    Two signatures have the same smallest class as likely as their classes overlap, so those
+    that hold nearly the same classes, as the many of a text with many copies do, are compared
+    once. Every pair of a signature is in its group.
+    """
+    own = materialize(rest.select("least", "cid", "n", "once", "comp").distinct(), "groups")
+    sizes = own.groupBy("least").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("least", "size")
+    return own.join(sizes, "least")
+
+
+def in_parts(groups: DataFrame) -> DataFrame:
+    """Each class of a group once for every part of it: i and j, the parts that meet, and part, its own."""
     n = F.ceil(F.col("size") / PART).cast("int")
-    own = rest.withColumn("part", F.pmod(F.xxhash64("cid"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    return own.select("sig", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cid", "n", "once", "comp", "parity", "low")
+    own = groups.withColumn("part", F.pmod(F.xxhash64("cid"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    return own.select("least", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cid", "n", "once", "comp", "parity")
 
 
 #: Stars go on until few pairs are left to compare one by one, or for this many rounds. A star's
@@ -343,8 +326,8 @@ def links_and_components(sets: DataFrame, percent: int) -> DataFrame:
     rest = index.groupBy("sig", "cid").agg(F.first("n").alias("n"), F.first("once").alias("once")).withColumn("comp", F.col("cid"))
     links = labels = None
     for _ in range(STARS):
-        hubs = rest.groupBy("sig").agg(F.min(F.struct("once", "cid", "n", "comp")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-        rest = materialize(rest.join(hubs.select("sig", "hub"), "sig").where(F.col("cid") != F.col("hub.cid")), "index")
+        hubs = rest.groupBy("sig").agg(F.min(F.struct("once", "cid", "n", "comp")).alias("hub"), F.min("cid").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        rest = materialize(rest.drop("least").join(hubs.select("sig", "hub", "least"), "sig").where(F.col("cid") != F.col("hub.cid")), "index")
         if not rest.limit(1).count():
             break
         star = rest.where(F.col("comp") != F.col("hub.comp"))
@@ -353,33 +336,20 @@ def links_and_components(sets: DataFrame, percent: int) -> DataFrame:
         new = verify(near(pairs, sets, percent), sets, percent)
         links = materialize(new if links is None else links.union(new), "links")
         labels = components(links, SPREAD)
-        rest = materialize(_unsettled(rest.drop("hub"), labels), "rest")
-        size = rest.groupBy("sig").count().agg(F.sum("count"), F.sum(F.col("count") * F.col("count"))).first()
+        rest = rest.drop("comp", "hub").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        rest = materialize(rest, "rest")
+        # Signatures in one component are settled; the next round's hubs leave them out.
+        left = rest.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        size = left.agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
         if not size[0] or size[1] <= 8 * size[0]:
             break
     if links is None:
         return sets.select("cid", F.col("cid").alias("comp")).limit(0)
-    rest = _distinct_groups(rest).join(sets.select("cid", "parity", F.substring("sigs", 1, 8 * FIRST_SIGS).alias("low")), "cid")
-    pairs = in_parts(rest).groupBy("sig", "i", "j").applyInArrow(cross_pairs(percent), "a long, b long").distinct()
+    groups = merged_groups(rest).join(sets.select("cid", "parity"), "cid")
+    pairs = in_parts(groups).groupBy("least", "i", "j").applyInArrow(cross_pairs(percent), "a long, b long").distinct()
     return components(links.union(verify(pairs, sets, percent)))
 
 
-def _distinct_groups(rest: DataFrame) -> DataFrame:
-    """Of signatures with the same classes only the smallest (as unsigned numbers, like :func:`first_here`), with their size."""
-    members = [F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")]
-    groups = rest.groupBy("sig").agg(*members).where("size > 1")
-    keep = groups.groupBy("size", "x", "y").agg(F.min(F.struct((F.col("sig") < 0).alias("high"), "sig")).alias("s")).select(F.col("s.sig").alias("sig"), "size")
-    return rest.join(keep, "sig")
-
-
-def _unsettled(rest: DataFrame, labels: DataFrame) -> DataFrame:
-    """The classes of signatures that are still found in more than one component."""
-    own = rest.drop("comp").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    own = materialize(own, "rest")
-    open_ = own.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-    return own.join(open_, "sig", "left_semi")
-
-
 def classes(docs: DataFrame, n: int = N) -> DataFrame:
     """docs: doc_id, text and others. Replaces text by n_shingles and cid (null without shingles)."""
     rest = [c for c in docs.columns if c != "text"]

@@ -212,22 +212,13 @@ def test_jaccard_of_a_hot_signature(spark, monkeypatch):
     rows += [(1000 + i, rows[i * 7][1] + " more") for i in range(30)]
     got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).select("doc_id", "n_shingles", "component_id").collect()
     same(got, brute.jaccard_components(rows))
-    members = spark.range(500).selectExpr("id % 2 sig", "id cid", "1 n", "0 once", "id comp", "cast('' as binary) parity", "cast('' as binary) low", "250L size")
+    members = spark.range(500).selectExpr("id % 2 least", "id cid", "1 n", "0 once", "id comp", "cast('' as binary) parity", "250L size")
     parts = jaccard_join.in_parts(members)
-    assert parts.groupBy("sig", "i", "j").count().agg(F.max("count")).first()[0] <= 160
-    met = parts.alias("x").join(parts.alias("y"), ["sig", "i", "j"]).where("x.cid < y.cid and (i = j or x.part <> y.part)")
+    assert parts.groupBy("least", "i", "j").count().agg(F.max("count")).first()[0] <= 160
+    met = parts.alias("x").join(parts.alias("y"), ["least", "i", "j"]).where("x.cid < y.cid and (i = j or x.part <> y.part)")
     assert met.select("x.cid", F.col("y.cid").alias("z")).count() == 2 * 250 * 249 // 2
-
-
-def test_pairs_are_sent_under_their_smallest_shared_signature():
-    rng = np.random.default_rng(6)
-    sigs = [np.unique(rng.integers(0, 60, rng.integers(1, 40), dtype=np.uint64)) for _ in range(30)]
-    low = jaccard_join.first_signatures(pa.chunked_array([[s.tobytes() for s in sigs]]))
-    for key in range(60):
-        own = [k for k, s in enumerate(sigs) if key in s]
-        x, y = np.array([(a, b) for a in own for b in own if a < b], np.int64).reshape(-1, 2).T
-        got = jaccard_join.first_here(np.uint64(key), low, x, y)
-        assert got.tolist() == [int(np.intersect1d(sigs[a], sigs[b])[0]) == key for a, b in zip(x, y)]
+    rest = spark.createDataFrame([(s, c, 1, 0, c, min(m)) for s, m in enumerate(([1, 2, 3], [1, 3, 4], [2, 5], [7, 8])) for c in m], "sig long, cid long, n int, once int, comp long, least long")
+    assert sorted((r.least, r.cid, r.size) for r in jaccard_join.merged_groups(rest).collect()) == [(1, 1, 4), (1, 2, 4), (1, 3, 4), (1, 4, 4), (2, 2, 2), (2, 5, 2), (7, 7, 2), (7, 8, 2)]
 
 
 def test_one_of_each(spark, rows):
@@ -270,6 +261,7 @@ def test_shards(spark, rows):
     want = sorted((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for _, t in rows)
     assert sorted((r.size, r.text_crc32) for r in got) == want
     again = feistel_shards.shard(table(spark, rows).repartition(2), 7).collect()
+    assert len({r.row_number for r in feistel_shards.shard(table(spark, rows), 7, buckets=3).collect()}) == len(rows)
     same([tuple(r) for r in got], [tuple(r) for r in again])
 
 
@@ -297,6 +289,16 @@ def test_packing(spark, rows):
     assert len(bins) <= 1.1 * sum(w[3] for w in want) / 64 + 3
 
 
+def test_pre_tokens_of_one_hash_are_told_apart(monkeypatch):
+    from ponding.llm import words
+
+    texts = ["the cat sat on the mat", "a dog, a cat: 12 mats", ""]
+    want = [x.tolist() for x in packing.WordIds(packing.default_vocabulary()).encode_many(texts)]
+    plain = words.Rolling.spans
+    monkeypatch.setattr(words.Rolling, "spans", lambda self, a, b: plain(self, a, b) % words.U(2))
+    assert [x.tolist() for x in packing.WordIds(packing.default_vocabulary()).encode_many(texts)] == want
+
+
 def test_best_fit_is_best_fit():
     rng = np.random.default_rng(4)
     lengths = np.sort(rng.integers(1, 101, 500))[::-1]
