@@ -2,12 +2,12 @@
 
 A document is its token ids and an end token; only a document longer than a sequence is
 cut, into full sequences and a rest. Pieces are dealt to groups of a bounded number of
-pieces and packed there; the pieces of loosely filled sequences are then dealt anew to
-fewer, wider groups, as long as that lowers the number of sequences.
+pieces and packed there; the pieces of loosely filled sequences are then dealt anew, once, to
+groups of the same bound, and stay as they were if that doesn't lower the number of sequences.
 
 Nulls: a null text is empty (its one piece is the end token). A null doc_id and repeated
 rows are ordinary pieces. Ties go by length, then doc_id, piece and CRC. An empty table
-gives no rows.
+gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -39,14 +39,15 @@ class WordIds:
 
     Texts of ASCII and the Latin letters U+00C0 to U+024F need no composition, and their
     lower-casing and the pre-tokenizer's split go by character, so numpy finds the
-    pre-tokens. A text with anything else, or with an apostrophe, goes to the library whole.
+    pre-tokens. A text with anything else, with an apostrophe or with the string of a token
+    that the vocabulary adds (such as its end of text) goes to the library whole.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole, self.bare = Tokenizer.from_file(vocabulary), Tokenizer.from_file(vocabulary)
-        self.whole.encode_special_tokens = self.bare.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         # The end of a pre-token shows in its last id, so that many are encoded in one call.
         self.ends = np.zeros(self.bare.get_vocab_size(), bool)
@@ -64,7 +65,7 @@ class WordIds:
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text's begin (len+1)."""
         lower = [t.lower() for t in texts]
-        odd = [k for k, (t, low) in enumerate(zip(texts, lower, strict=True)) if not (self.plain(t) and self.plain(low))]
+        odd = [k for k, (t, low) in enumerate(zip(texts, lower, strict=True)) if not (self.plain(t) and self.plain(low)) or any(a in t for a in self.added)]
         for k in odd:
             lower[k] = ""
         raw = [t.encode() for t in lower]

@@ -269,8 +269,7 @@ def test_packing(spark, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
-    extra = [(900, "Don't x y\x85z\x1c ½² 中文 é İ ΣΣ 'll"), (901, "A,b.c!? 12 éÉ")]
+    extra = [(900, "Don't x y\x85z\x1c ½² 中文 é İ ΣΣ 'll"), (901, "A,b.c!? 12 éÉ"), (902, "hello <|endoftext|> world"), (903, "<|startoftext|><|ENDOFTEXT|> a<|endoftext|>b"), (904, "<|endoftext| >")]
     got = packing.pack(table(spark, rows + extra), capacity=64, group_pieces=50).collect()
     want = []
     for i, text in rows + extra:
