@@ -10,7 +10,8 @@ one place, and a word that makes up a third of all words is one entry of a block
 Exchange: the most frequent words begin with a class each, all others share the last. In turn,
 each of ``groups`` parts of the vocabulary is taken up: every word's classes before and after
 are counted over the whole training text, and the word goes to the class that raises the
-likelihood of the class bigrams most, exactly as if it alone moved. Only the matrix of class
+likelihood of the class bigrams most, exactly as if it alone moved. A round after which the
+likelihood is lower is undone, and smaller parts move from then on. Only the matrix of class
 bigrams, whose size is a parameter, comes to the driver.
 
 Smoothing: transitions are interpolated with class frequencies; emissions are discounted by
@@ -316,17 +317,32 @@ class Clustering:
             return pa.table({"bucket": left.column("bucket"), "data": pa.array([squeeze(words, counts, classes)], pa.binary())})
 
         contexts = meet(seen.where("bucket >= 0").withColumn("block", F.monotonically_increasing_id()), add_contexts, self.salts)
-        old = self.vocabulary
-        self.vocabulary = materialize(old.groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInArrow(move, "bucket long, data binary"), "vocabulary")
-        discard(old, seen)
+        self.vocabulary = materialize(self.vocabulary.groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInArrow(move, "bucket long, data binary"), "vocabulary")
+        discard(seen)
 
     def cluster(self, sweeps: int) -> list[float]:
-        """The log likelihood of the class bigrams before each round of the exchange."""
-        course = []
-        for group in [g for _ in range(sweeps) for g in range(self.groups)]:
-            seen, bigrams = self.looked(self.classed(), group)
+        """The log likelihood of the class bigrams before each round of the exchange and at the end.
+
+        Words that move together can spoil each other's gain. A round that lowers the likelihood is undone, and from
+        then on half as many words move at a time.
+        """
+        course, best = [], None
+        rounds = sweeps * self.groups
+        for i in range(rounds + 1):
+            last = i == rounds
+            seen, bigrams = self.looked(self.classed(), None if last else i % self.groups)
             course.append(likelihood(bigrams))
-            self.exchange(seen, bigrams)
+            if best and course[-1] < best[0]:
+                discard(seen, self.vocabulary)
+                self.vocabulary, self.groups = best[1], 2 * self.groups
+                continue
+            if best and best[1] is not self.vocabulary:
+                discard(best[1])
+            best = course[-1], self.vocabulary
+            if last:
+                discard(seen)
+            else:
+                self.exchange(seen, bigrams)
         return course
 
     def class_types(self) -> np.ndarray:
@@ -346,7 +362,7 @@ class Clustering:
 def likelihood(bigrams: np.ndarray) -> float:
     """The part of the training text's log likelihood that depends on the classes."""
     b = bigrams.astype(np.float64)
-    return float(xlogx(b).sum() - xlogx(b[:-1, :-1].sum(0)).sum() - xlogx(b.sum(1)).sum())
+    return float(xlogx(b).sum() - xlogx(b[:, :-1].sum(0)).sum() - xlogx(b.sum(1)).sum())
 
 
 def smoothed(bigrams: np.ndarray, types: np.ndarray, discount: float, strength: float) -> tuple[np.ndarray, np.ndarray]:

@@ -35,4 +35,20 @@ link AS (SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.do
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
 SELECT d.doc_id, coalesce(any_value(size.n), 0)::BIGINT AS n_shingles, min(reach.b) AS component_id FROM documents d LEFT JOIN size USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id"""
 
-ORACLE_SQL = {"op1_substring_dedup": OP1, "op2_suffix_decontamination": OP2, "op5_ngram_jaccard_join": OP5}
+# CRC-32 of a conv_id's digits, from the published polynomial.
+CRC = """xor(list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT), lambda r, b: xor(r >> 8, crc[(xor(r, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"""
+
+OP12 = f"""WITH poly AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, b)) AS crc),
+turns AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, {CRC} % 4 AS h FROM (SELECT DISTINCT c FROM turns), poly),
+rebuilt AS (SELECT i.c, p, role, text FROM ids i JOIN turns t ON t.c = i.c - i.c % 20 AND p < h UNION ALL SELECT i.c, p, role, text FROM ids i JOIN turns t ON t.c = i.c AND p >= h),
+path AS (SELECT c, 0 AS d, '' AS node, 0 AS words FROM ids UNION ALL SELECT c, row_number() OVER (PARTITION BY c ORDER BY p), md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY c ORDER BY p)), len({SPACE_WORDS.format(text="text")}) FROM rebuilt),
+steps AS (SELECT *, lag(node) OVER w AS above, lead(node) OVER w IS NULL AS ends FROM path WINDOW w AS (PARTITION BY c ORDER BY d)),
+nodes AS (SELECT d, node, any_value(above) AS above, min(c) AS rep, count(*) AS n, any_value(words) AS words, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM steps GROUP BY d, node),
+children AS (SELECT d - 1 AS d, above AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (d, node)),
+below AS (SELECT s.d, s.node, sum((n - 1) * y.words) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves FROM counted y JOIN steps s ON s.c = y.rep AND s.d <= y.d GROUP BY s.d, s.node)
+SELECT x.rep::BIGINT AS conv_id, x.d::BIGINT AS depth, u.rep::BIGINT AS parent_conv_id, x.n::BIGINT AS n_convs, x.n_children::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, x.ends_sha256
+FROM counted x JOIN below USING (d, node) LEFT JOIN nodes u ON u.d = x.d - 1 AND u.node = x.above"""
+
+ORACLE_SQL = {"op1_substring_dedup": OP1, "op2_suffix_decontamination": OP2, "op5_ngram_jaccard_join": OP5, "op12_conversation_trie": OP12}

@@ -236,7 +236,7 @@ def trie(rows: DataFrame, ids: DataFrame, order: list[Column], bits: int = 64) -
 def with_shared_heads(rows: DataFrame, every: int = 20, heads: int = 4) -> DataFrame:
     """Conversation c begins with the first h turns of conversation c - c % every, h = crc32(c) % heads, in place of its own. rows: coded turns.
 
-    Adds place, the order of the turns in a conversation.
+    Adds place, the order of the turns in a conversation. The remainder has the sign of c, as in SQL.
     """
     ranked = prefixes(rows, [F.col("turn").asc_nulls_first(), F.col("key"), F.col("twin")]).select("conv_id", "key", "twin", "words", (F.col("depth") - 1).alias("place"))
     h = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(heads))
