@@ -82,6 +82,18 @@ def catchments(flow: DataFrame, linked: DataFrame, heights: DataFrame, at_least:
     return to.select("cell").join(known, "cell", "left")
 
 
+def samples_along(drains: DataFrame, step: float) -> DataFrame:
+    """drains: kind and coords (lon: column, lat: row, in cell units). kind, row, col of points along each segment, at most ``step`` apart, its start first, and the last end."""
+    size = F.size("coords")
+    pairs = F.zip_with(F.slice("coords", F.lit(1), size - 1), F.slice("coords", F.lit(2), size - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    segs = drains.where(size >= 2).select("kind", size.alias("size"), F.posexplode(pairs).alias("at", "s"))
+    parts = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("s.b.lon") - F.col("s.a.lon"), F.col("s.b.lat") - F.col("s.a.lat")) / step)).cast("int")
+    last = F.when(F.col("at") == F.col("size") - 2, parts).otherwise(parts - 1)
+    pts = segs.withColumn("parts", parts).withColumn("i", F.explode(F.sequence(F.lit(0), last)))
+    at = lambda k: F.floor(F.col(f"s.a.{k}") + (F.col(f"s.b.{k}") - F.col(f"s.a.{k}")) * F.col("i") / F.col("parts")).cast("int")
+    return pts.select("kind", at("lat").alias("row"), at("lon").alias("col"))
+
+
 def alignment(samples: DataFrame, near: DataFrame) -> DataFrame:
     """kind, share: of the samples (kind, row, col) along drains, how many lie on cells of ``near`` (row, col: streams, dilated)."""
     hit = samples.join(near.select("row", "col").distinct().withColumn("hit", F.lit(1)), ["row", "col"], "left")

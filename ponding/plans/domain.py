@@ -73,3 +73,23 @@ def conduits(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONDUITS = """conduits AS (SELECT l_orderkey * 8 + l_linenumber AS eid, l_orderkey % 400 AS u,
  (l_orderkey % 400 + CASE WHEN l_suppkey % 2 = 0 THEN 1 + l_partkey % 3 ELSE (1 + l_partkey % 3) * 20 END) % 400 AS v, l_tax AS depth, l_quantity::DOUBLE AS width,
  round(l_extendedprice / 10, 1) AS length_m, l_returnflag = 'R' AS bad, 'corridor ' || (l_partkey % 50) AS name FROM lineitem)"""
+
+
+def side(spark: SparkSession, sf_dir: str) -> int:
+    """Cells along each axis of the surveyed grid: it grows with the table of survey points."""
+    return int(read(spark, sf_dir, "orders").count() ** 0.5)
+
+
+def survey(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The surveyed terrain, a row for each point of the survey, and its side: row, col, cell, x, y (unit square), z (whole centimetres), class, blocked."""
+    n, k = side(spark, sf_dir), F.col("o_orderkey")
+    o = read(spark, sf_dir, "orders").where(k < n * n)
+    row, col = F.floor(k / n).cast("int"), (k % n).cast("int")
+    z = F.pmod(F.floor("o_totalprice"), F.lit(101)) + 30 * ((n - row) + F.abs(col - n // 2))
+    return o.select(row.alias("row"), col.alias("col"), k.alias("cell"), (col / F.lit(n - 1.0)).alias("x"), (row / F.lit(n - 1.0)).alias("y"), z.cast("double").alias("z"), F.element_at(F.array(*[F.lit(c) for c in CLASSES]), (1 + F.col("o_custkey") % 11).cast("int")).alias("class"), ((F.col("o_custkey") % 10) / 10.0).alias("blocked")), n
+
+
+#: Land-cover codes in the order of the test tables' keys.
+CLASSES = (10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 100)
+SURVEY = f"""g AS (SELECT floor(sqrt(count(*)))::INT AS n FROM orders), dem AS (SELECT (o_orderkey // n)::INT AS row, (o_orderkey % n)::INT AS col, o_orderkey AS cell, (o_orderkey % n) / (n - 1.0)::DOUBLE AS x, (o_orderkey // n) / (n - 1.0)::DOUBLE AS y,
+ (floor(o_totalprice)::BIGINT % 101 + 30 * ((n - o_orderkey // n) + abs(o_orderkey % n - n // 2)))::DOUBLE AS z, {list(CLASSES)}[1 + o_custkey % 11] AS class, (o_custkey % 10) / 10.0::DOUBLE AS blocked FROM orders, g WHERE o_orderkey < n * n)"""

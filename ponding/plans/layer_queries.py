@@ -99,14 +99,14 @@ def label_numbers(spark, sf_dir):
 @query(f"WITH {CUBE} SELECT round(max(depth_cm), 3) AS deepest_cm, round(max(storage), 4) AS most_mm, count(DISTINCT (row, col)) FILTER (WHERE depth_cm >= 10) AS flooded FROM cube")
 def cube_maxima(spark, sf_dir):
     """The deepest water, the most stored, and how many cells flood at any lead."""
-    d = depth_cube(spark)
+    d = depth_cube(spark, sf_dir)
     return d.agg(F.round(F.max("depth_cm"), 3).alias("deepest_cm"), F.round(F.max("storage"), 4).alias("most_mm"), F.count_distinct(F.when(F.col("depth_cm") >= 10, F.struct("row", "col"))).alias("flooded"))
 
 
 @query(f"WITH {CUBE} SELECT lead, count(*) FILTER (WHERE depth_cm >= 10) AS flooded FROM cube GROUP BY lead")
 def flooded_counts(spark, sf_dir):
     """How many cells are flooded at each lead."""
-    return depth_cube(spark).groupBy("lead").agg(F.count_if(F.col("depth_cm") >= 10).alias("flooded"))
+    return depth_cube(spark, sf_dir).groupBy("lead").agg(F.count_if(F.col("depth_cm") >= 10).alias("flooded"))
 
 
 @query("""WITH h AS (SELECT user_id AS gauge, date_trunc('hour', ts) AS hour, round(sum(value), 3) AS mm FROM events GROUP BY ALL), t AS (SELECT TIMESTAMP '2024-01-10 06:00:00' + INTERVAL (range) HOUR AS hour, range AS k FROM range(4))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ponding.functions import presentation
 from ponding.operators import resample
-from ponding.plans.domain import read
+from ponding.plans.domain import SURVEY, read, survey
 from ponding.plans.registry import query
 
 STOPS = ((0.0, "#ffffff"), (15.0, "#ffd27f"), (50.0, "#d7301f"), (80.0, "#4a0010"))
@@ -25,12 +25,13 @@ def leads_and_local_hours(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", presentation.nearest_lead(m).alias("lead"), presentation.local_hour(F.col("ts").cast("timestamp")).alias("hour"))
 
 
-@query("""WITH g AS (SELECT (range // 8)::INT AS row, (range % 8)::INT AS col, ((range * 37) % 101)::DOUBLE AS v FROM range(64)), t AS (SELECT (range // 29)::INT AS i, (range % 29)::INT AS j, (range // 29) * 0.25::DOUBLE AS y, (range % 29) * 0.25::DOUBLE AS x FROM range(841)),
-p AS (SELECT *, least(floor(y), 6)::INT AS r0, least(floor(x), 6)::INT AS c0 FROM t) SELECT i AS row, j AS col, round(sum(v * (CASE WHEN g.row = r0 THEN 1 - (y - r0) ELSE y - r0 END) * (CASE WHEN g.col = c0 THEN 1 - (x - c0) ELSE x - c0 END)), 5) AS v
-FROM p JOIN g ON g.row IN (r0, r0 + 1) AND g.col IN (c0, c0 + 1) GROUP BY i, j""")
+@query(f"""WITH {SURVEY}, t AS (SELECT (range // (2 * n))::INT AS i, (range % (2 * n))::INT AS j, n, (n - 1) / (2 * n - 1.0)::DOUBLE AS step FROM range((SELECT 4 * n * n FROM g)::BIGINT), g),
+p AS (SELECT *, i * step AS y, j * step AS x, least(floor(i * step), n - 2)::INT AS r0, least(floor(j * step), n - 2)::INT AS c0 FROM t) SELECT i AS row, j AS col, round(sum(z * (CASE WHEN d.row = r0 THEN 1 - (p.y - r0) ELSE p.y - r0 END) * (CASE WHEN d.col = c0 THEN 1 - (p.x - c0) ELSE p.x - c0 END)), 4) AS v
+FROM p JOIN dem d ON d.row IN (r0, r0 + 1) AND d.col IN (c0, c0 + 1) GROUP BY i, j""")
 def bilinear_resize(spark, sf_dir):
-    g = spark.range(64).select(F.floor(F.col("id") / 8).cast("int").alias("row"), (F.col("id") % 8).cast("int").alias("col"), ((F.col("id") * 37) % 101).cast("double").alias("v"))
-    return resample.bilinear(g, 8, 29).select("row", "col", F.round("v", 5).alias("v"))
+    """The survey at twice as many nodes along each axis."""
+    c, n = survey(spark, sf_dir)
+    return resample.bilinear(c, n, 2 * n, "z").select("row", "col", F.round("z", 4).alias("v"))
 
 
 @query("SELECT date_trunc('hour', ts) AS begin, round(avg(CASE WHEN value - 2 >= 0 THEN value - 2 END), 4) AS mean_mm_per_h, round(max(CASE WHEN value - 2 >= 0 THEN value - 2 END), 4) AS peak_mm_per_h FROM events WHERE user_id % 36 BETWEEN 5 AND 20 AND user_id % 18 BETWEEN 2 AND 9 GROUP BY 1")

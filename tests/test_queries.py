@@ -10,7 +10,7 @@ from ponding.plans import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"flood_safe_route", "filled_depressions"}
+SLOW = {"flood_safe_route"}
 
 
 @pytest.fixture(scope="module")

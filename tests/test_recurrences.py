@@ -214,11 +214,15 @@ def test_path_of_a_long_chain(spark):
     assert [r.node for r in network.path_to(best, 100).orderBy("cost").collect()] == list(range(101))
 
 
+def dem(spark, n):
+    """A bumpy slope."""
+    c = grid.cells(spark, n)
+    return c.select("row", "col", (F.col("row") * n + F.col("col")).cast("long").alias("cell"), ((F.col("row") * 37 + F.col("col") * 11) % 101 + 30 * ((n - F.col("row")) + F.abs(F.col("col") - n // 2))).cast("double").alias("z"))
+
+
 def test_streams_and_valleys(spark):
     """Links, their orders and both heights against plain walks."""
     from ponding.operators import streams
-    from ponding.plans.grid_queries import dem
-
     n = 30
     cells = [(r.cell, r.z) for r in dem(spark, n).select("cell", "z").collect()]
     z = dict(cells)

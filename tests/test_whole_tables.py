@@ -1,11 +1,12 @@
 """Queries over whole tables and the whole grid, which have no SQL, against plain loops."""
 
+import math
+
 import duckdb
 import numpy as np
-from pyspark.sql import functions as F
 
 from ponding.functions import hydro
-from ponding.operators import grid
+from ponding.operators import flats, grid
 from ponding.plans import QUERIES
 from ponding.plans.domain import CONDUITS
 
@@ -87,16 +88,103 @@ def test_nearest_of_all_vectors(spark):
         assert d[np.flatnonzero(ids == got[i])[0]] <= d.min() + 2e-5
 
 
-def test_depressions_take_the_whole_grid(spark, monkeypatch):
-    """Only what goes in: filling takes 123 rounds here; a test of recurrences compares the filling itself with a priority queue."""
-    monkeypatch.setattr(grid, "fill_depressions", lambda df, n, **_: df.withColumns({"w": F.col("z"), "z": F.lit(float(n))}))
-    rows = QUERIES["filled_depressions"](spark, SF).collect()
-    assert {(r.row, r.col) for r in rows} == {(r, c) for r in range(240) for c in range(240)}
-    assert {r.z for r in rows} == {240.0}
+def surveyed():
+    from ponding.plans.domain import SURVEY
+
+    duckdb.sql(f"create or replace view orders as select * from '{SF}/orders.parquet'")
+    rows = duckdb.sql(f"WITH {SURVEY} SELECT row, col, z FROM dem").fetchall()
+    n = int(len(rows) ** 0.5)
+    z = np.empty((n, n))
+    for r, c, v in rows:
+        z[r, c] = v
+    return z
+
 
+def near(n, r, c):
+    return [(r + a, c + b) for _, a, b in grid.D8 if 0 <= r + a < n and 0 <= c + b < n]
 
-def test_dilation_of_the_whole_grid(spark):
-    n = 240
-    wet = {(r, c) for r in range(n) for c in range(n) if (r * 37 + c * 11) % 101 + 30 * ((n - r) + abs(c - n // 2)) < 400}
-    want = {(r + a, c + b) for r, c in wet for a, b in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) if 0 <= r + a < n and 0 <= c + b < n}
-    assert {tuple(r) for r in QUERIES["binary_dilation_240"](spark, SF).collect()} == want
+
+def filled(z):
+    """Priority flood: the lowest way out of each cell."""
+    import heapq
+
+    n, out = len(z), np.full(z.shape, np.inf)
+    heap = [(z[r, c], r, c) for r in range(n) for c in range(n) if r in (0, n - 1) or c in (0, n - 1)]
+    for v, r, c in heap:
+        out[r, c] = v
+    heapq.heapify(heap)
+    while heap:
+        v, r, c = heapq.heappop(heap)
+        for a, b in near(n, r, c):
+            if out[a, b] == np.inf:
+                out[a, b] = max(v, z[a, b])
+                heapq.heappush(heap, (out[a, b], a, b))
+    return out
+
+
+def test_depressions_of_the_survey(spark):
+    z = surveyed()
+    want = filled(z)
+    rows = QUERIES["filled_depressions"](spark, SF).collect()
+    assert len(rows) == z.size and all(r.z == z[r.row, r.col] and r.w == want[r.row, r.col] for r in rows)
+    assert (want > z).any()
+
+
+def crossed(w):
+    """Plain loops: distances over each flat to what drains and from what is higher, then the steepest way."""
+    from collections import deque
+
+    n = len(w)
+    cells = [(r, c) for r in range(n) for c in range(n)]
+    drains = {x: x[0] in (0, n - 1) or x[1] in (0, n - 1) or any(w[y] < w[x] for y in near(n, *x)) for x in cells}
+
+    def far(begin):
+        out, queue = dict.fromkeys(begin, 1), deque(begin)
+        while queue:
+            x = queue.popleft()
+            for y in near(n, *x):
+                if w[y] == w[x] and not drains[y] and y not in out:
+                    out[y] = out[x] + 1
+                    queue.append(y)
+        return out
+
+    flat = [x for x in cells if not drains[x]]
+    towards = far([x for x in flat if any(drains[y] and w[y] == w[x] for y in near(n, *x))])
+    away = far([x for x in flat if any(w[y] > w[x] for y in near(n, *x))])
+    mask, seen = dict.fromkeys(cells, 0), set()
+    for x in flat:
+        if x not in seen:
+            part, queue = {x}, [x]
+            while queue:
+                a = queue.pop()
+                for b in near(n, *a):
+                    if b not in part and not drains[b] and w[b] == w[a]:
+                        part.add(b)
+                        queue.append(b)
+            seen |= part
+            tallest = max((away[a] for a in part if a in away), default=0)
+            mask |= {a: 2 * towards[a] + (tallest - away[a] if a in away else 0) for a in part}
+    out = {}
+    for x in cells:
+        ways = [(w[x] - w[y], mask[x] - mask[y], math.sqrt(abs(a) + abs(b)), code, y) for code, a, b in grid.D8 if (y := (x[0] + a, x[1] + b)) in mask]
+        down = [(f / d, code, y) for f, _, d, code, y in ways if f > 0] or [(m / d, code, y) for f, m, d, code, y in ways if f == 0 and m > 0 and not drains[x]]
+        out[x] = max(down, key=lambda t: t[0])[1:] if down else None
+    return out
+
+
+def test_flow_across_flats(spark, monkeypatch):
+    monkeypatch.setattr(flats.flat_gradient, "__defaults__", ("w", 11))  # flats that reach over tiles
+    z = np.floor(surveyed() / 50) * 50
+    want = crossed(filled(z))
+    rows = QUERIES["flow_across_flats"](spark, SF).collect()
+    assert {(r.row, r.col): (r.code, (r.row2, r.col2)) if r.code is not None else None for r in rows} == want
+    n = len(z)
+    assert all(want[x] for x in want if 0 < x[0] < n - 1 and 0 < x[1] < n - 1)
+    level = spark.createDataFrame([(r, c, 5.0 if 0 < r < 19 and 0 < c < 19 else 9.0 if (r, c) != (0, 7) else 1.0) for r in range(20) for c in range(20)], "row int, col int, w double")
+    flat = np.array([[5.0 if 0 < r < 19 and 0 < c < 19 else 9.0 if (r, c) != (0, 7) else 1.0 for c in range(20)] for r in range(20)])
+    got = {(r.row, r.col): (r.code, (r.row2, r.col2)) if r.code is not None else None for r in flats.flow_across_flats(level, 20).collect()}
+    assert got == crossed(flat)
+    for x in [(10, 10), (18, 1)]:  # one plain leads out through its only outlet
+        while x[0]:
+            x = got[x][1]
+        assert x == (0, 7)
