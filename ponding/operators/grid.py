@@ -58,9 +58,13 @@ def storage_balance(grid: DataFrame, rain: Column, impervious: Column, capacity:
     """
     times = grid.sparkSession.range(hydro.STEPS).select((F.col("id") * hydro.STEP_MIN).cast("int").alias("t"))
     steps = grid.crossJoin(F.broadcast(times))
-    w = Window.partitionBy("row", "col").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    net = steps.withColumn("net", (rain * impervious - capacity) * (hydro.STEP_MIN / 60.0))
-    run = net.withColumn("p", F.sum("net").over(w))
+    return balanced(steps.withColumn("net", (rain * impervious - capacity) * (hydro.STEP_MIN / 60.0)), "row", "col")
+
+
+def balanced(steps: DataFrame, *cell: str) -> DataFrame:
+    """steps: the columns of a cell, minute t and net, what comes in less what goes out. Adds storage, kept at the leads."""
+    w = Window.partitionBy(*cell).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    run = steps.withColumn("p", F.sum("net").over(w))
     run = run.withColumn("storage", F.col("p") - F.least(F.lit(0.0), F.min("p").over(w)))
     return run.where(F.col("t") % 15 == 0).withColumnRenamed("t", "lead").drop("net", "p")
 

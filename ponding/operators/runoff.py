@@ -71,7 +71,7 @@ def cascade(catchments: DataFrame, hydrographs: DataFrame, steps: int = HORIZON_
 def classify(routed: DataFrame, catchments: DataFrame, low_share: Column | None = None) -> DataFrame:
     """Adds ponding depth and class from overflow on low ground."""
     low = (low_share if low_share is not None else F.lit(0.1)) * F.col("area_ha") * 10_000.0
-    out = routed.join(catchments, "id").withColumn("ponding_cm", ponding_cm(F.col("overflow_m3"), low, F.col("area_ha"), F.col("water_share")))
+    out = routed.join(catchments.drop("overflow_m3"), "id").withColumn("ponding_cm", ponding_cm(F.col("overflow_m3"), low, F.col("area_ha"), F.col("water_share")))
     return out.withColumn("waterlogging", waterlogging(F.col("ponding_cm"), F.col("water_share")))
 
 
@@ -119,3 +119,22 @@ def first_below(flow: DataFrame, wanted: DataFrame) -> DataFrame:
         jump = marked.select(F.col("at").alias("next"), F.col("next").alias("next2"), F.col("halt").alias("halt2"))
         marked = settle(marked.join(jump, "next", "left").select("at", F.when(F.col("halt"), F.col("next")).otherwise(F.col("next2")).alias("next"), "halt"))
     raise ValueError("the nodes drain in a circle")
+
+
+#: From this share of low ground on a catchment keeps water, and from this share of open water on it is a lake (fixed values).
+RECEIVER_LOW_SHARE, LAKE_SHARE = 0.2, 0.3
+
+
+def receivers(flow: DataFrame, keeps: DataFrame) -> DataFrame:
+    """id, receiver: the catchment itself if it keeps water, else the first below that does; null where water leaves the area."""
+    own = keeps.select("id", F.lit(True).alias("own"))
+    return first_below(flow, keeps).join(own, "id", "left").select("id", F.when(F.col("own"), F.col("id")).otherwise(F.col("receiver")).alias("receiver"))
+
+
+def arrivals(catchments: DataFrame) -> DataFrame:
+    """catchments: id, downstream, low_share, water_share, area_ha, overflow_m3. Per receiver: id, senders, arrive_m3 and pond_cm, its depth on the low ground (0 on lakes)."""
+    to = receivers(catchments.select("id", "downstream"), catchments.where(F.col("low_share") >= RECEIVER_LOW_SHARE).select("id"))
+    sent = catchments.where(F.col("overflow_m3") > 0).select("id", "overflow_m3").join(to, "id").where(F.col("receiver").isNotNull())
+    arrived = sent.groupBy(F.col("receiver").alias("id")).agg(F.count(F.lit(1)).alias("senders"), F.sum("overflow_m3").alias("arrive_m3"))
+    deep = F.col("arrive_m3") / F.greatest(F.col("low_share") * F.col("area_ha") * 10_000.0, F.lit(1.0)) * 100
+    return arrived.join(catchments, "id").select("id", "senders", "arrive_m3", F.when(F.col("water_share") >= LAKE_SHARE, 0.0).otherwise(deep).alias("pond_cm"))

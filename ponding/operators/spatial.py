@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ponding.functions.geo import M_PER_DEG_ROUTING, flat_distance
+from ponding.functions.geo import M_PER_DEG_ROUTING
 
 
 def metres(df: DataFrame, lat0: float) -> DataFrame:
@@ -46,15 +46,6 @@ def crowd(points: DataFrame, radius: float) -> DataFrame:
     return near_pairs(points, points, radius).groupBy("id").agg(F.count(F.lit(1)).alias("near"))
 
 
-def nearest_of_few(points: DataFrame, few: DataFrame, most: int = 10_000) -> DataFrame:
-    """The nearest of a small table for each point (ties: the smaller id). few: id, lon, lat; its size is checked."""
-    if few.limit(most + 1).count() > most:
-        raise ValueError(f"nearest_of_few compares with every row of the second table; it takes at most {most}")
-    all_few = F.broadcast(few.agg(F.collect_list(F.struct("id", "lon", "lat")).alias("few")))
-    d: Column = F.transform("few", lambda f: F.struct(flat_distance(F.col("lon"), F.col("lat"), f.lon, f.lat).alias("d"), f.id.alias("other")))
-    return points.crossJoin(all_few).withColumn("b", F.array_min(d)).select("id", F.col("b.other").alias("other"), F.col("b.d").alias("d"))
-
-
 def sample_raster(points: DataFrame, raster: DataFrame, west: float, south: float, east: float, north: float, n: int) -> DataFrame:
     """The raster value under each point; points off the grid or on empty cells go."""
     row, col = F.floor((north - F.col("lat")) / (north - south) * n).cast("int"), F.floor((F.col("lon") - west) / (east - west) * n).cast("int")

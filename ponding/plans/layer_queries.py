@@ -8,6 +8,7 @@ from ponding.operators import runoff, stats
 from ponding.plans.domain import CATCHMENTS, CONDUITS, catchments, conduits, read
 from ponding.plans.grid_queries import CUBE, depth_cube
 from ponding.plans.registry import query
+from ponding.plans.runoff_queries import WALK
 
 KINDS = " economy, Small ,PROMO"
 
@@ -139,14 +140,13 @@ def conduits_inside(spark, sf_dir):
     return conduits(spark, sf_dir).where(inside & apart).select("eid")
 
 
-@query(f"""WITH RECURSIVE {CATCHMENTS}, walk AS (SELECT id, downstream AS pos, 1 AS n FROM catchments WHERE downstream IS NOT NULL UNION ALL SELECT w.id, c.downstream, n + 1 FROM walk w JOIN catchments c ON c.id = w.pos WHERE c.downstream IS NOT NULL AND NOT (c.water_share >= 0.3) AND n < 500),
-hit AS (SELECT w.id, arg_min(w.pos, n) AS receiver FROM walk w JOIN catchments c ON c.id = w.pos WHERE c.water_share >= 0.3 GROUP BY w.id), rs AS (SELECT DISTINCT receiver AS id FROM hit)
+@query(f"""WITH RECURSIVE {WALK}, rs AS (SELECT DISTINCT receiver AS id FROM hit JOIN catchments c USING (id) JOIN catchments r ON r.id = receiver WHERE c.overflow_m3 > 0 AND r.water_share < 0.3)
 SELECT round(sum(area_ha) FILTER (WHERE rs.id IS NOT NULL) / sum(area_ha), 6) AS land_share, count(*) FILTER (WHERE rs.id IS NOT NULL AND cn >= 90) AS spots_inside, count(*) FILTER (WHERE cn >= 90) AS spots FROM catchments c LEFT JOIN rs USING (id)""")
 def receiver_shares(spark, sf_dir):
-    """How much land receives water from above, and how many spots lie in it."""
+    """How much land lies in catchments where overflow stands, and how many spots lie in them."""
     c = catchments(spark, sf_dir)
-    receivers = runoff.first_below(c.select("id", "downstream"), c.where("water_share >= 0.3").select("id")).where("receiver is not null").select(F.col("receiver").alias("id")).distinct().withColumn("in", F.lit(True))
-    both = c.join(receivers, "id", "left").withColumn("in", F.coalesce("in", F.lit(False)))
+    ponds = runoff.arrivals(c).where("pond_cm > 0").select("id", F.lit(True).alias("in"))
+    both = c.join(ponds, "id", "left").withColumn("in", F.coalesce("in", F.lit(False)))
     return both.agg(F.round(F.sum(F.when(F.col("in"), F.col("area_ha"))) / F.sum("area_ha"), 6).alias("land_share"), F.count_if(F.col("in") & (F.col("cn") >= 90)).alias("spots_inside"), F.count_if(F.col("cn") >= 90).alias("spots"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ponding.functions import geo, hydro
-from ponding.operators import network, spatial, stats
+from ponding.operators import nearest, network, spatial, stats
 from ponding.plans.domain import CATCHMENTS, CONDUITS, catchments, conduits, read, stations, stations_sql
 from ponding.plans.registry import query
 
@@ -20,7 +20,8 @@ def points(spark, sf_dir):
 
 @query(f"WITH {CUST}, {SUPP}, d AS (SELECT c.id, s.id AS other, sqrt(pow((s.lon - c.lon) * 111320.0 * cos(radians((c.lat + s.lat) / 2)), 2) + pow((s.lat - c.lat) * 110570.0, 2)) AS d FROM cust c, supp s) SELECT id, arg_min(other, (d, other)) AS other, round(min(d), 2) AS d FROM d GROUP BY id")
 def nearest_station(spark, sf_dir):
-    return spatial.nearest_of_few(stations(spark, sf_dir), stations(spark, sf_dir, "supplier", "s_suppkey"), most=20_000).select("id", "other", F.round("d", 2).alias("d"))
+    """The nearest station of each customer, however many there are and however far."""
+    return nearest.nearest(stations(spark, sf_dir), stations(spark, sf_dir, "supplier", "s_suppkey")).select("id", "other", F.round("d", 2).alias("d"))
 
 
 @query(f"WITH {CUST}, {SUPP}, {XY}, d AS (SELECT p.id, q.id AS other, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) AS d FROM p, q WHERE abs(p.x - q.x) <= 250 AND abs(p.y - q.y) <= 250), b AS (SELECT id, arg_min(other, (d, other)) AS other, min(d) AS d FROM d WHERE d <= 250 GROUP BY id) SELECT p.id, b.other, round(b.d, 2) AS d FROM p LEFT JOIN b USING (id)")
