@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ponding.sources import large
+
 POINT = "array<double>"
 DEPTH = {"Point": POINT, "MultiPoint": f"array<{POINT}>", "LineString": f"array<{POINT}>", "MultiLineString": f"array<array<{POINT}>>", "Polygon": f"array<array<{POINT}>>", "MultiPolygon": f"array<array<array<{POINT}>>>"}
 
@@ -25,10 +27,9 @@ def _parts(raw: Column, kind: Column) -> Column:
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """layer (file path), fid, geom_type, parts, props. One file is one value: a collection is a document, not lines."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("layer"), F.from_json("value", "features array<string>").alias("fc"))
-    f = text.select("layer", F.posexplode("fc.features").alias("fid", "f"))
-    f = f.select("layer", "fid", F.get_json_object("f", "$.geometry.type").alias("geom_type"), F.get_json_object("f", "$.geometry.coordinates").alias("raw"), F.from_json(F.get_json_object("f", "$.properties"), "map<string,string>").alias("props"))
+    """layer (file path), fid, geom_type, parts, props. A collection is one document; tasks share it, whatever its size."""
+    f = large.objects(spark, path).withColumnRenamed("feature", "f")
+    f = f.select("layer", F.col("fid").cast("int").alias("fid"), F.get_json_object("f", "$.geometry.type").alias("geom_type"), F.get_json_object("f", "$.geometry.coordinates").alias("raw"), F.from_json(F.get_json_object("f", "$.properties"), "map<string,string>").alias("props"))
     return f.select("layer", "fid", "geom_type", _parts(F.col("raw"), F.col("geom_type")).alias("parts"), "props")
 
 

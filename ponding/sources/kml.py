@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ponding.functions.geo import parse_coordinates
+from ponding.sources import large
 
 SIMPLE = '(?s)<SimpleData name="([^"]*)"\\s*>(.*?)</SimpleData>'
 DATA = '(?s)<Data name="([^"]*)"\\s*>.*?<value>(.*?)</value>'
@@ -17,23 +18,9 @@ def _unescape(c: Column) -> Column:
     return c
 
 
-def placemarks(spark: SparkSession, path: str) -> DataFrame:
-    """file, pos, folder, xml: one row per placemark of every file, with the name of the innermost folder it stands in."""
-    # Two closing tags never nest around a placemark, so folders can be read off the text before it.
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "<(/?)[A-Za-z0-9_]+:", "<$1").alias("t"))
-    parts = text.select("file", F.posexplode(F.split("t", "<Placemark\\b")).alias("pos", "p"))
-    tags = F.regexp_extract_all("p", F.lit("(?s)</Folder>|<Folder\\b[^>]*>(?:\\s*<name>.*?</name>)?"), F.lit(0))
-
-    def fold(stack: Column, tag: Column) -> Column:
-        name = F.regexp_extract(tag, "(?s)<name>(.*?)</name>", 1)
-        return F.when(tag == "</Folder>", F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(F.concat(stack, F.array(name)))
-
-    # All tags before a placemark, in order, folded to the folders still open there.
-    gathered = parts.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", tags.alias("tags"), "p"))).alias("all"))
-    acc = F.aggregate("all", F.array(F.struct(F.lit(-1).alias("pos"), F.array().cast("array<string>").alias("stack"))), lambda a, x: F.concat(a, F.array(F.struct(x.pos.cast("int").alias("pos"), F.aggregate(x.tags, F.element_at(a, -1).stack, fold).alias("stack")))))
-    opened = gathered.select("file", F.explode(F.arrays_zip(F.col("all").alias("a"), F.slice(acc, F.lit(1), F.size("all")).alias("b"))).alias("z"))
-    rows = opened.where("z.a.pos > 0").select("file", (F.col("z.a.pos") - 1).alias("pos"), F.try_element_at("z.b.stack", F.lit(-1)).alias("folder"), F.regexp_extract("z.a.p", "(?s)^(.*?)</Placemark>", 1).alias("xml"))
-    return rows
+def placemarks(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """file, pos, folder, xml: one row per placemark of every file, with the name of the innermost folder it stands in. Tasks share a file."""
+    return large.placemarks(spark, path, prefix)
 
 
 def attributes(xml: Column) -> Column:
@@ -51,10 +38,11 @@ def lines(xml: Column) -> Column:
 
 
 def points(spark: SparkSession, path: str) -> DataFrame:
-    """file, pos, lon, lat of every point."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    raw = text.select("file", F.posexplode(F.regexp_extract_all("value", F.lit("(?s)<Point>.*?<coordinates>(.*?)</coordinates>"), F.lit(1))).alias("pos", "c"))
-    return raw.select("file", "pos", F.get(parse_coordinates(F.col("c")), F.lit(0)).alias("c")).where(F.col("c").isNotNull()).select("file", "pos", "c.lon", "c.lat")
+    """file, pos, lon, lat of every point; pos counts the points of a file."""
+    w = Window.partitionBy("file").orderBy("mark", "k")
+    raw = placemarks(spark, path).select("file", F.col("pos").alias("mark"), F.posexplode(F.regexp_extract_all("xml", F.lit("(?s)<Point>.*?<coordinates>(.*?)</coordinates>"), F.lit(1))).alias("k", "c"))
+    found = raw.select("file", "mark", "k", F.get(parse_coordinates(F.col("c")), F.lit(0)).alias("c")).where(F.col("c").isNotNull())
+    return found.select("file", (F.row_number().over(w) - 1).alias("pos"), "c.lon", "c.lat")
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
