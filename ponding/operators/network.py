@@ -135,6 +135,44 @@ def path_profile(path: DataFrame, edges: DataFrame, threshold_cm: float) -> Data
     return steps.agg(F.count(F.lit(1)).alias("edges"), F.sum("length_m").alias("length_m"), F.max("depth_cm").alias("max_depth_cm"), F.count_if(F.col("depth_cm") >= threshold_cm).alias("blocked"))
 
 
+def ranked(path: DataFrame) -> DataFrame:
+    """Adds rank, the edges from the source to each node of a path (of :func:`path_to`), by doubling along the nodes before."""
+    steps = settle(path.select("node", F.col("prev").alias("to"), F.col("prev").isNotNull().cast("long").alias("rank")))
+    while steps.where("to is not null").limit(1).count():
+        ahead = steps.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("rank").alias("more"))
+        new = settle(steps.join(ahead, "to", "left").select("node", F.col("to2").alias("to"), (F.col("rank") + F.coalesce("more", F.lit(0).cast("long"))).alias("rank")))
+        drop(steps)
+        steps = new
+    return path.join(steps.select("node", "rank"), "node")
+
+
+def path_edges(path: DataFrame, edges: DataFrame) -> DataFrame:
+    """rank (from 1) and the path's edges in order. edges: u, v and others, one per pair."""
+    return ranked(path).where(F.col("prev").isNotNull()).select("rank", F.col("prev").alias("u"), F.col("node").alias("v")).join(edges, ["u", "v"])
+
+
+def joined_line() -> tuple[Column, Column]:
+    """Aggregates edges (rank, coords) to one line: the coordinates in order, a vertex where two edges meet once. The second: what to select after."""
+    gathered = F.sort_array(F.collect_list(F.struct("rank", "coords"))).alias("line")
+    first = F.slice(F.get(F.transform("line", lambda e: e.coords), F.lit(0)), F.lit(1), F.lit(1))
+    rest = F.flatten(F.transform("line", lambda e: F.slice(e.coords, F.lit(2), F.size(e.coords))))
+    return gathered, F.concat(first, rest).alias("coords")
+
+
+def path_lines(path: DataFrame, edges: DataFrame, threshold_cm: float) -> DataFrame:
+    """kind, first, last (ranks), length_m, max_depth_cm, coords: the whole path (kind "way"), and each stretch of it in a row at the threshold or deeper ("blocked").
+
+    edges: u, v, length_m, depth_cm, coords. A way's line is one value; without a way there are no rows.
+    """
+    e = settle(path_edges(path, edges))
+    # Edges of a stretch keep the same distance to their number among blocked ones. A path is one sequence, ranked already.
+    numbered = e.where(F.col("depth_cm") >= threshold_cm).withColumn("stretch", F.col("rank") - F.row_number().over(Window.orderBy("rank")))
+    parts = e.select("*", F.lit("way").alias("kind"), F.lit(0).cast("long").alias("stretch")).unionByName(numbered.select(*e.columns, F.lit("blocked").alias("kind"), F.col("stretch").cast("long").alias("stretch")))
+    gathered, line = joined_line()
+    out = parts.groupBy("kind", "stretch").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.sum("length_m").alias("length_m"), F.max("depth_cm").alias("max_depth_cm"), gathered)
+    return out.select("kind", "first", "last", "length_m", "max_depth_cm", line)
+
+
 def compare_routes(edges: DataFrame, source: int, target: int, threshold_cm: float) -> DataFrame:
     """One row: the shortest way and the passable one, how much longer it is, and what to tell the driver.
 

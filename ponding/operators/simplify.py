@@ -51,14 +51,26 @@ def simplify(lines: DataFrame, tolerance: str = "tolerance") -> DataFrame:
 
 
 def rasterise_lines(lines: DataFrame, depth: str, n: int) -> DataFrame:
-    """lines: coords in cell units (lon: column, lat: row) and a depth. The cells each touches, at a tenth of a cell, with the deepest value."""
+    """lines: coords in cell units (lon: column, lat: row) and a depth. Every cell that a line has a point in, with the deepest value.
+
+    A cell has its north and west sides. In each row a segment runs over a stretch of columns,
+    whose ends follow from where it enters and leaves the row; so no cell is missed, and the work grows with the cells touched.
+    """
     size = F.size("coords")
     segs = lines.where(size >= 2).select(depth, F.explode(F.zip_with(F.slice("coords", F.lit(1), size - 1), F.slice("coords", F.lit(2), size - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("s"))
-    parts = F.greatest(F.lit(1), F.ceil(10 * F.greatest(F.abs(F.col("s.b.lon") - F.col("s.a.lon")), F.abs(F.col("s.b.lat") - F.col("s.a.lat"))))).cast("int")
-    pts = segs.withColumn("parts", parts).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts"))))
-    at = lambda k: F.floor(F.col(f"s.a.{k}") + (F.col(f"s.b.{k}") - F.col(f"s.a.{k}")) * F.col("i") / F.col("parts")).cast("int")
-    cells = pts.select(at("lat").alias("row"), at("lon").alias("col"), depth)
-    return cells.where(F.col("row").between(0, n - 1) & F.col("col").between(0, n - 1)).groupBy("row", "col").agg(F.max(depth).alias(depth))
+    up = F.col("s.a.lat") <= F.col("s.b.lat")
+    end = lambda first, k: F.when(up if first else ~up, F.col(f"s.a.{k}")).otherwise(F.col(f"s.b.{k}")).cast("double")
+    segs = segs.select(depth, end(True, "lon").alias("x0"), end(True, "lat").alias("y0"), end(False, "lon").alias("x1"), end(False, "lat").alias("y1"))
+    first, last = F.greatest(F.floor("y0"), F.lit(0)), F.least(F.floor("y1"), F.lit(n - 1))
+    rows = segs.where(first <= last).withColumn("row", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    at = lambda y: F.when(y <= F.col("y0"), F.col("x0")).when(y >= F.col("y1"), F.col("x1")).otherwise(F.col("x0") + (F.col("x1") - F.col("x0")) * (y - F.col("y0")) / (F.col("y1") - F.col("y0")))
+    flat, leaves = F.col("y0") == F.col("y1"), F.col("y1") >= F.col("row") + 1
+    enter, leave = F.when(flat, F.col("x0")).otherwise(at(F.col("row").cast("double"))), F.when(flat, F.col("x1")).otherwise(at(F.col("row") + 1.0))
+    # Where it leaves the row, its point belongs to the next one: a column that it only reaches there is not in this row.
+    right = F.when(~flat & leaves & (leave > enter), F.ceil(leave) - 1).otherwise(F.floor(F.greatest(enter, leave)))
+    low, high = F.greatest(F.floor(F.least(enter, leave)), F.lit(0)), F.least(right, F.lit(n - 1))
+    cells = rows.where(low <= high).select("row", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("col"), depth)
+    return cells.groupBy("row", "col").agg(F.max(depth).alias(depth))
 
 
 def rasterise_polygons(rings: DataFrame, value: str, n: int) -> DataFrame:

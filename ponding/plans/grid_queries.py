@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ponding.functions import hydro
-from ponding.operators import flats, grid, streams, zones
+from ponding.operators import flats, grid, simplify, streams, zones
 from ponding.plans.domain import SURVEY, read, side, survey
 from ponding.plans.registry import query
 
@@ -237,3 +237,19 @@ def catchment_polygons(spark, sf_dir):
     steps = F.zip_with(F.slice("coords", F.lit(1), size - 1), F.slice("coords", F.lit(2), size - 1), lambda a, b: F.abs(a.lon - b.lon) + F.abs(a.lat - b.lat))
     around = rings.withColumn("around", F.aggregate(steps, F.lit(0.0), lambda s, x: s + x))
     return around.groupBy("zone").agg(F.sum("area").alias("area"), F.sum("around").alias("perimeter"), F.sum(F.signum("area")).cast("long").alias("balance"))
+
+
+#: Drains as straight lines over the grid: sx, sy, ex, ey in cells, and a depth.
+DRAINS = f"""{SURVEY}, drains AS (SELECT c_custkey AS id, (c_custkey * 7919) % n + 0.313 AS sx, (c_custkey * 104729) % n + 0.677 AS sy, (c_custkey * 7919) % n + 0.313 + (c_custkey * 31) % 13 - 6.1457 AS ex, (c_custkey * 104729) % n + 0.677 + (c_custkey * 17) % 11 - 5.0731 AS ey, 1.5 * (1 + c_custkey % 3) AS depth FROM customer, g)"""
+
+
+@query(f"""WITH {DRAINS}, near AS (SELECT d.*, r, c FROM drains d, g, range(-7, 8) i(i), range(-6, 7) j(j), LATERAL (SELECT floor(sx)::INT + i AS c, floor(sy)::INT + j AS r) WHERE r BETWEEN 0 AND n - 1 AND c BETWEEN 0 AND n - 1),
+t AS (SELECT *, least((c - sx) / (ex - sx), (c + 1 - sx) / (ex - sx)) AS a, greatest((c - sx) / (ex - sx), (c + 1 - sx) / (ex - sx)) AS b, least((r - sy) / (ey - sy), (r + 1 - sy) / (ey - sy)) AS p, greatest((r - sy) / (ey - sy), (r + 1 - sy) / (ey - sy)) AS q FROM near)
+SELECT r AS row, c AS col, max(depth)::DOUBLE AS depth FROM t WHERE greatest(a, p, 0) <= least(b, q, 1) GROUP BY ALL""")
+def rasterised_drains(spark, sf_dir):
+    """Every cell that a drain touches, with the deepest of them."""
+    n, k = side(spark, sf_dir), F.col("c_custkey")
+    x, y = k * 7919 % n + 0.313, k * 104729 % n + 0.677
+    point = lambda lon, lat: F.struct(lon.alias("lon"), lat.alias("lat"))
+    drains = read(spark, sf_dir, "customer").select((1.5 * (1 + k % 3)).alias("depth"), F.array(point(x, y), point(x + k * 31 % 13 - 6.1457, y + k * 17 % 11 - 5.0731)).alias("coords"))
+    return simplify.rasterise_lines(drains, "depth", n).select("row", "col", "depth")

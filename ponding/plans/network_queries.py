@@ -73,12 +73,6 @@ def outfalls(spark, sf_dir):
     return low_ends(e.select(F.col("id").alias("u"), F.col("downstream").alias("v"), "own", "far"), 1)
 
 
-@query()
-def outfalls_whole(spark, sf_dir):
-    """Nodes with few of all conduits of the register that lie low (tests compare it with a plain loop)."""
-    return low_ends(conduits(spark, sf_dir).where("u <> v").select("u", "v", F.col("depth").alias("own"), (F.col("width") / 100).alias("far")), 95)
-
-
 def low_ends(c, most):
     """Nodes of at most so many conduits (u, v, own, far: the inverts at both ends) where an own invert is no higher than the far one."""
     ends = c.select(F.col("u").alias("node"), "own", "far").unionByName(c.select(F.col("v").alias("node"), F.col("far").alias("own"), F.col("own").alias("far")))
@@ -113,6 +107,25 @@ def shortest_distances(spark, sf_dir):
     return network.distances(e, F.lit(0)).select("node", F.round("cost", 1).alias("metres"))
 
 
+def street_lines(spark, sf_dir):
+    """Of parallel conduits the shortest, with its depth and its line over the lattice of nodes."""
+    c = conduits(spark, sf_dir).where("u <> v").withColumn("depth_cm", F.col("depth") * 400)
+    e = c.groupBy("u", "v").agg(F.min(F.struct("length_m", "eid", "depth_cm")).alias("b")).select("u", "v", "b.length_m", "b.depth_cm")
+    at = lambda k: F.struct((77.5 + (F.col(k) % 20) / 100).alias("lon"), (12.9 + F.floor(F.col(k) / 20) / 100).alias("lat"))
+    middle = F.struct((77.5 + (F.col("u") % 20 + F.col("v") % 20) / 200).alias("lon"), (12.9 + (F.floor(F.col("u") / 20) + F.floor(F.col("v") / 20)) / 200).alias("lat"))
+    return e.withColumn("coords", F.array(at("u"), middle, at("v")))
+
+
+@query()
+def route_lines(spark, sf_dir):
+    """The line of the normal way between two nodes and of each stretch of it under water (iterative; a test compares it with a plain loop)."""
+    e = street_lines(spark, sf_dir)
+    best = network.distances(e.select("u", "v", F.col("length_m").alias("w")), F.lit(0))
+    out = network.path_lines(network.path_to(best, 233), e, 4.0)
+    line = F.concat_ws(" ", F.transform("coords", lambda c: F.format_string("%.3f,%.3f", c.lon, c.lat)))
+    return out.select("kind", "first", "last", F.round("length_m", 1).alias("length_m"), F.round("max_depth_cm", 4).alias("max_depth_cm"), line.alias("line"))
+
+
 @query()
 def flood_safe_route(spark, sf_dir):
     """The normal and the passable way between two nodes (tests compare it with a plain loop)."""
@@ -129,12 +142,6 @@ def components(spark, sf_dir):
     return network.components(conduits(spark, sf_dir).where("u <> v"))
 
 
-@query()
-def components_whole(spark, sf_dir):
-    """The same under its older name (tests compare it with a plain loop)."""
-    return components(spark, sf_dir)
-
-
 @query()
 def built_network(spark, sf_dir):
     """From polylines to a network: runs inside the box, pieces of at least 4 km, directed edges between snapped ends; the largest component's size and length."""

@@ -30,17 +30,7 @@ def test_components_of_all_conduits(spark):
             if label[u] != label[v]:
                 label[u] = label[v] = min(label[u], label[v])
                 moved = True
-    assert {tuple(r) for r in QUERIES["components_whole"](spark, SF).collect()} == set(label.items())
-
-
-def test_outfalls_of_all_conduits(spark):
-    degree, low = {}, set()
-    for u, v, depth, width in conduits():
-        for node, own, other in ((u, depth, width / 100), (v, width / 100, depth)):
-            degree[node] = degree.get(node, 0) + 1
-            if own <= other:
-                low.add(node)
-    assert sorted(r.node for r in QUERIES["outfalls_whole"](spark, SF).collect()) == sorted(n for n in low if degree[n] <= 95)
+    assert {tuple(r) for r in QUERIES["components"](spark, SF).collect()} == set(label.items())
 
 
 def test_route_over_all_conduits(spark):
@@ -77,6 +67,59 @@ def test_route_over_all_conduits(spark):
     assert not safe or abs(r.safe_m - sum(m for m, _ in safe)) < 0.1
 
 
+def test_route_lines(spark):
+    """The normal way's coordinates and its stretches under water, walked in a loop."""
+    import heapq
+
+    duckdb.sql(f"create or replace view lineitem as select * from '{SF}/lineitem.parquet'")
+    rows = duckdb.sql(f"WITH {CONDUITS} SELECT u, v, length_m::DOUBLE, eid, depth::DOUBLE * 400 FROM conduits WHERE u <> v ORDER BY length_m, eid, depth").fetchall()
+    edges = {}
+    for u, v, m, _, d in rows:
+        edges.setdefault((u, v), (m, d))
+    before, heap, done = {}, [(0.0, 0, None)], set()
+    while heap:
+        cost, at, prev = heapq.heappop(heap)
+        if at not in done:
+            done.add(at)
+            before[at] = prev
+            for (u, v), (m, _) in edges.items():
+                if u == at:
+                    heapq.heappush(heap, (cost + m, v, at))
+    nodes = [233]
+    while before[nodes[-1]] is not None:
+        nodes.append(before[nodes[-1]])
+    nodes.reverse()
+    place = lambda k: (77.5 + (k % 20) / 100, 12.9 + (k // 20) / 100)
+    text = lambda ps: " ".join(f"{a:.3f},{b:.3f}" for a, b in ps)
+
+    def line(part):
+        out = [place(part[0])]
+        for u, v in zip(part, part[1:]):
+            (a, b), (c, d) = place(u), place(v)
+            out += [((a + c) / 2, (b + d) / 2), (c, d)]
+        return text(out)
+
+    ways = [edges[p] for p in zip(nodes, nodes[1:])]
+    want = [("way", 1, len(ways), line(nodes))]
+    k = 0
+    while k < len(ways):
+        if ways[k][1] >= 4.0:
+            j = k
+            while j < len(ways) and ways[j][1] >= 4.0:
+                j += 1
+            want.append(("blocked", k + 1, j, line(nodes[k : j + 1])))
+            k = j
+        else:
+            k += 1
+    got = QUERIES["route_lines"](spark, SF).collect()
+    numbers = lambda t: [tuple(round(float(x), 2) for x in p.split(",")) for p in t.split(" ")]
+    assert sorted((r.kind, r.first, r.last) for r in got) == sorted(w[:3] for w in want) and len(want) > 1
+    for r in got:
+        expected = next(w[3] for w in want if w[:3] == (r.kind, r.first, r.last))
+        assert np.abs(np.array(numbers(r.line)) - np.array(numbers(expected))).max() <= 0.011
+        assert abs(r.length_m - sum(m for m, _ in ways[r.first - 1 : r.last])) < 0.1
+
+
 def test_nearest_of_all_vectors(spark):
     rows = duckdb.sql(f"select vec_id, embedding from '{SF}/embeddings.parquet' order by vec_id").fetchall()
     ids, e = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
