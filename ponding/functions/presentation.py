@@ -42,10 +42,6 @@ def radius_of(volume: Column) -> Column:
     return 2.5 + 8.5 * share
 
 
-def route_message(normal_m: Column, safe_m: Column, blocked: Column) -> Column:
-    return F.when(safe_m.isNull(), "No passable way.").when(blocked > 0, F.format_string("%d flooded stretches avoided, %.0f m longer.", blocked.cast("int"), safe_m - normal_m)).otherwise("The normal way is passable.")
-
-
 def check_request(city: str, mode: str = "car", lead: int = 0) -> None:
     """ValueError for an unknown city or vehicle or a lead out of range."""
     if city not in CITIES:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,26 @@ def bilinear(df: DataFrame, n: int, m: int, value: str = "v") -> DataFrame:
     return w.join(df, ["row", "col"]).groupBy("i", "j").agg(F.sum(F.col("w") * F.col(value)).alias(value)).select(F.col("i").alias("row"), F.col("j").alias("col"), value)
 
 
+def cubic(x: Column) -> Column:
+    """The cubic kernel of four taps with slope -1/2 at 1."""
+    d = F.abs(x)
+    return F.when(d < 1, (1.5 * d - 2.5) * d * d + 1).when(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2).otherwise(0.0)
+
+
+def bicubic(df: DataFrame, factor: int, n: int, *values: str) -> DataFrame:
+    """An n-grid (row, col, values) enlarged by a whole factor, one axis after the other; beyond the border the taps that are left count more.
+
+    Pixel i of the larger grid lies at (i + 1/2) / factor - 1/2 of the smaller one.
+    """
+    for axis, other in (("col", "row"), ("row", "col")):
+        at = F.col(axis)
+        first, last = F.greatest(F.ceil((at - 1.5) * factor - 0.5), F.lit(0)), F.least(F.floor((at + 2.5) * factor - 0.5), F.lit(n * factor - 1))
+        spread = df.select(other, at.alias("from"), *values, F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias(axis))
+        spread = spread.withColumn("w", cubic((F.col(axis) + 0.5) / factor - 0.5 - F.col("from")))
+        df = spread.groupBy(other, axis).agg(*[(F.sum(F.col(v) * F.col("w")) / F.sum("w")).alias(v) for v in values])
+    return df
+
+
 def box_rain(granules: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
     """granules: begin, lon, lat, mm_per_h. Mean and peak over the box; negative fill values count as missing."""
     inside = granules.where(F.col("lon").between(west, east) & F.col("lat").between(south, north))
@@ -35,8 +55,3 @@ def newest(store: DataFrame, keep: int = 6, order: str = "seq") -> DataFrame:
     """The newest entries of a bounded store: each token once, by its last use."""
     last = store.groupBy("token").agg(F.max(order).alias(order))
     return last.orderBy(F.desc(order), "token").limit(keep)
-
-
-def running_total(series: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return series.withColumn("total", F.sum(value).over(w))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ponding.functions import presentation
 from ponding.operators import runoff, stats
 from ponding.plans.domain import CATCHMENTS, CONDUITS, catchments, conduits, read
 from ponding.plans.grid_queries import CUBE, depth_cube
 from ponding.plans.registry import query
 from ponding.plans.runoff_queries import WALK
+from ponding.sources import model
 
 KINDS = " economy, Small ,PROMO"
 
@@ -163,3 +165,29 @@ def auc_by_file(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", "source", F.col("n_chars").alias("v"))
     s = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).join(d, "doc_id")
     return stats.auc(s, ["source"]).where("n1 >= 5 and n0 >= 5").select("source", (F.col("n1") + F.col("n0")).alias("n"), F.round("auc", 8).alias("auc"))
+
+
+PIPES = f"""{CONDUITS}, p AS (SELECT row_number() OVER (ORDER BY eid, u, v, depth, width, length_m, bad, name) AS link, u, v, depth AS a, width / 100 AS b, length_m, bad FROM conduits WHERE u <> v), ends AS (SELECT u AS node, a AS invert, a + 1.5 AS top FROM p UNION ALL SELECT v, b, b + 1.5 FROM p), floors AS (SELECT node, min(invert) AS elev, max(top) AS street FROM ends GROUP BY node)"""
+
+
+@query(f"""WITH {PIPES} SELECT printf('N%d %.3f %.3f 0 0 0', node, elev, greatest(street - elev, 0.2)) AS line FROM floors
+UNION ALL SELECT printf('N%d N%d %.1f %s %.3f %.3f 0 0', p.u, p.v, length_m, CASE WHEN bad THEN '0.03' ELSE '0.015' END, a - f.elev, b - t.elev) FROM p JOIN floors f ON f.node = p.u JOIN floors t ON t.node = p.v""")
+def model_sections(spark, sf_dir):
+    """Junctions and conduits of the register as the drainage model reads them (without the conduits' numbers)."""
+    c = conduits(spark, sf_dir).where("u <> v")
+    links = c.select(F.col("eid").alias("link"), "u", "v", F.col("depth").alias("invert_u"), (F.col("width") / 100).alias("invert_v"), (F.col("depth") + 1.5).alias("top_u"), (F.col("width") / 100 + 1.5).alias("top_v"), "length_m", F.lit(1.5).alias("depth"), "width", F.lit(True).alias("closed"), "bad")
+    nodes = model.nodes_of(links)
+    pipes = model.conduit_lines(links, nodes).where(F.col("section") == model.SECTIONS.index("CONDUITS")).select(F.regexp_replace("line", "^C\\d+ ", "").alias("line"))
+    return model.node_lines(nodes).select("line").unionByName(pipes)
+
+
+@query("SELECT p_partkey AS id, round(2.5 + 8.5 * least(sqrt(greatest(p_retailprice / 300 - 2, 0)) / sqrt(5.3), 1), 6) AS radius FROM part")
+def marker_radii(spark, sf_dir):
+    """The size of a node's marker from the volume that floods it."""
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(presentation.radius_of(F.col("p_retailprice") / 300 - 2), 6).alias("radius"))
+
+
+@query(f"WITH {CATCHMENTS} SELECT round(avg(imperv * 100), 6) AS areal_mm, count(*) AS catchments FROM catchments WHERE area_ha > 0")
+def areal_rain(spark, sf_dir):
+    """Mean rain over the catchments that have cells."""
+    return catchments(spark, sf_dir).where("area_ha > 0").agg(F.round(F.avg(F.col("imperv") * 100), 6).alias("areal_mm"), F.count(F.lit(1)).alias("catchments"))

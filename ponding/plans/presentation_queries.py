@@ -34,6 +34,18 @@ def bilinear_resize(spark, sf_dir):
     return resample.bilinear(c, n, 2 * n, "z").select("row", "col", F.round("z", 4).alias("v"))
 
 
+KERNEL = "CASE WHEN abs({d}) < 1 THEN 1.5 * abs({d}) ** 3 - 2.5 * {d} ** 2 + 1 WHEN abs({d}) < 2 THEN -0.5 * abs({d}) ** 3 + 2.5 * {d} ** 2 - 4 * abs({d}) + 2 ELSE 0 END"
+
+
+@query(f"""WITH {SURVEY}, t AS (SELECT range::INT AS i, (range + 0.5::DOUBLE) / 3 - 0.5 AS p FROM range((SELECT 3 * n FROM g)::BIGINT)), taps AS (SELECT i, k::INT AS k, p - k AS d FROM t, g, LATERAL (SELECT unnest(range(floor(p)::BIGINT - 1, floor(p)::BIGINT + 3)) AS k) WHERE k BETWEEN 0 AND n - 1),
+w AS (SELECT i, k, ({KERNEL.format(d='d')}) / sum({KERNEL.format(d='d')}) OVER (PARTITION BY i) AS w FROM taps), a AS (SELECT row, w.i AS col, sum(z * w) AS z FROM dem JOIN w ON k = col GROUP BY ALL)
+SELECT w.i AS row, col, round(sum(z * w), 4) AS z FROM a JOIN w ON k = row GROUP BY ALL""")
+def bicubic_enlargement(spark, sf_dir):
+    """The survey at three times as many pixels along each axis, as the overlay is drawn."""
+    c, n = survey(spark, sf_dir)
+    return resample.bicubic(c.select("row", "col", "z"), 3, n, "z").select("row", "col", F.round("z", 4).alias("z"))
+
+
 @query("SELECT date_trunc('hour', ts) AS begin, round(avg(CASE WHEN value - 2 >= 0 THEN value - 2 END), 4) AS mean_mm_per_h, round(max(CASE WHEN value - 2 >= 0 THEN value - 2 END), 4) AS peak_mm_per_h FROM events WHERE user_id % 36 BETWEEN 5 AND 20 AND user_id % 18 BETWEEN 2 AND 9 GROUP BY 1")
 def box_rain(spark, sf_dir):
     e = read(spark, sf_dir, "events").select(F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("begin"), (F.col("user_id") % 36).alias("lon"), (F.col("user_id") % 18).alias("lat"), (F.col("value") - 2).alias("mm_per_h"))
