@@ -200,9 +200,15 @@ def scores(spark, sf_dir):
 AUC = "SELECT {by} sum(label)::BIGINT AS n1, (count(*) - sum(label))::BIGINT AS n0, round((sum(CASE WHEN label = 1 THEN mid ELSE 0 END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))), 8) AS auc FROM (SELECT *, rank() OVER (PARTITION BY 1 {part} ORDER BY v) + (count(*) OVER (PARTITION BY v {part}) - 1) / 2.0 AS mid FROM {src})"
 
 
-@query(f"WITH {SCORES} " + AUC.format(by="", part="", src="s"))
+#: The normal tail by the same published polynomial.
+TAIL = "(exp(-{z} * {z} / 2) / sqrt(2 * pi()) * (1 / (1 + 0.2316419::DOUBLE * {z})) * (0.319381530::DOUBLE + (1 / (1 + 0.2316419::DOUBLE * {z})) * (-0.356563782::DOUBLE + (1 / (1 + 0.2316419::DOUBLE * {z})) * (1.781477937::DOUBLE + (1 / (1 + 0.2316419::DOUBLE * {z})) * (-1.821255978::DOUBLE + (1 / (1 + 0.2316419::DOUBLE * {z})) * 1.330274429::DOUBLE)))))"
+
+
+@query(f"WITH {SCORES}, a AS (" + AUC.format(by="", part="", src="s") + f"""), tied AS (SELECT sum(k ** 3 - k) AS t FROM (SELECT count(*)::DOUBLE AS k FROM s GROUP BY v)),
+d AS (SELECT *, auc * n1 * n0 - n1 * n0 / 2.0::DOUBLE AS off, sqrt(n1::DOUBLE * n0 / 12 * (n1 + n0 + 1 - t / ((n1 + n0) * (n1 + n0 - 1)))) AS sd FROM a, tied), z AS (SELECT *, greatest((abs(off) - 0.5) / sd, 0) AS z, (-off - 0.5) / sd AS l FROM d)
+SELECT n1, n0, auc, round(least(2 * {TAIL.format(z='z')}, 1), 6) AS p, round(CASE WHEN l >= 0 THEN {TAIL.format(z='l')} ELSE 1 - {TAIL.format(z='(-l)')} END, 6) AS p_less FROM z""")
 def auc_midrank(spark, sf_dir):
-    return stats.auc(scores(spark, sf_dir)).select("n1", "n0", F.round("auc", 8).alias("auc"))
+    return stats.auc(scores(spark, sf_dir)).select("n1", "n0", F.round("auc", 8).alias("auc"), F.round("p", 6).alias("p"), F.round("p_less", 6).alias("p_less"))
 
 
 @query(f"""WITH {SCORES}, e AS (SELECT i + 1 AS stratum, quantile_cont(size, i / 5.0) AS lo, quantile_cont(size, (i + 1) / 5.0) AS hi FROM s, (SELECT unnest([0, 1, 2, 3, 4]) AS i) GROUP BY i),
@@ -225,9 +231,9 @@ def background_sample(spark, sf_dir):
 
 @query("""SELECT p_type AS zone, quantile_cont(p_retailprice, 0.1) AS p10, quantile_cont(p_retailprice, 0.5) AS p50, quantile_cont(p_retailprice, 0.9) AS p90, avg((p_size <= 2)::INT) AS low_share FROM part GROUP BY p_type""".replace("quantile_cont(p_retailprice, 0.1)", "round(quantile_cont(p_retailprice, 0.1), 4)").replace("quantile_cont(p_retailprice, 0.5)", "round(quantile_cont(p_retailprice, 0.5), 4)").replace("quantile_cont(p_retailprice, 0.9)", "round(quantile_cont(p_retailprice, 0.9), 4)").replace("avg((p_size <= 2)::INT)", "round(avg((p_size <= 2)::INT), 6)"))
 def zone_percentiles(spark, sf_dir):
-    p = read(spark, sf_dir, "part")
-    q = [F.round(F.percentile("p_retailprice", F.lit(x)), 4).alias(n) for n, x in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))]
-    return p.groupBy(F.col("p_type").alias("zone")).agg(*q, F.round(F.avg((F.col("p_size") <= 2).cast("int")), 6).alias("low_share"))
+    p = read(spark, sf_dir, "part").withColumnRenamed("p_type", "zone")
+    q = stats.quantiles(p, "p_retailprice", [0.1, 0.5, 0.9], ["zone"]).groupBy("zone").agg(*[F.round(F.max(F.when(F.col("share") == x, F.col("cut"))), 4).alias(n) for n, x in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))])
+    return p.groupBy("zone").agg(F.round(F.avg((F.col("p_size") <= 2).cast("int")), 6).alias("low_share")).join(q, "zone").select("zone", "p10", "p50", "p90", "low_share")
 
 
 @query()

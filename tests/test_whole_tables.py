@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 
 from ponding.functions import hydro
-from ponding.operators import flats, grid
+from ponding.operators import flats, grid, stats
 from ponding.plans import QUERIES
 from ponding.plans.domain import CONDUITS
 
@@ -231,3 +231,23 @@ def test_flow_across_flats(spark, monkeypatch):
         while x[0]:
             x = got[x][1]
         assert x == (0, 7)
+
+
+def test_quantiles_of_groups(spark):
+    """With ties, a group of one, a null group and one group with most rows, against numpy."""
+    rng = np.random.default_rng(12)
+    rows = [("big", float(v)) for v in rng.integers(0, 50, 900)] + [("one", 3.5), (None, 1.0), (None, 2.0), ("big", None)] + [("few", float(v)) for v in rng.normal(size=7)]
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = stats.quantiles(spark.createDataFrame(rows, "g string, x double").repartition(6), "x", shares, ["g"]).collect()
+    for g in {r[0] for r in rows}:
+        want = np.quantile([v for k, v in rows if k == g and v is not None], shares)
+        assert np.allclose([r.cut for r in sorted((r for r in got if r.g == g), key=lambda r: r.share)], want)
+
+
+def test_bootstrap_interval(spark):
+    """Close to the interval of resamples that numpy draws."""
+    duckdb.sql(f"create or replace view supplier as select * from '{SF}/supplier.parquet'")
+    x = np.array([r[0] for r in duckdb.sql("select s_acctbal from supplier").fetchall()])
+    low, high = np.percentile(np.random.default_rng(0).choice(x, (20_000, len(x))).mean(1), [2.5, 97.5])
+    r = QUERIES["bootstrap_interval"](spark, SF).first()
+    assert r.low < x.mean() < r.high and abs(r.high - r.low - (high - low)) < 0.15 * (high - low)
