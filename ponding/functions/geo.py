@@ -63,8 +63,21 @@ def touches(coords: Column, west: float, south: float, east: float, north: float
     return F.exists(coords, lambda c: c.lon.between(west, east) & c.lat.between(south, north))
 
 
-def middle_vertex(coords: Column) -> Column:
-    return F.element_at(coords, (F.size(coords) / 2).cast("int") + 1)
+def affine_point(row: Column, col: Column, transform: tuple[float, ...]) -> Column:
+    """x, y of a cell's centre under an affine transform (a, b, c, d, e, f): x = a col + b row + c, y = d col + e row + f."""
+    a, b, c, d, e, f = transform
+    i, j = col + 0.5, row + 0.5
+    return F.struct((a * i + b * j + c).alias("x"), (d * i + e * j + f).alias("y"))
+
+
+def affine_cell(x: Column, y: Column, transform: tuple[float, ...]) -> Column:
+    """row, col of a point under the inverse of an affine transform, cut towards zero."""
+    a, b, c, d, e, f = transform
+    det = a * e - b * d
+    if not det:
+        raise ValueError("the transform has no inverse")
+    col, row = (e * (x - c) - b * (y - f)) / det, (a * (y - f) - d * (x - c)) / det
+    return F.struct(row.cast("int").alias("row"), col.cast("int").alias("col"))
 
 
 def parse_coordinates(raw: Column) -> Column:

@@ -21,6 +21,18 @@ def ramp(depth: Column, stops: tuple[tuple[float, str], ...]) -> Column:
     return F.struct(*[F.round(channel(k)).cast("int").alias(n) for k, n in enumerate(("r", "g", "b"))])
 
 
+#: Red, green, blue and alpha of heights above drainage in metres (fixed values).
+HAND_STOPS = ((0.0, 8, 48, 107, 230), (2.0, 33, 113, 181, 205), (5.0, 66, 146, 198, 160), (9.0, 158, 202, 225, 90), (14.0, 222, 235, 247, 0))
+
+
+def hand_colour(height: Column) -> Column:
+    """r, g, b, a of a height above drainage, cut to whole numbers; the deepest blue where it is lowest, clear at 14 m and where it is unknown."""
+    known = height.isNotNull() & ~F.isnan(height)
+    h = F.when(known, F.least(F.greatest(height, F.lit(0.0)), F.lit(14.0))).otherwise(F.lit(14.0))
+    channel = lambda k: F.floor(piecewise(h, tuple((s[0], float(s[k])) for s in HAND_STOPS))).cast("int")
+    return F.struct(*[channel(k).alias(n) for k, n in enumerate(("r", "g", "b"), 1)], F.when(known, channel(4)).otherwise(0).alias("a"))
+
+
 def opacity(depth: Column) -> Column:
     return piecewise(depth, OPACITY)
 

@@ -190,7 +190,8 @@ def compare_routes(edges: DataFrame, source: int, target: int, threshold_cm: flo
         ways.append(profile.select(F.col("edges").alias(f"{name}_edges"), F.col("length_m").alias(f"{name}_m"), F.col("max_depth_cm").alias(f"{name}_depth"), F.col("blocked").alias(f"{name}_blocked")))
     both = one.crossJoin(F.broadcast(ways[0])).crossJoin(F.broadcast(ways[1]))  # one row each
     deep = F.col("normal_depth") >= threshold_cm
-    message = F.when(F.col("normal_m").isNull(), "no way between these points").when(~deep, "the normal way is passable").when(F.col("safe_m").isNull(), "no passable way").otherwise("a longer way keeps clear of the water")
+    around = F.format_string("keeps clear of %d flooded stretches, %.0f m longer", F.col("normal_blocked"), F.col("safe_m") - F.col("normal_m"))
+    message = F.when(F.col("normal_m").isNull(), "no way between these points").when(~deep, "the normal way is passable").when(F.col("safe_m").isNull(), "no passable way").otherwise(around)
     return both.select("normal_m", "normal_edges", F.col("normal_depth").alias("max_depth_cm"), F.col("normal_blocked").alias("blocked"), "safe_m", (F.col("safe_m") - F.col("normal_m")).alias("extra_m"), message.alias("message"))
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ponding.functions import presentation
-from ponding.operators import runoff, stats
-from ponding.plans.domain import CATCHMENTS, CONDUITS, catchments, conduits, read
+from ponding.functions import hydro, presentation
+from ponding.operators import grid, runoff, stats, streams
+from ponding.plans.domain import CATCHMENTS, CONDUITS, SURVEY, catchments, conduits, read, survey
 from ponding.plans.grid_queries import CUBE, depth_cube
 from ponding.plans.registry import query
 from ponding.plans.runoff_queries import WALK
@@ -41,14 +41,15 @@ def streams_of_order(spark, sf_dir, least=2, most=12):
 
 
 @query(f"""WITH {CONDUITS}, c AS (SELECT eid, nullif(depth, 0) AS depth, CASE WHEN width > 5 THEN width END AS width, CASE WHEN length_m > 100 THEN length_m END AS length_m FROM conduits)
-SELECT count(*) AS conduits, count(*) FILTER (WHERE depth IS NOT NULL AND width IS NOT NULL AND length_m IS NOT NULL) AS complete, round(avg(coalesce(depth, (SELECT avg(depth) FROM c))), 6) AS depth_imputed FROM c""")
+SELECT count(*) AS conduits, count(*) FILTER (WHERE depth IS NOT NULL AND width IS NOT NULL AND length_m IS NOT NULL) AS complete, round(avg(coalesce(depth, (SELECT avg(depth) FROM c))), 6) AS depth_imputed, round(avg(coalesce(depth, (SELECT quantile_cont(depth, 0.5) FROM c))), 6) AS depth_by_median FROM c""")
 def complete_conduits(spark, sf_dir):
-    """Conduits with all measures, and the mean depth with missing ones set to the mean of the others."""
+    """Conduits with all measures, and the mean depth with missing ones set to the mean or the median of the others."""
     c = conduits(spark, sf_dir).select(F.nullif("depth", F.lit(0.0)).alias("depth"), F.when(F.col("width") > 5, F.col("width")).alias("width"), F.when(F.col("length_m") > 100, F.col("length_m")).alias("length_m"))
     mean = c.agg(F.avg("depth").alias("mean"))
-    filled = c.crossJoin(F.broadcast(mean))  # one row
+    median = stats.quantiles(c, "depth", [0.5]).select(F.col("cut").alias("median"))
+    filled = c.crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(median))  # one row each
     complete = F.count_if(F.col("depth").isNotNull() & F.col("width").isNotNull() & F.col("length_m").isNotNull())
-    return filled.agg(F.count(F.lit(1)).alias("conduits"), complete.alias("complete"), F.round(F.avg(F.coalesce("depth", "mean")), 6).alias("depth_imputed"))
+    return filled.agg(F.count(F.lit(1)).alias("conduits"), complete.alias("complete"), F.round(F.avg(F.coalesce("depth", "mean")), 6).alias("depth_imputed"), F.round(F.avg(F.coalesce("depth", "median")), 6).alias("depth_by_median"))
 
 
 @query("""WITH spots AS (SELECT 'customer' AS layer, c_nationkey AS zone FROM customer UNION ALL SELECT 'supplier', s_nationkey FROM supplier UNION ALL SELECT 'nation', n_nationkey FROM nation)
@@ -99,11 +100,11 @@ def label_numbers(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.substring(label, 2, 20).cast("long").alias("number"))
 
 
-@query(f"WITH {CUBE} SELECT round(max(depth_cm), 3) AS deepest_cm, round(max(storage), 4) AS most_mm, count(DISTINCT (row, col)) FILTER (WHERE depth_cm >= 10) AS flooded FROM cube")
+@query(f"WITH {CUBE} SELECT round(max(depth_cm), 3) AS deepest_cm, round(max(storage), 4) AS most_mm, count(DISTINCT (row, col)) FILTER (WHERE depth_cm >= 10) AS flooded, (SELECT max(value) FROM events) AS peak_mm_per_h FROM cube")
 def cube_maxima(spark, sf_dir):
-    """The deepest water, the most stored, and how many cells flood at any lead."""
+    """The deepest water, the most stored, how many cells flood at any lead, and the strongest rain of all gauges."""
     d = depth_cube(spark, sf_dir)
-    return d.agg(F.round(F.max("depth_cm"), 3).alias("deepest_cm"), F.round(F.max("storage"), 4).alias("most_mm"), F.count_distinct(F.when(F.col("depth_cm") >= 10, F.struct("row", "col"))).alias("flooded"))
+    return d.agg(F.round(F.max("depth_cm"), 3).alias("deepest_cm"), F.round(F.max("storage"), 4).alias("most_mm"), F.count_distinct(F.when(F.col("depth_cm") >= 10, F.struct("row", "col"))).alias("flooded")).crossJoin(F.broadcast(read(spark, sf_dir, "events").agg(F.max("value").alias("peak_mm_per_h"))))
 
 
 @query(f"WITH {CUBE} SELECT lead, count(*) FILTER (WHERE depth_cm >= 10) AS flooded FROM cube GROUP BY lead")
@@ -152,9 +153,16 @@ def receiver_shares(spark, sf_dir):
     return both.agg(F.round(F.sum(F.when(F.col("in"), F.col("area_ha"))) / F.sum("area_ha"), 6).alias("land_share"), F.count_if(F.col("in") & (F.col("cn") >= 90)).alias("spots_inside"), F.count_if(F.col("cn") >= 90).alias("spots"))
 
 
-@query(f"WITH {CATCHMENTS} SELECT round(sum(length_m) / 1000, 3) AS stream_km, round(avg(imperv), 6) AS mean_imperv, round(avg((water_share >= 0.5)::INT), 6) AS water_share FROM catchments")
+@query(f"""WITH RECURSIVE {STRAHLER}, {SURVEY}, sea AS (SELECT avg((class = 80 AND z <= 300)::INT) AS share FROM dem), o AS (SELECT s, count(*) AS k FROM r GROUP BY s)
+SELECT round(sum(length_m) / 1000, 3) AS stream_km, round(avg(imperv), 6) AS mean_imperv, round(avg((water_share >= 0.5)::INT), 6) AS water_share, (SELECT round(share, 6) FROM sea) AS sea_share, (SELECT string_agg(s || ':' || k, ' ' ORDER BY s) FROM o) AS links_by_order FROM catchments""")
 def stream_totals(spark, sf_dir):
-    return catchments(spark, sf_dir).agg(F.round(F.sum("length_m") / 1000, 3).alias("stream_km"), F.round(F.avg("imperv"), 6).alias("mean_imperv"), F.round(F.avg((F.col("water_share") >= 0.5).cast("int")), 6).alias("water_share"))
+    """Length, mean imperviousness, shares of water and of sea, and links by order."""
+    c = catchments(spark, sf_dir)
+    totals = c.agg(F.round(F.sum("length_m") / 1000, 3).alias("stream_km"), F.round(F.avg("imperv"), 6).alias("mean_imperv"), F.round(F.avg((F.col("water_share") >= 0.5).cast("int")), 6).alias("water_share"))
+    sea = survey(spark, sf_dir)[0].agg(F.round(F.avg(streams.sea(F.col("class"), F.col("z"), level=300.0).cast("int")), 6).alias("sea_share"))
+    orders = runoff.strahler(c.select("id", "downstream")).groupBy("strahler").count().agg(F.sort_array(F.collect_list(F.struct("strahler", "count"))).alias("o"))
+    text = F.concat_ws(" ", F.transform("o", lambda x: F.concat_ws(":", x.strahler, x["count"]))).alias("links_by_order")
+    return totals.crossJoin(F.broadcast(sea)).crossJoin(F.broadcast(orders.select(text)))  # one row each
 
 
 @query("""WITH s AS (SELECT d.source, l.quality AS label, d.n_chars AS v FROM labels l JOIN documents d USING (doc_id)),
@@ -191,3 +199,32 @@ def marker_radii(spark, sf_dir):
 def areal_rain(spark, sf_dir):
     """Mean rain over the catchments that have cells."""
     return catchments(spark, sf_dir).where("area_ha > 0").agg(F.round(F.avg(F.col("imperv") * 100), 6).alias("areal_mm"), F.count(F.lit(1)).alias("catchments"))
+
+
+@query("""SELECT CASE WHEN p_size % 3 = 0 THEN 'Tertiary' WHEN p_size % 3 = 1 THEN 'Secondary' ELSE 'Primary' END AS layer, count(*) AS drains, round(sum(p_retailprice) / 1000, 3) AS km FROM part GROUP BY 1""")
+def drain_layers(spark, sf_dir):
+    """Each class of drains as the map's layer of it: its own features only."""
+    kind = F.when(F.col("p_size") % 3 == 0, "Tertiary").when(F.col("p_size") % 3 == 1, "Secondary").otherwise("Primary")
+    drains = read(spark, sf_dir, "part").select(kind.alias("type"), "p_retailprice")
+    layers = [drains.where(F.col("type") == k).agg(F.lit(k).alias("layer"), F.count(F.lit(1)).alias("drains"), F.round(F.sum("p_retailprice") / 1000, 3).alias("km")) for k in ("Tertiary", "Secondary", "Primary")]
+    return layers[0].unionByName(layers[1]).unionByName(layers[2])
+
+
+@query(f"""WITH {SURVEY}, h AS (SELECT cell, CASE WHEN blocked < 0.9 THEN z / 100 END AS h FROM dem), s AS (SELECT cell, h, least(greatest(coalesce(h, 14), 0), 14) AS c FROM h)
+SELECT cell, floor(CASE WHEN c < 2 THEN 8 + 25 * c / 2 WHEN c < 5 THEN 33 + 33 * (c - 2) / 3 WHEN c < 9 THEN 66 + 92 * (c - 5) / 4 WHEN c < 14 THEN 158 + 64 * (c - 9) / 5 ELSE 222 END)::INT AS r,
+ CASE WHEN h IS NULL THEN 0 ELSE floor(CASE WHEN c < 2 THEN 230 - 25 * c / 2 WHEN c < 5 THEN 205 - 45 * (c - 2) / 3 WHEN c < 9 THEN 160 - 70 * (c - 5) / 4 WHEN c < 14 THEN 90 - 90 * (c - 9) / 5 ELSE 0 END)::INT END AS a FROM s""")
+def height_overlay(spark, sf_dir):
+    """Red and alpha of the overlay of heights, clear where a height is unknown."""
+    c, _ = survey(spark, sf_dir)
+    colour = presentation.hand_colour(F.when(F.col("blocked") < 0.9, F.col("z") / 100))
+    return c.select("cell", colour.alias("c")).select("cell", "c.r", "c.a")
+
+
+@query(f"""WITH {SURVEY}, grad AS (SELECT cell, z, lag(z) OVER r AS u, lead(z) OVER r AS d, lag(z) OVER c AS l, lead(z) OVER c AS e FROM dem WINDOW r AS (PARTITION BY col ORDER BY row), c AS (PARTITION BY row ORDER BY col)),
+s AS (SELECT cell, sqrt(pow(CASE WHEN u IS NULL THEN d - z WHEN d IS NULL THEN z - u ELSE (d - u) / 2 END / 1000, 2) + pow(CASE WHEN l IS NULL THEN e - z WHEN e IS NULL THEN z - l ELSE (e - l) / 2 END / 1000, 2)) AS g FROM grad)
+SELECT cell, round(ln(greatest(1 + cell % 50, 1) * 10 / greatest(g, 0.001)), 5) AS wetness FROM s""")
+def topographic_wetness(spark, sf_dir):
+    """Wetness from the slope and the cells drained (here a stand-in from the cell's number)."""
+    c, _ = survey(spark, sf_dir)
+    s = grid.slope(c, 1000.0)
+    return s.select("cell", F.round(hydro.topographic_wetness(1 + F.col("cell") % 50, 10.0, F.col("slope_deg")), 5).alias("wetness"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ponding.sources import large
@@ -79,3 +79,10 @@ def road_edges(features: DataFrame, nodes: DataFrame) -> DataFrame:
     e = e.join(nodes.select(F.col("node").alias("u")), "u", "left_semi").join(nodes.select(F.col("node").alias("v")), "v", "left_semi")
     back = e.where(~F.col("oneway")).select("eid", F.col("v").alias("u"), F.col("u").alias("v"), "length_m", "name", "oneway", F.reverse("coords").alias("coords"))
     return e.select(*back.columns).unionByName(back)
+
+
+def first_of_ways(streets: DataFrame) -> DataFrame:
+    """streets: u, v, key, highway, name. Of the two directions of a street the first met (the smaller u), and "unnamed" with its kind where it has no name."""
+    w = Window.partitionBy(F.least("u", "v"), F.greatest("u", "v"), "key").orderBy("u", "v")
+    name = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.concat(F.lit("unnamed "), F.coalesce("highway", F.lit("street"))))
+    return streets.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn").withColumn("name", name)

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_rain(spark: SparkSession, path: str) -> DataFrame:
-    """minute, mm_per_h; header lines, malformed rows and negative times are left out."""
+def read_rain(spark: SparkSession, path: str, whole_minutes: bool = False) -> DataFrame:
+    """minute, mm_per_h; header lines, malformed rows and negative times are left out. whole_minutes: times cut to whole minutes, as the drainage model takes them."""
     raw = spark.read.csv(path, schema="minutes string, mm_per_h string")
     out = raw.select(F.col("minutes").try_cast("double").alias("minute"), F.col("mm_per_h").try_cast("double").alias("mm_per_h"))
-    return out.where((F.col("minute") >= 0) & F.col("mm_per_h").isNotNull())
+    out = out.where((F.col("minute") >= 0) & F.col("mm_per_h").isNotNull())
+    return out.withColumn("minute", F.floor("minute").cast("double")) if whole_minutes else out
 
 
 def write_rain(series: DataFrame, path: str, end_minute: int) -> None:
@@ -38,3 +39,8 @@ def read_flooding(spark: SparkSession, path: str) -> DataFrame:
     """Flooded nodes of model results, the largest volume first within a file."""
     f = spark.read.schema(FLOODING).json(path, multiLine=True).withColumn("file", F.input_file_name())
     return f.select("file", "runoff_continuity_pct", "routing_continuity_pct", F.explode("flooded").alias("n")).select("file", "runoff_continuity_pct", "routing_continuity_pct", "n.*").orderBy("file", F.desc("volume_ml"), "node")
+
+
+def flooded_features(flooding: DataFrame, nodes: DataFrame) -> DataFrame:
+    """flooding: of :func:`read_flooding`; nodes: node and the network's attributes. Flooded nodes that the network knows, with its attributes."""
+    return flooding.join(nodes, "node")
