@@ -34,7 +34,7 @@ def catchments(spark: SparkSession, sf_dir: str) -> DataFrame:
         (50.0 + (i * 7919) % 900).cast("double").alias("length_m"),
         ((i % 11) / 20.0).alias("water_share"),
         ((i % 13) / 40.0).alias("low_share"),
-        F.greatest(F.floor(F.col("p_retailprice")) - 1200, F.lit(0)).cast("double").alias("overflow_m3"),
+        F.greatest(F.floor(F.col("p_retailprice")) - 930, F.lit(0)).cast("double").alias("overflow_m3"),
         (((i * 7919) % 10000) / 10000.0).alias("x"),
         (((i * 104729) % 10000) / 10000.0).alias("y"),
     )
@@ -43,7 +43,7 @@ def catchments(spark: SparkSession, sf_dir: str) -> DataFrame:
 CATCHMENTS = """catchments AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS downstream, p_size::DOUBLE AS area_ha,
  (p_partkey % 98) / 100.0::DOUBLE AS imperv, 60.0::DOUBLE + p_partkey % 35 AS cn, 0.1::DOUBLE + (p_partkey % 37) / 10.0::DOUBLE AS slope_pct,
  (50 + (p_partkey * 7919) % 900)::DOUBLE AS length_m, (p_partkey % 11) / 20.0::DOUBLE AS water_share,
- (p_partkey % 13) / 40.0::DOUBLE AS low_share, greatest(floor(p_retailprice)::BIGINT - 1200, 0)::DOUBLE AS overflow_m3,
+ (p_partkey % 13) / 40.0::DOUBLE AS low_share, greatest(floor(p_retailprice)::BIGINT - 930, 0)::DOUBLE AS overflow_m3,
  ((p_partkey * 7919) % 10000) / 10000.0::DOUBLE AS x, ((p_partkey * 104729) % 10000) / 10000.0::DOUBLE AS y FROM part)"""
 
 

@@ -189,10 +189,10 @@ def model_sections(spark, sf_dir):
     return model.node_lines(nodes).select("line").unionByName(pipes)
 
 
-@query("SELECT p_partkey AS id, round(2.5 + 8.5 * least(sqrt(greatest(p_retailprice / 300 - 2, 0)) / sqrt(5.3), 1), 6) AS radius FROM part")
+@query("SELECT p_partkey AS id, round(2.5 + 8.5 * least(sqrt(greatest((p_retailprice - 910) / 15, 0)) / sqrt(5.3), 1), 6) AS radius FROM part")
 def marker_radii(spark, sf_dir):
     """The size of a node's marker from the volume that floods it."""
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(presentation.radius_of(F.col("p_retailprice") / 300 - 2), 6).alias("radius"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.round(presentation.radius_of((F.col("p_retailprice") - 910) / 15), 6).alias("radius"))
 
 
 @query(f"WITH {CATCHMENTS} SELECT round(avg(imperv * 100), 6) AS areal_mm, count(*) AS catchments FROM catchments WHERE area_ha > 0")
