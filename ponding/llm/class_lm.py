@@ -26,6 +26,7 @@ the base score. Other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,13 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ponding.llm.common import discard, materialize, table, total_bytes
+from ponding.llm.common import discard, materialize, partitions, shared_folder, table, total_bytes
 from ponding.llm.sketch import expand, squeeze
 from ponding.llm.tree import fold, of_task
 from ponding.llm.words import SPACE, U, Powers, byte_values, separators, slices, words_of
 
 #: Bytes of text in a block, bytes hashed at a time, bytes of text for one bucket of the vocabulary, blobs that meet in one task.
-BLOCK_BYTES, STEP_BYTES, BUCKET_BYTES, MEET = 8_000_000, 1_000_000, 16_000_000, 4096
+BLOCK_BYTES, STEP_BYTES, BUCKET_BYTES, MEET = 6_000_000, 1_000_000, 16_000_000, 4096
 KEEP, VALUES = separators(SPACE), byte_values(lower=True)
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -65,8 +66,16 @@ def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
     return ((words >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows as a table in the shared folder whose files are dealt out by the keys, so that joins and groups on them need no shuffle of it."""
+    spark, name = df.sparkSession, f"dealt_{uuid.uuid4().hex}"
+    n, path = partitions(spark), f"{shared_folder(spark)}/{name}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def encode(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs: doc_id, text, held_out. Rows (block, bucket, data): bucket -1 has a block's words as places in its dictionary, the others have its stretches."""
+    """docs: doc_id, text, held_out. Rows (block, bucket, data): bucket -1 has a block's words as places in its dictionary, and the dictionary; the others have the dictionary's stretches with counts."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, powers = TaskContext.get().partitionId() << 32, Powers()
@@ -77,7 +86,7 @@ def encode(docs: DataFrame, buckets: int) -> DataFrame:
             words, places = np.unique(hashes, return_inverse=True)
             trained = np.bincount(places[~np.repeat(held, lengths)], minlength=len(words))
             nulls = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
-            rows = [(-1, squeeze(places.astype(np.uint32), lengths.astype(np.int64), ids.fill_null(0).to_numpy(), nulls, held.astype(np.uint8)))]
+            rows = [(-1, squeeze(places.astype(np.uint32), lengths.astype(np.int64), ids.fill_null(0).to_numpy(), nulls, held.astype(np.uint8), words))]
             own = bucket_of(words, buckets)
             cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else []
             rows += [(int(own[i]), squeeze(words[i:j], trained[i:j])) for i, j in zip(cuts, [*cuts[1:], len(own)])]
@@ -166,12 +175,14 @@ class Clustering:
     def __init__(self, docs: DataFrame, classes: int, groups: int):
         self.k, self.groups = classes, groups
         self.buckets = max(16, total_bytes(docs) // BUCKET_BYTES)
-        self.coded = encode(docs, self.buckets)
-        self.payload = self.coded.where("bucket < 0").select("block", "data")
+        coded = encode(docs, self.buckets)
+        # Both lie dealt out by the key they are joined on, once, so that a round shuffles neither.
+        self.payload = dealt(coded.where("bucket < 0").select("block", "data"), "block")
         self.salts = 1 + self.payload.count() // MEET
-        parts = self.coded.where("bucket >= 0")
-        self.dictionary = parts.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(self.salts)).cast("int"))
-        counted = materialize(meet(parts, add_counts, self.salts), "counts")
+        parts = coded.where("bucket >= 0")
+        self.dictionary = dealt(parts.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(self.salts)).cast("int")), "bucket", "salt")
+        discard(coded)
+        counted = materialize(meet(self.dictionary, add_counts, self.salts), "counts")
         stats, top = self.totals(counted)
         self.types, self.words, self.ones, self.twos = stats
         self.vocabulary = self.seeded(counted, top)
@@ -221,8 +232,8 @@ class Clustering:
 
         return materialize(counted.mapInArrow(seed, "bucket long, data binary"), "vocabulary")
 
-    def classed(self) -> DataFrame:
-        """For each stretch of a block's dictionary: its words, their class + 1 (0: not in the vocabulary) and count."""
+    def classed(self, with_counts: bool = False) -> DataFrame:
+        """For each stretch of a block's dictionary: its words' class + 1 (0: not in the vocabulary), and their counts if asked for."""
 
         def look_up(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             blobs = right.column("data").to_pylist()
@@ -233,21 +244,23 @@ class Clustering:
                 at = np.minimum(np.searchsorted(words, own), max(len(words) - 1, 0))
                 known = words[at] == own if len(words) else np.zeros(len(own), bool)
                 at = at[known]
-                kind, seen = np.zeros(len(own), np.uint16), np.zeros(len(own), np.int64)
-                kind[known], seen[known] = classes[at] + 1, counts[at]
-                out.append(squeeze(own, kind, seen))
+                kind, seen = np.zeros(len(own), np.uint16), np.zeros(len(own) * with_counts, np.int64)
+                kind[known] = classes[at] + 1
+                if with_counts:
+                    seen[known] = counts[at]
+                out.append(squeeze(kind, seen))
             return pa.table({"block": left.column("block"), "bucket": left.column("bucket"), "data": pa.array(out, pa.binary())})
 
         salted = self.vocabulary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
         return self.dictionary.groupBy("bucket", "salt").cogroup(salted.groupBy("bucket", "salt")).applyInArrow(look_up, "block long, bucket long, data binary")
 
     def by_block(self, classed: DataFrame, work: Callable[[list[np.ndarray], list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
-        """Calls work with a block's places, lengths, ids, nulls, held_out, and with its dictionary's words, classes and counts."""
-        kinds = (np.uint64, np.uint16, np.int64)
+        """Calls work with a block's places, lengths, ids, nulls, held_out and words, and with the words' classes and counts."""
+        kinds = (np.uint16, np.int64)
 
         def block(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             parts = [expand(b, *kinds) for b in right.sort_by("bucket").column("data").to_pylist()]
-            return work(expand(left.column("data")[0].as_py(), np.uint32, np.int64, np.int64, np.uint8, np.uint8), [np.concatenate([np.zeros(0, t), *(p[i] for p in parts)]) for i, t in enumerate(kinds)])
+            return work(expand(left.column("data")[0].as_py(), np.uint32, np.int64, np.int64, np.uint8, np.uint8, np.uint64), [np.concatenate([np.zeros(0, t), *(p[i] for p in parts)]) for i, t in enumerate(kinds)])
 
         return self.payload.groupBy("block").cogroup(classed.groupBy("block")).applyInArrow(block, schema)
 
@@ -256,8 +269,8 @@ class Clustering:
         k, groups, buckets = self.k, self.groups, self.buckets
 
         def look(payload: list[np.ndarray], dictionary: list[np.ndarray]) -> pa.Table:
-            places, lengths, _, _, held = payload
-            words, kind, _ = dictionary
+            places, lengths, _, _, held, words = payload
+            kind, _ = dictionary
             places, lengths = places[np.repeat(held == 0, lengths)].astype(np.int64), lengths[held == 0]
             ends = np.cumsum(lengths)
             first, last = (ends - lengths)[lengths > 0], ends[lengths > 0] - 1
@@ -391,7 +404,7 @@ def score(docs: DataFrame, held_out: Column, classes: int = 64, sweeps: int = 2,
     c = Clustering(src, classes, groups)
     if c.words:
         c.cluster(sweeps)
-    classed = materialize(c.classed(), "classed")
+    classed = materialize(c.classed(with_counts=True), "classed")
     seen, bigrams = c.looked(classed, None)
     discard(seen)
     documents_learnt, k = int(bigrams[:, -1].sum()), classes
@@ -402,8 +415,8 @@ def score(docs: DataFrame, held_out: Column, classes: int = 64, sweeps: int = 2,
     end_base = np.log10(documents_learnt + 0.5) - below
 
     def work(payload: list[np.ndarray], dictionary: list[np.ndarray]) -> pa.Table:
-        places, lengths, ids, nulls, held = payload
-        _, kind, seen = dictionary
+        places, lengths, ids, nulls, held, _ = payload
+        kind, seen = dictionary
         known = kind > 0
         emitted = np.zeros(len(kind))
         emitted[known] = np.log10((seen[known] - discount) / sizes[kind[known].astype(np.int64) - 1])
