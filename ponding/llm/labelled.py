@@ -18,9 +18,9 @@ def remainder(modulus: int, doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus, F.lit(0)).cast("int")
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, limit: int, most_bytes: int = MOST_BYTES) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, limit: int, most_bytes: int = MOST_BYTES, longest: int = LONGEST_LEARNT) -> DataFrame:
     """(doc_id, text, y) of labelled documents outside the held-out part, in the order of a hash of the doc_id: at most
-    ``limit`` rows, one per doc_id, with at most ``most_bytes`` bytes of text in all.
+    ``limit`` rows, one per doc_id, with at most ``most_bytes`` bytes of text in all, from texts of up to ``longest`` bytes.
 
     A document with labels of both kinds is left out; of rows that share a doc_id the smallest
     text stands. At most ``limit`` ids are broadcast, and as many sizes go to the driver. Null
@@ -30,7 +30,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_ou
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y1")).where("y = y1").select("doc_id", "y")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     size = F.octet_length("text").cast("long")
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (size <= LONGEST_LEARNT)).join(F.broadcast(known), "doc_id")
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (size <= longest)).join(F.broadcast(known), "doc_id")
     rows = materialize(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")), "labelled")
     place = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id"))
     total = 0

@@ -3,7 +3,7 @@
 Bytes are embedded; learned filters slide over chunks of 16 bytes, 8 apart, that cover the
 whole document; each filter keeps its strongest response, and two dense layers combine
 these into one probability. It is trained here, on the driver, on at most ``limit``
-labelled rows and ``most_bytes`` bytes, and scores every whole text in one narrow pass.
+labelled rows and ``most_bytes`` bytes, of texts of up to ``longest`` bytes, and scores every whole text in one narrow pass.
 
 Nulls: a null or empty text is one chunk of padding. Without labels every score is 0.5.
 A null doc_id is never held out nor learnt from. Repeated rows get equal scores, long texts
@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ponding.llm.common import documents, table
-from ponding.llm.labelled import MOST_BYTES, remainder, sample
-from ponding.llm.words import ranges, slices
+from ponding.llm.labelled import LONGEST_LEARNT, MOST_BYTES, remainder, sample
+from ponding.llm.words import slices
 
 WIDTH, STEP, EMBED, FILTERS, HIDDEN = 16, 8, 6, 24, 12
+#: Chunks that are scored at a time.
+BLOCK = 1 << 15
 Net = dict[str, np.ndarray]
 
 
@@ -33,7 +35,8 @@ def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     padded = STEP * np.maximum(-(-size // STEP), 1) + STEP
     begin = np.cumsum(padded) - padded
     out = np.zeros(int(padded.sum()) + WIDTH, np.uint8)
-    out[ranges(begin, size)] = data
+    for at, i, j in zip(begin.tolist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+        out[at : at + j - i] = data[i:j]
     return out, np.r_[begin, padded.sum()] // STEP
 
 
@@ -51,6 +54,19 @@ def pooled(net: Net, padded: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
     return np.maximum.reduceat(act, first[:-1], axis=0), act, x
 
 
+def strongest(net: Net, padded: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The largest response of each filter in each document, of :data:`BLOCK` chunks at a time: memory does not grow with a text."""
+    top = np.full((len(first) - 1, FILTERS), -np.inf, net["filters"].dtype)
+    for i in range(0, int(first[-1]), BLOCK):
+        j = min(i + BLOCK, int(first[-1]))
+        act = chunks(net, padded[i * STEP : (j - 1) * STEP + WIDTH], j - i) @ net["filters"]
+        a, b = int(np.searchsorted(first, i, "right")) - 1, int(np.searchsorted(first, j, "left"))
+        last = first[a + 1 : b + 1] - 1
+        act[last[last < j] - i] = -np.inf  # the chunk that would reach into the next document
+        top[a:b] = np.maximum(top[a:b], np.maximum.reduceat(act, np.maximum(first[a:b] - i, 0), axis=0))
+    return top
+
+
 def head(net: Net, top: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From the strongest responses, set against what a document of ``count`` chunks would reach, to a probability."""
     a = np.tanh(top + net["shift"] + np.outer(np.log(count) / 4, net["growth"]).astype(np.float32))
@@ -60,7 +76,7 @@ def head(net: Net, top: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.n
 
 def score_batch(net: Net, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     padded, first = layout(data, offsets)
-    return head(net, pooled(net, padded, first)[0], np.diff(first) - 1)[2].astype(float)
+    return head(net, strongest(net, padded, first), np.diff(first) - 1)[2].astype(float)
 
 
 def start(rng: np.random.Generator) -> Net:
@@ -136,9 +152,9 @@ def score(docs: DataFrame, net: Net | None) -> DataFrame:
     return docs.mapInArrow(scored, "doc_id long, score double")
 
 
-def op8_byte_network(spark, sf_dir: str, limit: int = 4_000, most_bytes: int = MOST_BYTES // 2) -> DataFrame:
+def op8_byte_network(spark, sf_dir: str, limit: int = 4_000, most_bytes: int = MOST_BYTES // 2, longest: int = LONGEST_LEARNT) -> DataFrame:
     docs = documents(table(spark, sf_dir, "documents"))
-    rows = sample(docs, table(spark, sf_dir, "labels"), "quality", 3, 1, limit, most_bytes)
+    rows = sample(docs, table(spark, sf_dir, "labels"), "quality", 3, 1, limit, most_bytes, longest)
     net = learn([(r.text, r.y) for r in sorted(rows.toLocalIterator(), key=lambda r: r.doc_id)])
     out = score(docs, net)
     return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ponding.llm.common import documents, table
-from ponding.llm.labelled import MOST_BYTES, remainder, sample
+from ponding.llm.labelled import LONGEST_LEARNT, MOST_BYTES, remainder, sample
 from ponding.llm.words import NOT_ALNUM, Powers, Rolling, U, byte_values, separators, slices, word_spans
 
 #: Identity terms by kind, for the languages of the documents (fixed values); a term is swapped for the next of its kind.
@@ -223,8 +223,8 @@ def score(docs: DataFrame, model: Model, terms: Terms = IDENTITY_TERMS) -> DataF
     return docs.mapInArrow(scored, "doc_id long, score double, twin_score double")
 
 
-def op6_toxicity(spark, sf_dir: str, limit: int = 10_000, most_bytes: int = MOST_BYTES, terms: Terms = IDENTITY_TERMS) -> DataFrame:
+def op6_toxicity(spark, sf_dir: str, limit: int = 10_000, most_bytes: int = MOST_BYTES, terms: Terms = IDENTITY_TERMS, longest: int = LONGEST_LEARNT) -> DataFrame:
     docs = documents(table(spark, sf_dir, "documents"))
-    model = learn(examples(sample(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2, limit, most_bytes), terms), terms)
+    model = learn(examples(sample(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2, limit, most_bytes, longest), terms), terms)
     out = score(docs, model, terms)
     return out.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "twin_score")

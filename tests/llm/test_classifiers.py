@@ -54,6 +54,25 @@ def test_quality_network_learns():
     assert s[0] < 0.5 < s[1] and 0 <= s[2] <= 1
 
 
+def test_blocks_of_chunks_give_the_same(monkeypatch):
+    """Texts of all lengths, one of a megabyte: the largest responses do not depend on the blocks."""
+    rng = np.random.default_rng(5)
+    net = quality_net.start(rng)
+    raw = [rng.integers(1, 255, n, np.uint8).tobytes() for n in (0, 1, 7, 8, 9, 15, 16, 17, 100, 1_000_003, 0, 333, 64)]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    padded, first = quality_net.layout(data, offsets)
+    want = quality_net.pooled(net, padded, first)[0]
+    for block in (1, 3, 64, 1 << 15, 1 << 22):
+        if block > 3:
+            monkeypatch.setattr(quality_net, "BLOCK", block)
+            assert np.allclose(quality_net.strongest(net, padded, first), want, atol=1e-6)
+    small = np.cumsum([0, *map(len, raw[:9])])
+    padded, first = quality_net.layout(data[: small[-1]], small)
+    for block in (1, 2, 3, 5):
+        monkeypatch.setattr(quality_net, "BLOCK", block)
+        assert np.allclose(quality_net.strongest(net, padded, first), quality_net.pooled(net, padded, first)[0], atol=1e-6)
+
+
 def test_gradients():
     """Back-propagation agrees with finite differences."""
     rng = np.random.default_rng(0)
