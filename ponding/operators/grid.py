@@ -144,11 +144,15 @@ def accumulate(flow: DataFrame, weight: Column | None = None) -> DataFrame:
     """cell, acc: how much drains through each cell, itself included. Paths are doubled, so rounds grow with the log of the longest path."""
     one = weight if weight is not None else F.lit(1.0)
     acc = settle(flow.select("cell", one.alias("acc"), F.when(F.col("rec") != F.col("cell"), F.col("rec")).alias("ptr")))
-    while acc.where(F.col("ptr").isNotNull()).limit(1).count():
+    for _ in range(64):
+        if not acc.where(F.col("ptr").isNotNull()).limit(1).count():
+            return acc.select("cell", "acc")
         given = acc.where(F.col("ptr").isNotNull()).groupBy(F.col("ptr").alias("cell")).agg(F.sum("acc").alias("more"))
         ahead = acc.select(F.col("cell").alias("ptr"), F.col("ptr").alias("ptr2"))
-        acc = settle(acc.join(ahead, "ptr", "left").join(given, "cell", "left").select("cell", (F.col("acc") + F.coalesce("more", F.lit(0.0))).alias("acc"), F.col("ptr2").alias("ptr")))
-    return acc.select("cell", "acc")
+        new = settle(acc.join(ahead, "ptr", "left").join(given, "cell", "left").select("cell", (F.col("acc") + F.coalesce("more", F.lit(0.0))).alias("acc"), F.col("ptr2").alias("ptr")))
+        drop(acc)
+        acc = new
+    raise ValueError("the cells drain in a circle")
 
 
 TILE = 64

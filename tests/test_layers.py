@@ -5,8 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ponding.functions import geo, presentation
-from ponding.operators import profile, resample
+from ponding.functions import geo, hydro, presentation
+from ponding.operators import grid, profile, resample
 from ponding.sources import geojson, layers, tabular
 
 
@@ -63,3 +63,11 @@ def test_small_functions(spark, tmp_path):
         with pytest.raises(ValueError):
             presentation.check_request(**bad)
     presentation.check_request("delhi", "two-wheeler", 15)
+    shares = spark.createDataFrame([(0.005,), (0.02,), (0.5,), (0.99,)], "x double").select(hydro.clamp_imperviousness(F.col("x")).alias("y")).collect()
+    assert [r.y for r in shares] == [0.0, 0.05, 0.5, 0.98]
+
+
+def test_circles_are_told(spark):
+    flow = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (5, 5)], "cell long, rec long")
+    with pytest.raises(ValueError):
+        grid.jump(flow, flow.where("cell = 5").select("cell"), rounds=4)
