@@ -22,7 +22,8 @@ assert not spark.sparkContext.parallelize([0], 1).map(importable).first()
 import __spark_entry__
 for name, query in sorted(__spark_entry__.queries().items()):
     if name.startswith("op") and name[2].isdigit():
-        assert query(spark, "/root/testdata/sf0.001").count() >= 200, name
+        # The smallest table has 200 documents, but 87 turns of conversations.
+        assert query(spark, "/root/testdata/sf0.001").count() >= (50 if name.startswith("op12_") else 200), name
 print("done")
 """
 
