@@ -36,9 +36,9 @@ def stream_cells(flow: DataFrame, acc: DataFrame, least: float) -> DataFrame:
     return settle(cells.join(below, "rec", "left").select("cell", "rec", "acc", "inflow", terminal.alias("terminal")))
 
 
-def links_of(cells: DataFrame) -> DataFrame:
-    """cells of :func:`stream_cells` with link, the terminal cell of each one's link."""
-    to = jump(cells.select("cell", F.when(F.col("terminal"), F.col("cell")).otherwise(F.col("rec")).alias("rec")), cells.where("terminal").select("cell"))
+def links_of(cells: DataFrame, n: int | None = None) -> DataFrame:
+    """cells of :func:`stream_cells` with link, the terminal cell of each one's link. n: as in :func:`jump`."""
+    to = jump(cells.select("cell", F.when(F.col("terminal"), F.col("cell")).otherwise(F.col("rec")).alias("rec")), cells.where("terminal").select("cell"), n=n)
     return settle(cells.join(to.withColumnRenamed("target", "link"), "cell"))
 
 
@@ -67,14 +67,14 @@ def gradient(drop: Column, length: Column) -> Column:
     return F.when(length > 0, F.greatest(drop, F.lit(0.0)) / length).otherwise(0.0)
 
 
-def catchments(flow: DataFrame, linked: DataFrame, heights: DataFrame, at_least: DataFrame | None = None) -> DataFrame:
+def catchments(flow: DataFrame, linked: DataFrame, heights: DataFrame, at_least: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """cell, link (of the first stream cell downstream, null where none is reached) and hand, the height above it.
 
     ``at_least``: cells that count as streams for the height, instead of all linked ones: the
-    major streams for the valley height.
+    major streams for the valley height. n: as in :func:`jump`.
     """
     stop = linked.select("cell") if at_least is None else at_least.select("cell")
-    to = jump(flow.select("cell", "rec"), stop)
+    to = jump(flow.select("cell", "rec"), stop, n=n)
     link = linked.select(F.col("cell").alias("target"), "link")
     reached = to.join(stop.withColumnRenamed("cell", "target"), "target", "left_semi").join(link, "target")
     z, below = heights.select("cell", "z"), heights.select(F.col("cell").alias("target"), F.col("z").alias("z_t"))

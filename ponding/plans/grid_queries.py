@@ -103,15 +103,16 @@ def flow_direction(spark, sf_dir):
 @query(f"""WITH RECURSIVE {FLOW}, walk AS (SELECT cell, cell AS pos FROM flow UNION ALL SELECT w.cell, f.rec FROM walk w JOIN flow f ON f.cell = w.pos WHERE f.rec <> f.cell)
 SELECT pos AS cell, count(*)::DOUBLE AS acc FROM walk GROUP BY pos""")
 def flow_accumulation(spark, sf_dir):
-    return grid.accumulate(downhill(spark, sf_dir)[1])
+    _, flow, n = downhill(spark, sf_dir)
+    return grid.accumulate(flow, n=n)
 
 
 @query(f"""WITH RECURSIVE {FLOW}, walk AS (SELECT f.cell, f.cell AS pos, 0 AS n FROM flow f UNION ALL SELECT w.cell, f.rec, n + 1 FROM walk w JOIN flow f ON f.cell = w.pos JOIN dem d ON d.cell = w.pos WHERE f.rec <> f.cell AND d.z >= 400),
 t AS (SELECT cell, arg_max(pos, n) AS target FROM walk GROUP BY cell) SELECT t.cell, t.target, greatest(d.z - e.z, 0) / 100 AS hand_m FROM t JOIN dem d ON d.cell = t.cell JOIN dem e ON e.cell = t.target""")
 def height_above_drainage(spark, sf_dir):
     """Each cell's first low cell downstream, and its height above it."""
-    d, flow, _ = downhill(spark, sf_dir)
-    target = grid.jump(flow, d.where("z < 400").select("cell"))
+    d, flow, n = downhill(spark, sf_dir)
+    target = grid.jump(flow, d.where("z < 400").select("cell"), n=n)
     d = d.select("cell", "z")
     at = d.select(F.col("cell").alias("target"), F.col("z").alias("z_t"))
     return target.join(d, "cell").join(at, "target").select("cell", "target", (F.greatest(F.col("z") - F.col("z_t"), F.lit(0.0)) / 100).alias("hand_m"))
@@ -128,7 +129,7 @@ lw AS (SELECT cell, cell AS pos FROM t UNION ALL SELECT l.cell, t.rec FROM lw l
 def routed(spark, sf_dir):
     """The terrain, its cells with their receivers, the linked stream cells, and the side of the grid."""
     d, flow, n = downhill(spark, sf_dir)
-    return d, flow, streams.links_of(streams.stream_cells(flow, grid.accumulate(flow), STREAM)), n
+    return d, flow, streams.links_of(streams.stream_cells(flow, grid.accumulate(flow, n=n), STREAM), n), n
 
 
 @query(f"WITH RECURSIVE {STREAMS} SELECT t.cell, inflow, terminal, link FROM t JOIN linked USING (cell)")
@@ -151,8 +152,8 @@ def stream_links(spark, sf_dir):
 SELECT link, count(*) AS cells, round(avg(greatest(a.z - b.z, 0)), 4) AS mean_hand, max(greatest(a.z - b.z, 0)) AS top FROM cw JOIN linked l ON l.cell = cw.pos JOIN dem a ON a.cell = cw.cell JOIN dem b ON b.cell = cw.pos GROUP BY link""")
 def micro_catchments(spark, sf_dir):
     """The cells that drain into each link, and their height above it."""
-    d, flow, linked, _ = routed(spark, sf_dir)
-    c = streams.catchments(flow, linked, d.select("cell", "z")).where("link is not null")
+    d, flow, linked, n = routed(spark, sf_dir)
+    c = streams.catchments(flow, linked, d.select("cell", "z"), n=n).where("link is not null")
     return c.groupBy("link").agg(F.count(F.lit(1)).alias("cells"), F.round(F.avg("hand"), 4).alias("mean_hand"), F.max("hand").alias("top"))
 
 
@@ -230,7 +231,7 @@ SELECT zone, area, perimeter::DOUBLE AS perimeter, balance::BIGINT AS balance FR
 def catchment_polygons(spark, sf_dir):
     """The catchments of all links as polygons: their areas and perimeters, and outer rings less holes."""
     d, flow, linked, n = routed(spark, sf_dir)
-    c = streams.catchments(flow, linked, d.select("cell", "z")).where("link is not null")
+    c = streams.catchments(flow, linked, d.select("cell", "z"), n=n).where("link is not null")
     cells = c.select(F.floor(F.col("cell") / n).alias("row"), F.pmod("cell", F.lit(n)).alias("col"), F.col("link").alias("zone"))
     rings = zones.vectorise(cells)
     size = F.size("coords")
