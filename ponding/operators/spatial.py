@@ -1,4 +1,7 @@
-"""Spatial joins without an index: points meet by cells of a grid as wide as the radius, then by distance."""
+"""Spatial joins without an index: points meet by cells of a grid as wide as the radius, then by distance.
+
+Points of one place are joined as one, so crowds in one place cost no pairs.
+"""
 
 from __future__ import annotations
 
@@ -30,20 +33,34 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return l.join(r, ["bx", "by"]).withColumn("d", d).where(F.col("d") <= radius).select("id", "other", "d")
 
 
+def _places(df: DataFrame) -> DataFrame:
+    """The places where points lie, each once, named by its coordinates, with how many points there are."""
+    return df.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.struct("x", "y"))
+
+
+def _first(df: DataFrame) -> DataFrame:
+    """The point with the smallest id of each place."""
+    return df.groupBy("x", "y").agg(F.min("id").alias("id"))
+
+
 def nearest_within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """For each left point the nearest right one within the radius (ties: the smaller id), else null."""
-    best = near_pairs(left, right, radius).groupBy("id").agg(F.min(F.struct("d", "other")).alias("b"))
-    return left.join(best, "id", "left").select("id", F.col("b.other").alias("other"), F.col("b.d").alias("d"))
+    best = near_pairs(_places(left), _first(right), radius).groupBy("id").agg(F.min(F.struct("d", "other")).alias("b")).select("id.x", "id.y", "b")
+    return left.join(best, ["x", "y"], "left").select("id", F.col("b.other").alias("other"), F.col("b.d").alias("d"))
 
 
 def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """Left points with a right one closer than the radius."""
-    return left.join(near_pairs(left, right, radius).where(F.col("d") < radius).select("id").distinct(), "id", "left_semi")
+    near = near_pairs(_places(left), _first(right), radius).where(F.col("d") < radius).select("id.x", "id.y").distinct()
+    return left.join(near, ["x", "y"], "left_semi").select(*left.columns)
 
 
 def crowd(points: DataFrame, radius: float) -> DataFrame:
     """How many points lie within the radius of each, itself included."""
-    return near_pairs(points, points, radius).groupBy("id").agg(F.count(F.lit(1)).alias("near"))
+    p = _places(points)
+    pairs = near_pairs(p, p, radius).join(p.select(F.col("id").alias("other"), "n"), "other")
+    near = pairs.groupBy("id").agg(F.sum("n").alias("near")).select("id.x", "id.y", "near")
+    return points.join(near, ["x", "y"]).groupBy("id").agg(F.sum("near").alias("near"))
 
 
 def sample_raster(points: DataFrame, raster: DataFrame, west: float, south: float, east: float, north: float, n: int) -> DataFrame:
