@@ -58,7 +58,12 @@ def summary(edges: DataFrame) -> DataFrame:
 
 
 def edge_cells(edges: DataFrame, west: float, south: float, east: float, north: float, step_m: float = 6.0, n: int = 240) -> DataFrame:
-    """Which cells each edge crosses: points at k/n of every segment, at most step_m apart, and the last vertex. Independent of any depth."""
+    """Which cells each edge crosses, each cell once. Independent of any depth."""
+    return edge_points(edges, west, south, east, north, step_m, n).distinct()
+
+
+def edge_points(edges: DataFrame, west: float, south: float, east: float, north: float, step_m: float = 6.0, n: int = 240) -> DataFrame:
+    """eid, row, col of points at k/n of every segment, at most step_m apart, and of the last vertex: a cell for each point. Nothing is shuffled."""
     size = F.size("coords")
     segs = edges.select("eid", F.posexplode(F.zip_with(F.slice("coords", F.lit(1), size - 1), F.slice("coords", F.lit(2), size - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("k", "s"), (size - 2).alias("last"))
     parts = F.greatest(F.lit(1), F.ceil(flat_distance(F.col("s.a.lon"), F.col("s.a.lat"), F.col("s.b.lon"), F.col("s.b.lat"), 111_320.0) / step_m)).cast("int")
@@ -66,11 +71,11 @@ def edge_cells(edges: DataFrame, west: float, south: float, east: float, north:
     t = F.col("i") / F.col("parts")
     lon, lat = F.col("s.a.lon") + (F.col("s.b.lon") - F.col("s.a.lon")) * t, F.col("s.a.lat") + (F.col("s.b.lat") - F.col("s.a.lat")) * t
     at = cell_of(lat, lon, F.lit(west), F.lit(south), F.lit(east), F.lit(north), n)
-    return pts.select("eid", at.alias("at")).select("eid", "at.row", "at.col").distinct()
+    return pts.select("eid", at.alias("at")).select("eid", "at.row", "at.col")
 
 
 def edge_depths(bridge: DataFrame, cube: DataFrame) -> DataFrame:
-    """Deepest water on each edge at each lead; only the join depends on the cube."""
+    """Deepest water on each edge at each lead; only the join depends on the cube. A bridge may name a cell of an edge more than once."""
     return bridge.join(cube, ["row", "col"]).groupBy("eid", "lead").agg(F.max("depth_cm").alias("depth_cm"))
 
 

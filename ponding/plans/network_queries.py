@@ -184,7 +184,7 @@ SELECT id AS eid, lead, max((row * 7 + col * 13 + lead) % 151) AS depth_cm FROM
 def edge_depths(spark, sf_dir):
     """Densified edges meet the depth cube by cells; the deepest cell counts."""
     e = lines(spark, sf_dir).where(F.size("coords") >= 2).withColumnRenamed("id", "eid")
-    bridge = network.edge_cells(e, 77.60, 12.90, 77.70, 13.00, step_m=60.0, n=60)
+    bridge = network.edge_points(e, 77.60, 12.90, 77.70, 13.00, step_m=60.0, n=60)
     cube = spark.range(3600).select((F.col("id") / 60).cast("int").alias("row"), (F.col("id") % 60).cast("int").alias("col")).crossJoin(F.broadcast(spark.range(4).select((F.col("id") * 60).alias("lead"))))
     return network.edge_depths(bridge, cube.withColumn("depth_cm", (F.col("row") * 7 + F.col("col") * 13 + F.col("lead")) % 151))
 
