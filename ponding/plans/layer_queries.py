@@ -149,7 +149,7 @@ def receiver_shares(spark, sf_dir):
     """How much land lies in catchments where overflow stands, and how many spots lie in them."""
     c = catchments(spark, sf_dir)
     ponds = runoff.arrivals(c).where("pond_cm > 0").select("id", F.lit(True).alias("in"))
-    both = c.join(ponds, "id", "left").withColumn("in", F.coalesce("in", F.lit(False)))
+    both = c.join(ponds.hint("merge"), "id", "left").withColumn("in", F.coalesce("in", F.lit(False)))
     return both.agg(F.round(F.sum(F.when(F.col("in"), F.col("area_ha"))) / F.sum("area_ha"), 6).alias("land_share"), F.count_if(F.col("in") & (F.col("cn") >= 90)).alias("spots_inside"), F.count_if(F.col("cn") >= 90).alias("spots"))
 
 
