@@ -2,41 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ponding.operators.tiles import by_tile
+
 
 def bilinear(df: DataFrame, n: int, m: int, value: str = "v") -> DataFrame:
-    """An n-grid at the nodes of an m-grid with the same corners: four neighbours, weighted."""
+    """An n-grid at the nodes of an m-grid with the same corners: four neighbours, weighted. Nodes come from the tile of their first neighbour."""
     step = (n - 1) / (m - 1)
-    target = df.sparkSession.range(m * m).select(F.floor(F.col("id") / m).cast("int").alias("i"), (F.col("id") % m).cast("int").alias("j"))
-    pos = target.withColumn("y", F.col("i") * step).withColumn("x", F.col("j") * step)
-    pos = pos.withColumn("r0", F.least(F.floor("y"), F.lit(n - 2)).cast("int")).withColumn("c0", F.least(F.floor("x"), F.lit(n - 2)).cast("int"))
-    corners = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
-    w = pos.withColumn("k", F.explode(corners)).withColumn("row", F.col("r0") + F.col("k.a")).withColumn("col", F.col("c0") + F.col("k.b"))
-    side = lambda p, c, k: F.when(F.col(k) == 1, F.col(p) - F.col(c)).otherwise(1 - (F.col(p) - F.col(c)))
-    w = w.withColumn("w", side("y", "r0", "k.a") * side("x", "c0", "k.b"))
-    return w.join(df, ["row", "col"]).groupBy("i", "j").agg(F.sum(F.col("w") * F.col(value)).alias(value)).select(F.col("i").alias("row"), F.col("j").alias("col"), value)
+
+    def nodes(_: tuple, arrays: dict, there: np.ndarray, top: int, left: int) -> pd.DataFrame:
+        at = np.arange(m)
+        first = np.minimum(np.floor(at * step), n - 2).astype("i8")
+        i, j = (at[(first > low) & (first < low + len(there) - 1)] for low in (top, left))
+        r, c = first[i] - top, first[j] - left
+        y, x = (i * step - first[i])[:, None], (j * step - first[j])[None, :]
+        total, some, known = np.zeros((len(i), len(j))), np.zeros((len(i), len(j)), bool), np.zeros((len(i), len(j)), bool)
+        for a, wy in ((0, 1 - y), (1, y)):
+            for b, wx in ((0, 1 - x), (1, x)):
+                v = arrays["v"][np.ix_(r + a, c + b)]
+                total += np.nan_to_num(v) * (wy * wx)
+                some |= ~np.isnan(v)
+                known |= there[np.ix_(r + a, c + b)]
+        p, q = np.nonzero(known)
+        return pd.DataFrame({"row": i[p], "col": j[q], "v": pd.array(np.where(some, total, np.nan)[p, q], "Float64")})
+
+    v = df.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(value).cast("double").alias("v"))
+    return by_tile(v, nodes, "row int, col int, v double").withColumnRenamed("v", value)
 
 
-def cubic(x: Column) -> Column:
+def cubic(x: np.ndarray) -> np.ndarray:
     """The cubic kernel of four taps with slope -1/2 at 1."""
-    d = F.abs(x)
-    return F.when(d < 1, (1.5 * d - 2.5) * d * d + 1).when(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2).otherwise(0.0)
+    d = np.abs(x)
+    return np.where(d < 1, (1.5 * d - 2.5) * d * d + 1, np.where(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2, 0.0))
 
 
 def bicubic(df: DataFrame, factor: int, n: int, *values: str) -> DataFrame:
-    """An n-grid (row, col, values) enlarged by a whole factor, one axis after the other; beyond the border the taps that are left count more.
+    """An n-grid (row, col, values) enlarged by a whole factor, one axis after the other, within tiles and their rims; beyond the border the taps that are left count more.
 
     Pixel i of the larger grid lies at (i + 1/2) / factor - 1/2 of the smaller one.
     """
-    for axis, other in (("col", "row"), ("row", "col")):
-        at = F.col(axis)
-        first, last = F.greatest(F.ceil((at - 1.5) * factor - 0.5), F.lit(0)), F.least(F.floor((at + 2.5) * factor - 0.5), F.lit(n * factor - 1))
-        spread = df.select(other, at.alias("from"), *values, F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias(axis))
-        spread = spread.withColumn("w", cubic((F.col(axis) + 0.5) / factor - 0.5 - F.col("from")))
-        df = spread.groupBy(other, axis).agg(*[(F.sum(F.col(v) * F.col("w")) / F.sum("w")).alias(v) for v in values])
-    return df
+
+    def pixels(_: tuple, arrays: dict, there: np.ndarray, top: int, left: int) -> pd.DataFrame:
+        size = len(there)
+        at, taps = [], []
+        for low in (top, left):
+            i = np.arange(max((low + 2) * factor, 0), min((low + size - 2) * factor, n * factor))
+            at.append(i)
+            taps.append(cubic(((i + 0.5) / factor - 0.5)[:, None] - np.arange(low, low + size)[None, :]))
+        down, across = taps
+        weight = there @ across.T
+        reached = (there.astype(int) @ (across != 0).T.astype(int)) > 0
+        here = (down != 0).astype(int) @ reached.astype(int) > 0
+        p, q = np.nonzero(here)
+        out = {"row": at[0][p], "col": at[1][q]}
+        for k in values:
+            along = np.divide(np.nan_to_num(arrays[k]) @ across.T, weight, out=np.zeros_like(weight), where=reached)
+            out[k] = np.divide(down @ along, down @ reached, out=np.full(here.shape, np.nan), where=here)[p, q]
+        return pd.DataFrame(out)
+
+    v = df.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), *[F.col(k).cast("double").alias(k) for k in values])
+    return by_tile(v, pixels, ", ".join(["row int, col int", *(f"`{k}` double" for k in values)]), rim=2)
 
 
 def box_rain(granules: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:

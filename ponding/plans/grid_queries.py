@@ -29,7 +29,7 @@ def depth_cube(spark, sf_dir):
     """Depth in cm for each lead and cell of the demonstration storm, before smoothing; drains take less where they are blocked."""
     x, y = F.col("x"), F.col("y")
     c, _ = terrain(spark, sf_dir)
-    out = grid.storage_balance(c, hydro.storm(F.col("t"), x, y), hydro.synthetic_imperviousness(x, y), hydro.drain_capacity(x, y) * (1 - 0.3 * F.col("blocked")))
+    out = grid.storage_balance(c.select("row", "col", "x", "y", "blocked", "low"), hydro.storm(F.col("t"), x, y), hydro.synthetic_imperviousness(x, y), hydro.drain_capacity(x, y) * (1 - 0.3 * F.col("blocked")))
     return out.withColumn("depth_cm", hydro.depth_cm(F.col("storage"), F.col("low")))
 
 

@@ -45,3 +45,45 @@ def test_only_border_cells_take_part_in_the_rounds(spark, monkeypatch):
     monkeypatch.setattr(grid, "settle", lambda df: (out := keep(df), seen.append(out.count()))[0])
     grid.accumulate(flow, n=n, tile=16).count()
     assert sorted(seen)[-2] <= 4 * 60 and max(seen) == flow.count()
+
+
+def exchanged(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_filters_over_several_tiles(spark):
+    from ponding.operators import resample
+
+    n = 70
+    a = np.random.default_rng(5).random((n, n))
+    df = spark.createDataFrame([(r, c, float(a[r, c])) for r in range(n) for c in range(n)], "row int, col int, v double")
+
+    def array(out, m):
+        got = np.full((m, m), np.nan)
+        for r in out.collect():
+            got[r.row, r.col] = r.v
+        return got
+
+    w = np.exp(-0.5 * (np.arange(-5, 6) / 1.2) ** 2)
+    rows = np.stack([np.convolve(line, w / w.sum(), "valid") for line in np.pad(a, 5, mode="symmetric")])
+    smooth = grid.gaussian(df, n, 1.2, "v", [])
+    assert exchanged(smooth) == 1
+    assert np.abs(array(smooth, n) - np.stack([np.convolve(line, w / w.sum(), "valid") for line in rows.T]).T).max() < 1e-12
+    m = 2 * n
+    y = np.arange(m) * ((n - 1) / (m - 1))
+    lin = np.maximum(1 - np.abs(y[:, None] - np.arange(n)), 0)
+    large = resample.bilinear(df, n, m, "v")
+    assert exchanged(large) == 1
+    assert np.abs(array(large, m) - lin @ a @ lin.T).max() < 1e-12
+    d = np.abs((np.arange(3 * n)[:, None] + 0.5) / 3 - 0.5 - np.arange(n))
+    cub = np.where(d < 1, 1.5 * d**3 - 2.5 * d**2 + 1, np.where(d < 2, -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2, 0))
+    cub /= cub.sum(1, keepdims=True)
+    larger = resample.bicubic(df, 3, n, "v")
+    assert exchanged(larger) == 1
+    assert np.abs(array(larger, 3 * n) - cub @ a @ cub.T).max() < 1e-12
+
+
+def test_storage_shuffles_nothing(spark):
+    g = grid.cells(spark, 30)
+    out = grid.storage_balance(g, F.col("t") * 1.0, F.lit(1.0), F.lit(40.0))
+    assert exchanged(out) == 0 and out.count() == 900 * 13
