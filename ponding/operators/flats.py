@@ -46,7 +46,7 @@ def flat_gradient(filled: DataFrame, n: int, value: str = "w", tile: int = TILE)
     w = filled.select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(value).cast("double").alias("w"))
     about = neighbours(w, "w").groupBy("row", "col").agg(F.min("v2").alias("low"), F.max("v2").alias("top"))
     drains = edge | F.coalesce(F.col("low") < F.col("w"), F.lit(False))
-    cells = w.join(about, ["row", "col"], "left").select("row", "col", "w", drains.alias("drains"), (~drains & (F.col("top") > F.col("w"))).alias("high"))
+    cells = w.join(about.hint("merge"), ["row", "col"], "left").select("row", "col", "w", drains.alias("drains"), (~drains & (F.col("top") > F.col("w"))).alias("high"))
     inf, name = F.lit(float("inf")), (F.col("row") * F.lit(float(n)) + F.col("col"))
     state = settle(cells.select("row", "col", "w", "drains", "high", F.when(F.col("drains"), 0.0).otherwise(inf).alias("towards"), inf.alias("away"), F.when(F.col("drains"), inf).otherwise(name).alias("label")))
     near = lambda axis: F.array_distinct(F.array(*[F.floor((F.col(axis) + d) / tile).cast("int") for d in (-1, 0, 1)]))
@@ -81,7 +81,7 @@ def flat_gradient(filled: DataFrame, n: int, value: str = "w", tile: int = TILE)
             break
     tallest = state.where("not drains and away < double('inf')").groupBy("label").agg(F.max("away").alias("tallest"))
     slope = F.when(F.col("drains"), 0.0).otherwise(2 * F.col("towards") + F.coalesce(F.col("tallest") - F.col("away"), F.lit(0.0)))
-    return settle(state.join(tallest, "label", "left").select("row", "col", "w", "drains", slope.alias("mask")))
+    return settle(state.join(tallest.hint("merge"), "label", "left").select("row", "col", "w", "drains", slope.alias("mask")))
 
 
 def flow_across_flats(filled: DataFrame, n: int, value: str = "w") -> DataFrame:
@@ -94,4 +94,4 @@ def flow_across_flats(filled: DataFrame, n: int, value: str = "w") -> DataFrame:
     down = F.when(fall > 0, F.struct(F.lit(1).alias("kind"), (fall / F.col("distance")).alias("s"), (-order).alias("o")))
     across = F.when((fall == 0) & ~F.col("v.drains") & (ease > 0), F.struct(F.lit(0).alias("kind"), (ease / F.col("distance")).alias("s"), (-order).alias("o")))
     best = pairs.withColumn("rank", F.coalesce(down, across)).where("rank is not null").groupBy("row", "col").agg(F.max_by(F.struct("code", "row2", "col2"), "rank").alias("b"))
-    return cells.select("row", "col").join(best, ["row", "col"], "left").select("row", "col", F.col("b.code").alias("code"), F.col("b.row2").alias("row2"), F.col("b.col2").alias("col2"))
+    return cells.select("row", "col").join(best.hint("merge"), ["row", "col"], "left").select("row", "col", F.col("b.code").alias("code"), F.col("b.row2").alias("row2"), F.col("b.col2").alias("col2"))

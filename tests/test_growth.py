@@ -1,6 +1,6 @@
 """Steps whose cost must not grow faster than their input."""
 
-from ponding.operators import network, runoff
+from ponding.operators import grid, network, runoff
 from ponding.plans import QUERIES
 from pyspark.sql import functions as F
 
@@ -32,3 +32,9 @@ def test_receivers_broadcast_nothing(spark, monkeypatch):
     got = {r.id: r.receiver for r in runoff.first_below(flow, flow.where("id in (1, 5)").select("id")).collect()}
     assert got[43] == 5 and got[5] == 1 and got[1] is None
     assert seen and not any("Broadcast" in p for p in seen)
+
+
+def test_neighbours_broadcast_nothing(spark):
+    """A settled grid's files are small, its rows are not."""
+    cells = grid.settle(grid.cells(spark, 20).select("row", "col", F.lit(1.0).alias("z")))
+    assert "Broadcast" not in plan(grid.neighbours(cells))
