@@ -82,6 +82,12 @@ def catchments(flow: DataFrame, linked: DataFrame, heights: DataFrame, at_least:
     return to.select("cell").join(known, "cell", "left")
 
 
+def reached(flow: DataFrame, linked: DataFrame, n: int | None = None) -> DataFrame:
+    """cell and link, of the first stream cell downstream; cells that reach none are left out. n: as in :func:`jump`."""
+    to = jump(flow.select("cell", "rec"), linked.select("cell"), n=n)
+    return to.join(linked.select(F.col("cell").alias("target"), "link"), "target").select("cell", "link")
+
+
 def samples_along(drains: DataFrame, step: float) -> DataFrame:
     """drains: kind and coords (lon: column, lat: row, in cell units). kind, row, col of points along each segment, at most ``step`` apart, its start first, and the last end."""
     size = F.size("coords")

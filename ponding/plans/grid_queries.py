@@ -230,8 +230,8 @@ turns AS (SELECT zone, sum(CASE WHEN k = 1 THEN 1 WHEN k = 3 THEN -1 WHEN k = 2
 SELECT zone, area, perimeter::DOUBLE AS perimeter, balance::BIGINT AS balance FROM size JOIN rim USING (zone) JOIN turns USING (zone)""")
 def catchment_polygons(spark, sf_dir):
     """The catchments of all links as polygons: their areas and perimeters, and outer rings less holes."""
-    d, flow, linked, n = routed(spark, sf_dir)
-    c = streams.catchments(flow, linked, d.select("cell", "z"), n=n).where("link is not null")
+    _, flow, linked, n = routed(spark, sf_dir)
+    c = streams.reached(flow, linked, n)
     cells = c.select(F.floor(F.col("cell") / n).alias("row"), F.pmod("cell", F.lit(n)).alias("col"), F.col("link").alias("zone"))
     rings = zones.vectorise(cells)
     size = F.size("coords")

@@ -128,3 +128,41 @@ def test_no_zones(spark):
     assert zones.vectorise(spark.createDataFrame([], "row int, col int, zone long")).collect() == []
     one = zones.vectorise(spark.createDataFrame([(5, 6, 3)], "row int, col int, zone long"), tolerance=0.8).collect()
     assert [(r.zone, r.area, len(r.coords)) for r in one] == [(3, 1.0, 5)]
+
+
+@pytest.mark.parametrize("tolerance", [None, 0.8])
+def test_tiles_make_no_difference(spark, tolerance):
+    """Rings within a tile and rings over many tiles, with zones that need all 64 bits and cells left of and above the first."""
+    z = grid_of(3, kinds=2)
+    rows = [(r - 7, c - 3, int(z[r, c]) - (1 << 62)) for r in range(len(z)) for c in range(z.shape[1]) if z[r, c] >= 0]
+    df = spark.createDataFrame(rows, "row int, col int, zone long").repartition(3)
+    whole, small = ({(r.zone, r.ring, r.outer, r.area, tuple(r.coords)) for r in zones.vectorise(df, tolerance=tolerance, tile=t).collect()} for t in (64, 3))
+    assert whole == small and {r[0] for r in whole} == {int(v) - (1 << 62) for v in np.unique(z[z >= 0])}
+
+
+def test_rings_come_in_batches(spark, monkeypatch):
+    """No call of Python for each ring, and rings within a tile take no part in the rounds."""
+    seen, keep = [], zones.settle
+    monkeypatch.setattr(zones, "settle", lambda df: (seen.append((df._jdf.queryExecution().executedPlan().toString(), out := keep(df), out.count())), out)[1])
+    df = spark.createDataFrame([(r, c, r // 4 * 20 + c // 4) for r in range(70) for c in range(60)], "row int, col int, zone long")
+    assert len(zones.vectorise(df).collect()) == 18 * 15
+    assert not any("FlatMapGroupsInPandas [ring" in plan for plan, _, _ in seen)
+    # One row of zones lies across the border of two tiles: two pieces each do not make rounds of all 1,080 sides or more.
+    rounds = [n for _, out, n in seen if "to" in out.columns]
+    assert rounds and max(rounds) <= 2 * 15
+    assert [r.area for r in zones.vectorise(df).where("zone = 320").collect()] == [16.0]
+
+
+def test_pieces_of_a_ring_that_batches_cut():
+    """Rings whose rows are cut by batches come out whole, a long one over many batches too."""
+    import pyarrow as pa
+
+    square = lambda k, n: [(k, k, s, s + 1 if s + 1 < k + n else k, s, [((s - k) << 33) + (k << 2)] + ([((n - 1) << 33) + ((k + 5) << 2)] if s + 1 == k + n else [])) for s in range(k, k + n)]
+    rows = square(0, 3) + square(10, 9) + square(30, 4)
+    names = ["zone", "ring", "start", "next", "least", "points"]
+    table = pa.table({k: list(v) for k, v in zip(names, zip(*rows))})
+    want = None
+    for size in (1, 2, 5, 100):
+        got = [r for b in zones._closed(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        want = want or got
+        assert got == want and [(r["ring"], len(r["points"])) for r in got] == [(0, 4), (10, 10), (30, 5)]
