@@ -43,6 +43,7 @@ from ponding.llm.words import SPACE, U, Powers, byte_values, separators, slices,
 #: Bytes of text in a block, bytes hashed at a time, bytes of text for one bucket of the vocabulary, blobs that meet in one task.
 BLOCK_BYTES, STEP_BYTES, BUCKET_BYTES, MEET = 6_000_000, 1_000_000, 16_000_000, 4096
 KEEP, VALUES = separators(SPACE), byte_values(lower=True)
+VOCABULARY = "bucket long, salt int, data binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -66,16 +67,41 @@ def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
     return ((words >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
+def planes(values: np.ndarray) -> np.ndarray:
+    """All lowest bytes, then the next, and so on: high bytes are alike, and compress well side by side."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.ravel()
+
+
+def whole(parts: np.ndarray, kind: type) -> np.ndarray:
+    """What :func:`planes` took apart."""
+    return np.ascontiguousarray(parts.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def steps_of(words: np.ndarray) -> np.ndarray:
+    """Sorted words as their differences, whose high bytes are zeros."""
+    return planes(np.diff(words, prepend=U(0)))
+
+
+def words_at(steps: np.ndarray) -> np.ndarray:
+    """What :func:`steps_of` made smaller."""
+    return np.cumsum(whole(steps, np.uint64), dtype=np.uint64)
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """The rows as a table in the shared folder whose files are dealt out by the keys, so that joins and groups on them need no shuffle of it."""
+    """The rows as a table in the shared folder whose files are dealt out by the keys, so that joins and groups on them need no shuffle of it.
+
+    Each task writes its own rows, so nothing is shuffled here either; where many tasks have rows of each key, repartition first.
+    """
     spark, name = df.sparkSession, f"dealt_{uuid.uuid4().hex}"
     n, path = partitions(spark), f"{shared_folder(spark)}/{name}"
-    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    df.write.bucketBy(n, *keys).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out.stored_at = path
+    return out
 
 
 def encode(docs: DataFrame, buckets: int) -> DataFrame:
-    """docs: doc_id, text, held_out. Rows (block, bucket, data): bucket -1 has a block's words as places in its dictionary, and the dictionary; the others have the dictionary's stretches with counts."""
+    """docs: doc_id, text, held_out. Rows (block, bucket, data), dealt out by block: bucket -1 has a block's words as places in its dictionary; the others have the dictionary's stretches with counts."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, powers = TaskContext.get().partitionId() << 32, Powers()
@@ -86,35 +112,36 @@ def encode(docs: DataFrame, buckets: int) -> DataFrame:
             words, places = np.unique(hashes, return_inverse=True)
             trained = np.bincount(places[~np.repeat(held, lengths)], minlength=len(words))
             nulls = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
-            rows = [(-1, squeeze(places.astype(np.uint32), lengths.astype(np.int64), ids.fill_null(0).to_numpy(), nulls, held.astype(np.uint8), words))]
+            rows = [(-1, squeeze(planes(places.astype(np.uint32)), lengths.astype(np.int64), ids.fill_null(0).to_numpy(), nulls, held.astype(np.uint8)))]
             own = bucket_of(words, buckets)
             cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else []
-            rows += [(int(own[i]), squeeze(words[i:j], trained[i:j])) for i, j in zip(cuts, [*cuts[1:], len(own)])]
+            rows += [(int(own[i]), squeeze(steps_of(words[i:j]), trained[i:j])) for i, j in zip(cuts, [*cuts[1:], len(own)])]
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([k for k, _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.binary())], names=["block", "bucket", "data"])
             block += 1
 
-    return materialize(docs.mapInArrow(blocks, "block long, bucket long, data binary"), "blocks")
+    return dealt(docs.mapInArrow(blocks, "block long, bucket long, data binary"), "block")
+
+
+def salt_of(block: Column, salts: int) -> Column:
+    return F.pmod(F.xxhash64(block), F.lit(salts)).cast("int").alias("salt")
 
 
-def meet(parts: DataFrame, merge: Callable[[list[bytes]], bytes], salts: int) -> DataFrame:
-    """One blob for each bucket; where many blocks have one, shares of them meet first."""
+def meet(parts: DataFrame, merge: Callable[[list[bytes]], bytes], *keys: str) -> DataFrame:
+    """One blob for each bucket and what else is among the keys."""
 
     def together(key: tuple, t: pa.Table) -> pa.Table:
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([merge(t.column("data").to_pylist())], pa.binary())})
 
-    if salts > 1:
-        shares = parts.select("bucket", F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"), "data")
-        parts = shares.groupBy("bucket", "salt").applyInArrow(together, "bucket long, data binary")
-    return parts.select("bucket", "data").groupBy("bucket").applyInArrow(together, "bucket long, data binary")
+    return parts.select(*keys, "data").groupBy(*keys).applyInArrow(together, "bucket long, data binary")
 
 
 def add_counts(blobs: list[bytes]) -> bytes:
     """Words seen in training, with the sums of their counts."""
-    pairs = [expand(b, np.uint64, np.int64) for b in blobs]
-    words, places = np.unique(np.concatenate([w for w, _ in pairs]), return_inverse=True)
+    pairs = [expand(b, np.uint8, np.int64) for b in blobs]
+    words, places = np.unique(np.concatenate([words_at(w) for w, _ in pairs]), return_inverse=True)
     counts = np.zeros(len(words), np.int64)
     np.add.at(counts, places, np.concatenate([c for _, c in pairs]))
-    return squeeze(words[counts > 0], counts[counts > 0])
+    return squeeze(steps_of(words[counts > 0]), counts[counts > 0])
 
 
 def xlogx(a: np.ndarray) -> np.ndarray:
@@ -160,13 +187,13 @@ def gains(bigrams: np.ndarray, now: np.ndarray, left: np.ndarray, right: np.ndar
 
 def add_contexts(blobs: list[bytes]) -> bytes:
     """Words, how many contexts each has, the contexts and their counts; counts of the same word and context add up."""
-    parts = [expand(b, np.uint64, np.int32, np.uint16, np.int64) for b in blobs]
-    words, places = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    parts = [expand(b, np.uint8, np.int32, np.uint16, np.int64) for b in blobs]
+    words, places = np.unique(np.concatenate([words_at(p[0]) for p in parts]), return_inverse=True)
     key = np.repeat(places, np.concatenate([p[1] for p in parts])) << 16 | np.concatenate([p[2] for p in parts])
     key, where = np.unique(key, return_inverse=True)
     counts = np.zeros(len(key), np.int64)
     np.add.at(counts, where, np.concatenate([p[3] for p in parts]))
-    return squeeze(words, np.bincount(key >> 16, minlength=len(words)).astype(np.int32), (key & 0xFFFF).astype(np.uint16), counts)
+    return squeeze(steps_of(words), np.bincount(key >> 16, minlength=len(words)).astype(np.int32), (key & 0xFFFF).astype(np.uint16), counts)
 
 
 class Clustering:
@@ -175,14 +202,14 @@ class Clustering:
     def __init__(self, docs: DataFrame, classes: int, groups: int):
         self.k, self.groups = classes, groups
         self.buckets = max(16, total_bytes(docs) // BUCKET_BYTES)
-        coded = encode(docs, self.buckets)
-        # Both lie dealt out by the key they are joined on, once, so that a round shuffles neither.
-        self.payload = dealt(coded.where("bucket < 0").select("block", "data"), "block")
-        self.salts = 1 + self.payload.count() // MEET
-        parts = coded.where("bucket >= 0")
-        self.dictionary = dealt(parts.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(self.salts)).cast("int")), "bucket", "salt")
-        discard(coded)
-        counted = materialize(meet(self.dictionary, add_counts, self.salts), "counts")
+        # Blocks, dictionary and vocabulary lie dealt out by the key they are joined on, so that a round shuffles none of them.
+        self.coded = encode(docs, self.buckets)
+        self.salts = 1 + self.coded.where("bucket < 0").count() // MEET
+        parts = self.coded.where("bucket >= 0").select("block", "bucket", salt_of(F.col("block"), self.salts), "data")
+        self.dictionary = dealt(parts.repartition(partitions(docs.sparkSession), "bucket", "salt"), "bucket", "salt")
+        # Where many blocks have a bucket, shares of them meet first.
+        shares = meet(self.dictionary, add_counts, "bucket", "salt")
+        counted = materialize(shares if self.salts == 1 else meet(shares, add_counts, "bucket"), "counts")
         stats, top = self.totals(counted)
         self.types, self.words, self.ones, self.twos = stats
         self.vocabulary = self.seeded(counted, top)
@@ -195,7 +222,8 @@ class Clustering:
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stats, top = np.zeros(4, np.int64), [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
             for blob in (x for b in batches for x in b.column("data").to_pylist()):
-                words, counts = expand(blob, np.uint64, np.int64)
+                words, counts = expand(blob, np.uint8, np.int64)
+                words = words_at(words)
                 stats += [len(words), counts.sum(), (counts == 1).sum(), (counts == 2).sum()]
                 top = most([top, [words, counts]])
             return of_task(squeeze(stats, *top))
@@ -221,16 +249,17 @@ class Clustering:
             for b in batches:
                 out = []
                 for blob in b.column("data").to_pylist():
-                    words, counts = expand(blob, np.uint64, np.int64)
+                    words, counts = expand(blob, np.uint8, np.int64)
+                    words = words_at(words)
                     classes = np.full(len(words), last, np.uint16)
                     at = np.searchsorted(words, ordered)
                     hit = at < len(words)
                     hit[hit] = words[at[hit]] == ordered[hit]
                     classes[at[hit]] = by[hit]
                     out.append(squeeze(words, counts, classes))
-                yield pa.RecordBatch.from_arrays([b.column("bucket"), pa.array(out, pa.binary())], names=["bucket", "data"])
+                yield pa.RecordBatch.from_arrays([b.column("bucket"), pa.array([0] * len(out), pa.int32()), pa.array(out, pa.binary())], names=["bucket", "salt", "data"])
 
-        return materialize(counted.mapInArrow(seed, "bucket long, data binary"), "vocabulary")
+        return dealt(counted.mapInArrow(seed, VOCABULARY), "bucket", "salt")
 
     def classed(self, with_counts: bool = False) -> DataFrame:
         """For each stretch of a block's dictionary: its words' class + 1 (0: not in the vocabulary), and their counts if asked for."""
@@ -240,7 +269,7 @@ class Clustering:
             words, counts, classes = expand(blobs[0], np.uint64, np.int64, np.uint16) if blobs else [np.zeros(0, t) for t in (np.uint64, np.int64, np.uint16)]
             out = []
             for blob in left.column("data").to_pylist():
-                own = expand(blob, np.uint64, np.int64)[0]
+                own = words_at(expand(blob, np.uint8, np.int64)[0])
                 at = np.minimum(np.searchsorted(words, own), max(len(words) - 1, 0))
                 known = words[at] == own if len(words) else np.zeros(len(own), bool)
                 at = at[known]
@@ -251,7 +280,7 @@ class Clustering:
                 out.append(squeeze(kind, seen))
             return pa.table({"block": left.column("block"), "bucket": left.column("bucket"), "data": pa.array(out, pa.binary())})
 
-        salted = self.vocabulary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
+        salted = self.vocabulary if self.salts == 1 else self.vocabulary.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
         return self.dictionary.groupBy("bucket", "salt").cogroup(salted.groupBy("bucket", "salt")).applyInArrow(look_up, "block long, bucket long, data binary")
 
     def by_block(self, classed: DataFrame, work: Callable[[list[np.ndarray], list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
@@ -259,10 +288,13 @@ class Clustering:
         kinds = (np.uint16, np.int64)
 
         def block(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            payload, *stretches = left.sort_by("bucket").column("data").to_pylist()
+            words = np.concatenate([np.zeros(0, np.uint64), *(words_at(expand(b, np.uint8, np.int64)[0]) for b in stretches)])
             parts = [expand(b, *kinds) for b in right.sort_by("bucket").column("data").to_pylist()]
-            return work(expand(left.column("data")[0].as_py(), np.uint32, np.int64, np.int64, np.uint8, np.uint8, np.uint64), [np.concatenate([np.zeros(0, t), *(p[i] for p in parts)]) for i, t in enumerate(kinds)])
+            places, *rest = expand(payload, np.uint8, np.int64, np.int64, np.uint8, np.uint8)
+            return work([whole(places, np.uint32), *rest, words], [np.concatenate([np.zeros(0, t), *(p[i] for p in parts)]) for i, t in enumerate(kinds)])
 
-        return self.payload.groupBy("block").cogroup(classed.groupBy("block")).applyInArrow(block, schema)
+        return self.coded.groupBy("block").cogroup(classed.groupBy("block")).applyInArrow(block, schema)
 
     def looked(self, classed: DataFrame, group: int | None) -> tuple[DataFrame, np.ndarray]:
         """Contexts, by bucket, of the words of a group (none if that is None), and the class bigrams of the training text."""
@@ -292,7 +324,7 @@ class Clustering:
                 cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(at) else []
                 for i, j in zip(cuts, [*cuts[1:], len(at)]):
                     own_words, counted = np.unique(at[i:j], return_counts=True)
-                    rows.append((int(bucket[i]), squeeze(words[own_words], counted.astype(np.int32), slots[i:j], counts[i:j].astype(np.int64))))
+                    rows.append((int(bucket[i]), squeeze(steps_of(words[own_words]), counted.astype(np.int32), slots[i:j], counts[i:j].astype(np.int64))))
             return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
         seen = materialize(self.by_block(classed, look, "bucket long, data binary"), "contexts")
@@ -314,9 +346,10 @@ class Clustering:
 
         def move(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             words, counts, classes = expand(left.column("data")[0].as_py(), np.uint64, np.int64, np.uint16)
-            classes = classes.copy()
-            for blob in right.column("data").to_pylist():
-                own, sizes, slots, seen = expand(blob, np.uint64, np.int32, np.uint16, np.int64)
+            classes, blobs = classes.copy(), right.column("data").to_pylist()
+            if blobs:
+                own, sizes, slots, seen = expand(add_contexts(blobs), np.uint8, np.int32, np.uint16, np.int64)
+                own = words_at(own)
                 at, end = np.searchsorted(words, own), np.cumsum(sizes)
                 for i in range(0, len(own), 2000):
                     j = min(i + 2000, len(own))
@@ -327,10 +360,13 @@ class Clustering:
                     best = gain.argmax(1)
                     better = gain[np.arange(j - i), best] > gain[np.arange(j - i), now] + 1e-6
                     classes[at[i:j]] = np.where(better, best, now)
-            return pa.table({"bucket": left.column("bucket"), "data": pa.array([squeeze(words, counts, classes)], pa.binary())})
+            return pa.table({"bucket": left.column("bucket"), "salt": left.column("salt"), "data": pa.array([squeeze(words, counts, classes)], pa.binary())})
 
-        contexts = meet(seen.where("bucket >= 0").withColumn("block", F.monotonically_increasing_id()), add_contexts, self.salts)
-        self.vocabulary = materialize(self.vocabulary.groupBy("bucket").cogroup(contexts.groupBy("bucket")).applyInArrow(move, "bucket long, data binary"), "vocabulary")
+        contexts = seen.where("bucket >= 0")
+        if self.salts > 1:
+            contexts = meet(contexts.withColumn("salt", salt_of(F.monotonically_increasing_id(), self.salts)), add_contexts, "bucket", "salt")
+        contexts = contexts.select("bucket", F.lit(0).alias("salt"), "data")
+        self.vocabulary = dealt(self.vocabulary.groupBy("bucket", "salt").cogroup(contexts.groupBy("bucket", "salt")).applyInArrow(move, VOCABULARY), "bucket", "salt")
         discard(seen)
 
     def cluster(self, sweeps: int) -> list[float]:

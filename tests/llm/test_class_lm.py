@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ponding.llm import class_lm
-from ponding.llm.sketch import expand
+from ponding.llm.sketch import expand, squeeze
 
 SCHEMA = "doc_id long, text string, held boolean, score string, block int, bucket string, n_tokens int"
 
@@ -71,6 +71,29 @@ def test_many_blocks_meet_in_shares(spark, rows, monkeypatch):
     assert sorted(round(r.score, 9) for r in scored(spark, rows)) == want
 
 
+def test_a_round_shuffles_only_what_is_new(spark, rows, monkeypatch):
+    """Blocks are written once where they are made; dictionary and vocabulary are joined where they lie."""
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    written, keep = [], class_lm.dealt
+    monkeypatch.setattr(class_lm, "dealt", lambda df, *keys: (written.append(exchanges(df)), keep(df, *keys))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    c = class_lm.Clustering(docs, 6, 2)
+    assert written == [0, 1, 0]  # blocks, dictionary, vocabulary
+    assert exchanges(c.classed()) == 0
+    c.exchange(*c.looked(c.classed(), 0))
+    assert written[3:] == [1]  # the contexts
+    assert exchanges(c.by_block(c.classed(), None, "x long")) == 1  # the words' classes
+
+
+def test_words_and_places_are_sent_as_planes_of_bytes():
+    rng = np.random.default_rng(2)
+    for words in (np.unique(rng.integers(0, 2**64, 20_000, np.uint64)), np.array([0, 2**64 - 1], np.uint64), np.zeros(0, np.uint64)):
+        assert (class_lm.words_at(class_lm.steps_of(words)) == words).all()
+        assert len(words) < 3 or len(squeeze(class_lm.steps_of(words))) < 0.85 * len(squeeze(words))
+    for places in (rng.integers(0, 2**20, 5000).astype(np.uint32), np.zeros(0, np.uint32)):
+        assert (class_lm.whole(class_lm.planes(places), np.uint32) == places).all()
+
+
 def plain_bigrams(texts, classes, k):
     """Class bigrams of a corpus, counted with a loop."""
     b = np.zeros((k + 1, k + 1), np.int64)
