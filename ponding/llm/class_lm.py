@@ -41,7 +41,7 @@ from ponding.llm.tree import fold, of_task
 from ponding.llm.words import SPACE, U, Powers, byte_values, separators, slices, words_of
 
 #: Bytes of text in a block, bytes hashed at a time, bytes of text for one bucket of the vocabulary, blobs that meet in one task.
-BLOCK_BYTES, STEP_BYTES, BUCKET_BYTES, MEET = 6_000_000, 1_000_000, 16_000_000, 4096
+BLOCK_BYTES, STEP_BYTES, BUCKET_BYTES, MEET = 6_000_000, 1_000_000, 16_000_000, 16_384
 KEEP, VALUES = separators(SPACE), byte_values(lower=True)
 VOCABULARY = "bucket long, salt int, data binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -67,6 +67,11 @@ def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
     return ((words >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
+def buckets_for(size: int) -> int:
+    """Of so many bytes of text: small ones at first, so that all cores have some, then larger ones, as each block has a row for each."""
+    return max(16, min(64, size // BUCKET_BYTES), size // (4 * BUCKET_BYTES))
+
+
 def planes(values: np.ndarray) -> np.ndarray:
     """All lowest bytes, then the next, and so on: high bytes are alike, and compress well side by side."""
     return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.ravel()
@@ -201,7 +206,7 @@ class Clustering:
 
     def __init__(self, docs: DataFrame, classes: int, groups: int):
         self.k, self.groups = classes, groups
-        self.buckets = max(16, total_bytes(docs) // BUCKET_BYTES)
+        self.buckets = buckets_for(total_bytes(docs))
         # Blocks, dictionary and vocabulary lie dealt out by the key they are joined on, so that a round shuffles none of them.
         self.coded = encode(docs, self.buckets)
         self.salts = 1 + self.coded.where("bucket < 0").count() // MEET

@@ -94,6 +94,14 @@ def test_words_and_places_are_sent_as_planes_of_bytes():
         assert (class_lm.whole(class_lm.planes(places), np.uint32) == places).all()
 
 
+def test_rows_of_dictionaries_stay_few():
+    """Each block has a row for each bucket: at 48 GB of text under eight million in all, and for little text one for each 16 MB."""
+    size = 48 * 10**9
+    assert class_lm.buckets_for(size) * size // class_lm.BLOCK_BYTES < 8 * 10**6
+    assert size // class_lm.BLOCK_BYTES < class_lm.MEET
+    assert [class_lm.buckets_for(x) for x in (0, 10**8, 5 * 10**8, 10**9, 10**10)] == [16, 16, 31, 62, 156]
+
+
 def plain_bigrams(texts, classes, k):
     """Class bigrams of a corpus, counted with a loop."""
     b = np.zeros((k + 1, k + 1), np.int64)
