@@ -26,7 +26,6 @@ the base score. Other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,8 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ponding.llm.common import discard, materialize, partitions, shared_folder, table, total_bytes
-from ponding.llm.sketch import expand, squeeze
+from ponding.llm.common import dealt, discard, materialize, partitions, table, total_bytes
+from ponding.llm.sketch import expand, planes, squeeze, whole
 from ponding.llm.tree import fold, of_task
 from ponding.llm.words import SPACE, U, Powers, byte_values, separators, slices, words_of
 
@@ -72,16 +71,6 @@ def buckets_for(size: int) -> int:
     return max(16, min(64, size // BUCKET_BYTES), size // (4 * BUCKET_BYTES))
 
 
-def planes(values: np.ndarray) -> np.ndarray:
-    """All lowest bytes, then the next, and so on: high bytes are alike, and compress well side by side."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.ravel()
-
-
-def whole(parts: np.ndarray, kind: type) -> np.ndarray:
-    """What :func:`planes` took apart."""
-    return np.ascontiguousarray(parts.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 def steps_of(words: np.ndarray) -> np.ndarray:
     """Sorted words as their differences, whose high bytes are zeros."""
     return planes(np.diff(words, prepend=U(0)))
@@ -92,19 +81,6 @@ def words_at(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(whole(steps, np.uint64), dtype=np.uint64)
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """The rows as a table in the shared folder whose files are dealt out by the keys, so that joins and groups on them need no shuffle of it.
-
-    Each task writes its own rows, so nothing is shuffled here either; where many tasks have rows of each key, repartition first.
-    """
-    spark, name = df.sparkSession, f"dealt_{uuid.uuid4().hex}"
-    n, path = partitions(spark), f"{shared_folder(spark)}/{name}"
-    df.write.bucketBy(n, *keys).option("path", path).format("parquet").saveAsTable(name)
-    out = spark.table(name)
-    out.stored_at = path
-    return out
-
-
 def encode(docs: DataFrame, buckets: int) -> DataFrame:
     """docs: doc_id, text, held_out. Rows (block, bucket, data), dealt out by block: bucket -1 has a block's words as places in its dictionary; the others have the dictionary's stretches with counts."""
 

@@ -1,17 +1,17 @@
 """N-gram Jaccard join with prefixes of token combinations, and the components of its links.
 
 Documents with equal shingle sets are one class, joined once. Of a class's shingles, in one
-global order (those that occur once, rare ones, frequent ones, those left out of the
-sketch), a prefix is indexed. A rare shingle is a signature by itself. Frequent shingles
+global order (those that occur once, rare ones, frequent ones), a prefix is indexed. A rare shingle is a signature by itself. Frequent shingles
 are split by hash into many token classes of a few each, and signatures are pairs inside a
 class: x shingles of a class count for x-1, so the prefix is extended until its shingles
 count for more than a partner can lack. Two sets that link then share a signature
-(pigeonhole over the classes). Shingles that a sketch estimates to occur once can't be
-shared; they fill the prefix and are not indexed.
+(pigeonhole over the classes). Shingles known to occur once can't be shared; they fill the
+prefix and are not indexed.
 
-The sketch samples shingles by hash; the classes that still have signatures are sketched
-once more over all their shingles, which leaves few false candidates. Candidates are
-verified on whole sets. A signature's classes are first compared with one hub (a star, not
+Shingles are counted where they are dealt out by hash (``shared_keys``), so this holds at any
+size: first a sample of all shingles, which leaves the classes that can have a partner, and
+then all shingles of these, the only ones that are written. Candidates are verified on whole
+sets, which lie dealt out by class. A signature's classes are first compared with one hub (a star, not
 all pairs); what stars leave in different components is compared pair by pair, in groups of
 signatures with one smallest class and in parts of bounded size, save pairs that sizes,
 known-unique shingles and parities rule out.
@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ponding.llm.common import discard, documents, materialize, table, text_tag, total_bytes
+from ponding.llm.common import dealt, discard, documents, materialize, table, text_tag, total_bytes
+from ponding.llm.shared_keys import Sets, ranks
 from ponding.llm.sketch import Sketch, build, width_for
 from ponding.llm.words import SPACE, Powers, Rolling, U, byte_values, mix, ranges, separators, slices, words_of
 
@@ -72,7 +73,7 @@ def _sampled(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(values: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of one set. rank: 0 occurs once, 1 rare, 2 frequent, 3 not in the sketch."""
+    """Signatures of one set. rank: 0 occurs once, 1 rare, 2 frequent."""
     n = len(values)
     smallest = -(-n * percent // 100)  # shingles that a partner shares at least, and its smallest size
     lacking = n - smallest
@@ -112,8 +113,10 @@ def _distinct_classes(values: np.ndarray, first: np.ndarray, seen: set[int]) ->
     return np.array(keep, np.int64)
 
 
-SETS = "cid long, n int, once int, sigs binary, parity binary, shingles binary"
-SET_NAMES = ["cid", "n", "once", "sigs", "parity", "shingles"]
+SETS = "cid long, n int, shingles binary"
+CANDIDATES = "cid long, n int, once int, sigs binary, parity binary"
+#: Counters for each class that can have a partner: of the others, one in 250 passes with them, and the next count drops it.
+PER_CLASS = 16
 PARITY_BITS = 1024
 
 
@@ -132,69 +135,90 @@ def bits(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(v.as_py() for v in column), np.uint64).reshape(-1, PARITY_BITS // 64)
 
 
-def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=SET_NAMES)
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], names=[name for name, _ in fields])
 
 
-def candidate_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Classes that can have a partner: cid, n, once (shingles known to occur nowhere else), sigs, shingles."""
-    expected = total_bytes(docs) / 6.0 * SAMPLED
+def _few(ones: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n shingles with so many known to occur nowhere else can have a partner."""
+    return ones <= n - -(-n * percent // 100)
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+
+def _ones(rank: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many ranks of each set are 0."""
+    return np.diff(np.r_[0, np.cumsum(rank == 0)][first])
+
+
+def possible_texts(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Tags of the texts whose classes can have a partner, as far as a sample of the shingles tells; of a class, one text of each task.
+
+    A set whose shingles mostly occur once has no partner, whatever the others are.
+    """
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[Sets]:
         powers, seen = Powers(), set()
         for part, data, offsets in (x for b in batches for x in slices(b, 2_000_000)):
             values, first = shingle_sets(part, data, offsets, powers, n)
-            yield values, first, _distinct_classes(values, first, seen)
-
-    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for values, first, new in found(iter([batch])):
-            own = values[ranges(first[new], first[new + 1] - first[new])]
-            yield own[_sampled(own)]
-
-    coarse = build(docs.select("text"), keys, width_for(expected))
-
-    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = Sketch(*coarse.value)
-        for values, first, new in found(batches):
-            # A set whose shingles mostly occur once has no partner, whatever the others are.
-            own = values[_sampled(values)]
-            alone = np.zeros(len(values), bool)
-            alone[_sampled(values)] = sketch.estimate(own) == 1
-            once = np.r_[0, np.cumsum(alone)]
-            rows, ids = [], class_ids(values, first)
-            for k in new.tolist():
-                i, j = int(first[k]), int(first[k + 1])
-                if int(once[j] - once[i]) <= (j - i) - -(-(j - i) * percent // 100):
-                    rows.append((int(ids[k]), j - i, 0, b"", b"", values[i:j].tobytes()))
-            yield _set_batch(rows)
+            new, size = _distinct_classes(values, first, seen), np.diff(first)
+            own = values[ranges(first[new], size[new])]
+            keep = _sampled(own)
+            yield part.column("tag").to_numpy()[new], size[new], own[keep], np.r_[0, np.cumsum(keep)][np.r_[0, np.cumsum(size[new])]]
+
+    def left(tags: np.ndarray, size: np.ndarray, rank: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(tags[_few(_ones(rank, first), size, percent)])], names=["tag"])
+
+    return ranks(docs.select("text", text_tag()), sampled, total_bytes(docs) / 6.0 * SAMPLED, lambda counts: counts > 1, left, "tag long")
+
+
+def possible_sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The sets of those classes, each once, dealt out by cid, so that no join shuffles them: cid, n, shingles."""
+    tags = materialize(possible_texts(docs, n, percent), "possible")
+    # A filter of the tags alone: it grows with the texts that pass, not with their shingles, and who passes by mistake does no harm.
+    passed = build(tags, lambda b: [b.column("tag").to_numpy().view(U)], width_for(tags.count(), PER_CLASS))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, seen, passing = Powers(), set(), Sketch(*passed.value)
+        for b in batches:
+            b = b.filter(pa.array(passing.estimate(b.column("tag").to_numpy().view(U)) > 0))
+            for part, data, offsets in slices(b, 2_000_000):
+                values, first = shingle_sets(part, data, offsets, powers, n)
+                ids = class_ids(values, first)
+                new = _distinct_classes(values, first, seen).tolist()
+                yield _batch(SETS, [(int(ids[k]), int(first[k + 1] - first[k]), values[first[k] : first[k + 1]].tobytes()) for k in new])
 
     # Tasks keep one of each class; so does the shuffle, for copies in different tasks.
-    sets = materialize(docs.select("text").mapInArrow(first_pass, SETS).dropDuplicates(["cid"]), "sets")
-    coarse.destroy()
-    left = int(sets.agg(F.sum("n")).first()[0] or 0)
+    out = dealt(docs.select("text", text_tag()).mapInArrow(sets, SETS).dropDuplicates(["cid"]), "cid")
+    passed.destroy()
+    discard(tags)
+    return out
 
-    def set_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for blob in batch.column("shingles"):
-            yield np.frombuffer(blob.as_py(), U)
 
-    fine = build(sets.select("shingles"), set_keys, width_for(left))
+def candidate_sets(sets: DataFrame, percent: int) -> DataFrame:
+    """Classes that can have a partner among the sets: cid, n, once (shingles known to occur nowhere else), sigs, parity; dealt out by cid."""
 
-    def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = Sketch(*fine.value)
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[Sets]:
+        for b in batches:
+            n = b.column("n").to_numpy().astype(np.int64)
+            yield b.column("cid").to_numpy(), n, np.frombuffer(b"".join(x.as_py() for x in b.column("shingles")), U), np.r_[0, np.cumsum(n)]
+
+    def left(cids: np.ndarray, size: np.ndarray, rank: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        keep = np.flatnonzero(_few(_ones(rank, first), size, percent)).tolist()
+        return _batch("cid long, ranks binary", [(int(cids[k]), rank[first[k] : first[k + 1]].tobytes()) for k in keep])
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for cid, blob in zip(b.column("cid").to_pylist(), b.column("shingles"), strict=True):
-                v = np.frombuffer(blob.as_py(), U)
-                rank = np.where(sketch.estimate(v) == 1, 0, np.where(sketch.estimate_large(v) >= FREQUENT, 2, 1))
-                once = int((rank == 0).sum())
-                if once <= len(v) - -(-len(v) * percent // 100):
-                    rows.append((cid, len(v), once, signatures(v, rank, percent).tobytes(), parity(v), blob.as_py()))
-            yield _set_batch(rows)
-
-    out = materialize(sets.mapInArrow(second_pass, SETS), "candidates")
-    fine.destroy()
-    return out
+            for cid, blob, known in zip(b.column("cid").to_pylist(), b.column("shingles"), b.column("ranks"), strict=True):
+                v, rank = np.frombuffer(blob.as_py(), U), np.frombuffer(known.as_py(), np.uint8)
+                rows.append((cid, len(v), int((rank == 0).sum()), signatures(v, rank, percent).tobytes(), parity(v)))
+            yield _batch(CANDIDATES, rows)
+
+    total = int(sets.agg(F.sum("n")).first()[0] or 0)
+    rank_of = lambda counts: np.where(counts == 1, 0, np.where(counts >= FREQUENT, 2, 1))
+    ranked = ranks(sets, whole_sets, total, rank_of, left, "cid long, ranks binary")
+    return dealt(ranked.join(sets, "cid").select("cid", "shingles", "ranks").mapInArrow(signed, CANDIDATES), "cid")
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +264,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * shared >= percent * (len(u) + len(v) - shared))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    # The sets lie dealt out by cid: a pair takes one along, and the other waits for it.
     s = sets.select("cid", "shingles")
     joined = pairs.join(s.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(s.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
@@ -316,13 +341,13 @@ def in_parts(groups: DataFrame) -> DataFrame:
 STARS, SPREAD = 2, 1
 
 
-def links_and_components(sets: DataFrame, percent: int) -> DataFrame:
-    """(cid, comp) for every class with a link.
+def links_and_components(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, comp) for every class with a link. found: the candidates, whose shingles are in sets.
 
     A star's hub is the class with the fewest shingles of its own: the text that the others
     of a group of near copies were made from, where it is among them.
     """
-    index = sets.select("sigs", "cid", "n", "once").mapInArrow(_index, "sig long, cid long, n int, once int")
+    index = found.select("sigs", "cid", "n", "once").mapInArrow(_index, "sig long, cid long, n int, once int")
     rest = index.groupBy("sig", "cid").agg(F.first("n").alias("n"), F.first("once").alias("once")).withColumn("comp", F.col("cid"))
     links = labels = None
     for _ in range(STARS):
@@ -333,7 +358,7 @@ def links_and_components(sets: DataFrame, percent: int) -> DataFrame:
         star = rest.where(F.col("comp") != F.col("hub.comp"))
         star = star.select(F.col("cid").alias("b"), F.col("hub.cid").alias("a"), F.col("n").alias("nb"), F.col("once").alias("onceb"), F.col("hub.n").alias("na"), F.col("hub.once").alias("oncea"))
         pairs = star.where(possible("a", "b", percent)).select("a", "b").distinct()
-        new = verify(near(pairs, sets, percent), sets, percent)
+        new = verify(near(pairs, found, percent), sets, percent)
         links = materialize(new if links is None else links.union(new), "links")
         labels = components(links, SPREAD)
         rest = rest.drop("comp", "hub").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
@@ -344,8 +369,8 @@ def links_and_components(sets: DataFrame, percent: int) -> DataFrame:
         if not size[0] or size[1] <= 8 * size[0]:
             break
     if links is None:
-        return sets.select("cid", F.col("cid").alias("comp")).limit(0)
-    groups = merged_groups(rest).join(sets.select("cid", "parity"), "cid")
+        return found.select("cid", F.col("cid").alias("comp")).limit(0)
+    groups = merged_groups(rest).join(found.select("cid", "parity"), "cid")
     pairs = in_parts(groups).groupBy("least", "i", "j").applyInArrow(cross_pairs(percent), "a long, b long").distinct()
     return components(links.union(verify(pairs, sets, percent)))
 
@@ -370,7 +395,8 @@ def join(df: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_i
     component_id (the smallest doc_id linked, itself included). class_id and group are null without shingles."""
     docs = documents(df, id_col, text_col)
     own = materialize(classes(docs.select("*", text_tag()), n), "classes")
-    comps = links_and_components(candidate_sets(docs, n, percent), percent)
+    sets = possible_sets(docs, n, percent)
+    comps = links_and_components(candidate_sets(sets, percent), sets, percent)
     ids = own.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("smallest"))
     named = ids.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     ids_of = named.groupBy("comp").agg(F.min("smallest").alias("component_id"))

@@ -221,6 +221,66 @@ def test_jaccard_of_a_hot_signature(spark, monkeypatch):
     assert sorted((r.least, r.cid, r.size) for r in jaccard_join.merged_groups(rest).collect()) == [(1, 1, 4), (1, 2, 4), (1, 3, 4), (1, 4, 4), (2, 2, 2), (2, 5, 2), (7, 7, 2), (7, 8, 2)]
 
 
+def test_jaccard_writes_few_sets_however_many_shingles(spark, monkeypatch):
+    """Where a sketch that tasks hold would have hardly any counters, sets without partners still are not written."""
+    from ponding.llm import sketch
+
+    monkeypatch.setattr(sketch, "BLOCK", 256)
+    monkeypatch.setattr(sketch, "MOST", 256)
+    monkeypatch.setattr(sketch.width_for, "__defaults__", (1.5, 256))
+    written = []
+
+    def recorded(write):
+        def put(df, *rest):
+            out = write(df, *rest)
+            if "shingles" in out.columns:
+                written.append(out.agg(F.coalesce(F.sum(F.length("shingles")), F.lit(0))).first()[0])
+            return out
+
+        return put
+
+    for name in ("materialize", "dealt"):
+        if hasattr(jaccard_join, name):
+            monkeypatch.setattr(jaccard_join, name, recorded(getattr(jaccard_join, name)))
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(rng.randint(40, 120)))) for i in range(220)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(12)] + [(2000, rows[30][1]), (2001, None), (2002, "two words"), (2003, "Two words")]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).select("doc_id", "n_shingles", "component_id").collect()
+    want = brute.jaccard_components(rows)
+    same(got, want)
+    assert 0 < sum(written) < 8 * sum(n for _, n, _ in want) / 3
+
+
+def test_ranks_of_shared_keys(spark, monkeypatch):
+    """Small blocks, many parts: every key of every set gets its count, in order, and a set without keys stays."""
+    from ponding.llm import shared_keys
+
+    monkeypatch.setattr(shared_keys, "BLOCK", 300)
+    rng = np.random.default_rng(3)
+    pool = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2))
+    sets = [np.sort(rng.choice(pool, size, replace=False)) for size in (0, 1, 2, 390, *rng.integers(3, 60, 80).tolist())]
+    counts = dict(zip(*(x.tolist() for x in np.unique(np.concatenate(sets), return_counts=True)), strict=True))
+
+    def sets_of(batches):
+        for b in batches:
+            found = [np.frombuffer(x.as_py(), np.uint64) for x in b.column("keys")]
+            yield b.column("id").to_numpy(), 7 * b.column("id").to_numpy(), np.concatenate(found), np.r_[0, np.cumsum([len(x) for x in found])]
+
+    def finish(ids, numbers, rank, first):
+        blobs = [rank[i:j].tobytes() for i, j in zip(first[:-1], first[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(numbers), pa.array(blobs, pa.binary())], names=["id", "number", "ranks"])
+
+    df = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "id long, keys binary").repartition(3)
+    for expected in (10, 10**4, 10**9):
+        assert sum(shared_keys.layout(expected)) <= 64 and 1 << shared_keys.layout(expected)[0] >= expected / shared_keys.PER_PART
+        got = shared_keys.ranks(df, sets_of, expected, lambda c: np.minimum(c, 200), finish, "id long, number long, ranks binary").collect()
+        assert sorted(r.id for r in got) == list(range(len(sets))) and all(r.number == 7 * r.id for r in got)
+        right = [list(r.ranks) == [min(counts[k], 200) for k in sets[r.id].tolist()] for r in got]
+        # With keys shortened to hardly any bits counts are never below the true ones.
+        assert all(x >= counts[k] for r in got for x, k in zip(r.ranks, sets[r.id].tolist(), strict=True))
+        assert expected == 10 or all(right)
+
+
 def test_one_of_each(spark, rows):
     kept = jaccard_join.one_of_each(table(spark, rows))
     assert kept.columns == [c.split()[0] for c in CLASHING.split(", ")]
