@@ -369,7 +369,7 @@ def links_and_components(found: DataFrame, sets: DataFrame, percent: int) -> Dat
         if not size[0] or size[1] <= 8 * size[0]:
             break
     if links is None:
-        return found.select("cid", F.col("cid").alias("comp")).limit(0)
+        return materialize(found.select("cid", F.col("cid").alias("comp")).limit(0), "labels")
     groups = merged_groups(rest).join(found.select("cid", "parity"), "cid")
     pairs = in_parts(groups).groupBy("least", "i", "j").applyInArrow(cross_pairs(percent), "a long, b long").distinct()
     return components(links.union(verify(pairs, sets, percent)))
@@ -396,7 +396,9 @@ def join(df: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_i
     docs = documents(df, id_col, text_col)
     own = materialize(classes(docs.select("*", text_tag()), n), "classes")
     sets = possible_sets(docs, n, percent)
-    comps = links_and_components(candidate_sets(sets, percent), sets, percent)
+    found = candidate_sets(sets, percent)
+    comps = links_and_components(found, sets, percent)
+    discard(sets, found)
     ids = own.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("smallest"))
     named = ids.join(comps, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     ids_of = named.groupBy("comp").agg(F.min("smallest").alias("component_id"))

@@ -281,6 +281,18 @@ def test_ranks_of_shared_keys(spark, monkeypatch):
         assert expected == 10 or all(right)
 
 
+def test_near_duplicates_leave_no_sets_on_disk(spark, rows, tmp_path, monkeypatch):
+    """The pipeline's second stage deletes the tables of sets before it shuffles texts."""
+    import corpus_pipeline
+    from ponding.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}/shared")
+    kept = corpus_pipeline.near_duplicates(spark, table(spark, rows), "")
+    folders = sorted({f.parent for f in tmp_path.rglob("*.parquet")})
+    assert folders and not [f.name for f in folders if "shingles" in spark.read.parquet(str(f)).columns]
+    assert kept.count() == brute.jaccard_components(rows, roots=True)
+
+
 def test_one_of_each(spark, rows):
     kept = jaccard_join.one_of_each(table(spark, rows))
     assert kept.columns == [c.split()[0] for c in CLASHING.split(", ")]
